@@ -301,3 +301,154 @@ CTES["talk_chapter"] = (
     "SELECT video_id, CAST(unnest(range(1, CAST(ceil(total / 30) AS BIGINT) + 1)) AS INTEGER) AS number FROM ("
     'SELECT video_id, max("end") AS total FROM segment GROUP BY video_id))',
 )
+
+
+# Fixed values of the stand-in weight table.
+WEIGHTS = {
+    "scene": 1.0,
+    "motion_event": 2.0,
+    "motion_peak": 3.0,
+    "audio": 1.5,
+    "burst": 4.0,
+    "keyword": 2.5,
+    "object": 1.0,
+    "action": 6.0,
+    "face": 2.0,
+    "beginning": 0.5,
+    "ending": 0.25,
+}
+
+
+def score_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of every signal; the point signals come from one pass over events."""
+    from tidemark.operators import scoring
+    from tidemark.operators.bursts import runs_above
+
+    w = WEIGHTS
+    k = ["video_id"]
+    d = detection(spark, sf_dir)
+
+    def sig(name):
+        return F.struct(F.lit(name).alias("signal"), F.lit(w[name]).alias("weight"))
+
+    kinds = (
+        F.when(F.col("label") == "signup", F.array(sig("scene")))
+        .when((F.col("label") == "click") & (F.col("conf") > 0.2), F.array(sig("motion_event"), sig("motion_peak")))
+        .when(F.col("label") == "click", F.array(sig("motion_event")))
+        .when((F.col("label") == "view") & (F.col("conf") > 0.1), F.array(sig("audio")))
+    )
+    points = d.select("video_id", "t", F.explode(kinds).alias("k")).select(
+        "video_id", "t", F.col("k.signal").alias("signal"), F.col("k.weight").alias("weight")
+    )
+    objects = d.filter("label = 'view'").select(
+        "video_id",
+        F.lit("object").alias("signal"),
+        "sec",
+        F.lit(w["object"]).alias("points"),
+        F.lit(True).alias("present"),
+    )
+    bursts = runs_above(curve(spark, sf_dir), k, value="value", threshold=150.0)
+    keywords = d.filter("label = 'signup' AND conf > 0.3").select(
+        "video_id", F.col("t").alias("start"), (F.col("t") + 1.5).alias("end")
+    )
+    faces = (
+        reading(spark, sf_dir)
+        .filter("label IN ('happy', 'surprise') AND conf >= 0.5")
+        .select(
+            "video_id",
+            F.lit("face").alias("signal"),
+            "sec",
+            F.lit(w["face"]).alias("points"),
+            F.lit(False).alias("present"),
+        )
+    )
+    actions = d.filter("label IN ('purchase', 'error')")
+    parts = [
+        scoring.point_marks(points, k, t="t", signal="signal", weight="weight"),
+        objects,
+        scoring.span_marks(bursts, k, signal="burst", weight=w["burst"]),
+        scoring.span_marks(keywords, k, signal="keyword", weight=w["keyword"]),
+        faces,
+        scoring.action_tiers(actions, k, sec="sec", label="label", conf="conf", weight=w["action"]),
+        scoring.band_marks(
+            video(spark, sf_dir), k, total="duration", head=12, tail=12,
+            head_points=w["beginning"], tail_points=w["ending"],
+        ),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def score_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored second inside the video, all signals."""
+    from tidemark.operators.scoring import score_seconds
+
+    s = score_seconds(score_marks(spark, sf_dir), ["video_id"])
+    return s.join(video(spark, sf_dir), "video_id").filter("sec >= 0 AND sec < duration").drop("duration")
+
+
+def _w(name: str) -> str:
+    return f"{WEIGHTS[name]}::DOUBLE"
+
+
+_POINTS = [
+    ("scene", "label = 'signup'"),
+    ("motion_event", "label = 'click'"),
+    ("motion_peak", "label = 'click' AND conf > 0.2"),
+    ("audio", "label = 'view' AND conf > 0.1"),
+]
+CTES["action_bars"] = (
+    ("detection",),
+    "SELECT video_id, label, quantile_cont(conf, 0.5) AS p50, quantile_cont(conf, 0.9) AS p90 "
+    "FROM detection WHERE label IN ('purchase', 'error') GROUP BY video_id, label",
+)
+CTES["action_points"] = (
+    ("detection", "action_bars"),
+    "SELECT b.video_id, b.sec, CASE WHEN b.conf >= p90 THEN 1.5 WHEN b.conf >= p50 THEN 1.0 ELSE 0.5 END::DOUBLE "
+    f"* {_w('action')} AS points FROM (SELECT video_id, sec, label, conf, row_number() OVER (PARTITION BY video_id, sec "
+    "ORDER BY conf DESC, label DESC) AS rn FROM detection WHERE label IN ('purchase', 'error') AND conf > 0) b "
+    "JOIN action_bars q ON b.video_id = q.video_id AND b.label = q.label WHERE rn = 1",
+)
+CTES["burst_run"] = (
+    ("curve",),
+    'SELECT video_id, min(sec) AS start, max(sec) + 1 AS "end", max(value) AS z FROM (SELECT *, sec - row_number() OVER '
+    "(PARTITION BY video_id ORDER BY sec) AS k FROM curve WHERE value > 150) GROUP BY video_id, k",
+)
+CTES["score_marks"] = (
+    ("detection", "burst_run", "action_points", "reading", "video"),
+    " UNION ALL ".join(
+        f"SELECT video_id, '{n}' AS signal, CAST(round_even(t, 0) AS INTEGER) AS sec, {_w(n)} AS points, FALSE AS present "
+        f"FROM detection WHERE {c} UNION ALL SELECT video_id, '{n}', sec, 0.0, TRUE FROM detection WHERE {c}"
+        for n, c in _POINTS
+    )
+    + f" UNION ALL SELECT video_id, 'object', sec, {_w('object')}, TRUE FROM detection WHERE label = 'view'"
+    + f" UNION ALL SELECT DISTINCT video_id, 'burst', CAST(unnest(range(start, \"end\" + 1)) AS INTEGER), {_w('burst')}, TRUE FROM burst_run"
+    + f" UNION ALL SELECT DISTINCT video_id, 'keyword', CAST(unnest(range(CAST(floor(t) AS BIGINT), CAST(floor(t + 1.5) AS BIGINT) + 1)) AS INTEGER), {_w('keyword')}, TRUE "
+    "FROM detection WHERE label = 'signup' AND conf > 0.3"
+    + f" UNION ALL SELECT video_id, 'face', sec, {_w('face')}, FALSE FROM reading WHERE label IN ('happy', 'surprise') AND conf >= 0.5"
+    + " UNION ALL SELECT video_id, 'action', sec, points, TRUE FROM action_points"
+    + f" UNION ALL SELECT video_id, 'beginning', CAST(unnest(range(least(12, duration))) AS INTEGER), {_w('beginning')}, FALSE FROM video"
+    + f" UNION ALL SELECT video_id, 'ending', CAST(unnest(range(greatest(0, duration - 12), duration)) AS INTEGER), {_w('ending')}, FALSE FROM video",
+)
+_SIG = ["scene", "motion_event", "motion_peak", "audio", "burst", "keyword", "object", "action", "face", "beginning", "ending"]
+_BOOST = ["motion_event", "motion_peak", "audio", "burst", "keyword", "object", "action"]
+CTES["score_sec"] = (
+    ("score_marks", "video"),
+    "SELECT s.*, CASE WHEN n_signals >= 2 THEN raw * 1.2::DOUBLE ELSE raw END AS score FROM (SELECT *, "
+    + " + ".join(_SIG)
+    + " AS raw FROM (SELECT video_id, sec, "
+    + ", ".join(f"sum(CASE WHEN signal = '{x}' THEN points ELSE 0.0 END) AS {x}" for x in _SIG)
+    + ", count(DISTINCT CASE WHEN present AND signal IN ("
+    + ", ".join(f"'{x}'" for x in _BOOST)
+    + ") THEN signal END) AS n_signals FROM score_marks GROUP BY video_id, sec)) s JOIN video v ON s.video_id = v.video_id "
+    "WHERE sec >= 0 AND sec < duration",
+)
+
+
+def ranked_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_sec with the best confidence of each second."""
+    c = label_sec(spark, sf_dir).groupBy("video_id", "sec").agg(F.max("conf").alias("conf"))
+    s = score_sec(spark, sf_dir).select("video_id", "sec", F.round("score", 6).alias("score"))
+    return s.join(c, ["video_id", "sec"], "left").withColumn("conf", F.coalesce("conf", F.lit(0.0)))

@@ -26,3 +26,36 @@ def assign_chapters(clips: DataFrame, chapters: DataFrame, keys: Sequence[str])
         F.lit(0),
     )
     return clips.join(table, list(keys), "left").withColumn("chapter", number).drop("_ch")
+
+
+def observed_classes(labels: DataFrame, composed: DataFrame) -> DataFrame:
+    """Distinct classes seen, less the composed ones."""
+    return labels.select("label").distinct().join(composed.select("label"), "label", "left_anti")
+
+
+def peak_in_range(
+    curve: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    *,
+    ident: Sequence[str],
+    value: str,
+    tick: str = "sec",
+) -> DataFrame:
+    """First loudest second of each span (end included) and its distance to the
+    video's median."""
+    from tidemark.operators.joins import points_in_spans
+
+    med = curve.groupBy(*keys).agg(F.median(value).alias("_med"))
+    wide = spans.select(*keys, *ident, F.floor("start").alias("_lo"), F.ceil("end").alias("_hi"))
+    hits = points_in_spans(curve, wide, keys, t=tick, start="_lo", end="_hi", closed_end=True)
+    best = hits.groupBy(*keys, *ident).agg(
+        F.max_by(tick, F.struct(F.col(value), -F.col(tick))).alias("second"), F.max(value).alias("_v")
+    )
+    return best.join(med, list(keys)).select(
+        *keys,
+        *ident,
+        "second",
+        F.round("_v", 2).alias("level"),
+        F.round(F.col("_v") - F.col("_med"), 2).alias("vs_video"),
+    )

@@ -44,16 +44,30 @@ def frame_survives(names: Column, stripped: Sequence[str]) -> Column:
     return ~F.forall(names, lambda x: x.isin(*stripped))
 
 
+# Utterances that are interjections and nothing else.
+INTERJECTIONS = ("oh", "ah", "ha", "um", "uh")
+PURE_INTERJECTION = "|".join(rf"^({w}+,?\s*)+$" for w in INTERJECTIONS)
+
+
 def valid_speech(text: Column) -> Column:
-    """Length of at least 2, not a pure interjection, no word over 70 % of 3+ words."""
-    t = F.trim(text)
-    words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-    top = F.array_max(
-        F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda v: v == w)))
+    """At least 2 characters, not a pure interjection, no word over 70 % of 3+ words."""
+    low = F.trim(F.lower(text))
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", "")
+    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    # sorted once, the longest run of equal words is the highest count
+    counted = F.aggregate(
+        F.array_sort(words),
+        F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top")),
+        lambda a, w: F.struct(
+            w.alias("w"),
+            F.when(a["w"] == w, a["n"] + 1).otherwise(1).alias("n"),
+            F.greatest(a["top"], F.when(a["w"] == w, a["n"] + 1).otherwise(1)).alias("top"),
+        ),
     )
-    repetitive = (F.size(words) >= 3) & (top > 0.7 * F.size(words))
-    return (F.length(t) >= 2) & ~F.lower(t).rlike(INTERJECTION) & ~F.coalesce(repetitive, F.lit(False))
+    repetitive = (F.size(words) >= 3) & (counted["top"] / F.size(words) > 0.7)
+    return (F.length(low) >= 2) & ~low.rlike(PURE_INTERJECTION) & ~repetitive
 
 
-# Fixed value: an utterance that is nothing but an interjection.
-INTERJECTION = r"^(oh+|ah+|ha+|um+|uh+|h+)[.!?\s]*$"
+def triage(top: Column, *, sure: float = 0.1, maybe: float = 0.05) -> Column:
+    """``sorted`` / ``uncertain`` / ``review`` by the best score."""
+    return F.when(top >= sure, "sorted").when(top >= maybe, "uncertain").otherwise("review")

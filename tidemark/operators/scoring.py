@@ -84,3 +84,195 @@ def detection_runs(
         .filter(F.col("end") - F.col("start") >= min_duration)
         .select(*keys, "label", "start", "end", "conf")
     )
+
+
+# The signals that count towards the boost; scene, face and position never do.
+BOOST_SIGNALS = ("motion_event", "motion_peak", "audio", "burst", "keyword", "object", "action")
+SIGNALS = ("scene", *BOOST_SIGNALS, "face", "beginning", "ending")
+
+
+def point_marks(points: DataFrame, keys: Sequence[str], *, t: str, signal: str, weight: str) -> DataFrame:
+    """Point signals as marks: points go to the rounded second (half to even),
+    presence to the truncated one."""
+    scored = F.struct(
+        F.rint(t).cast("int").alias("sec"), F.col(weight).alias("points"), F.lit(False).alias("present")
+    )
+    seen = F.struct(
+        F.floor(t).cast("int").alias("sec"), F.lit(0.0).alias("points"), F.lit(True).alias("present")
+    )
+    return points.select(*keys, F.col(signal).alias("signal"), F.explode(F.array(scored, seen)).alias("_m")).select(
+        *keys, "signal", "_m.*"
+    )
+
+
+def span_marks(spans: DataFrame, keys: Sequence[str], *, signal: str, weight: float) -> DataFrame:
+    """Every whole second a span touches, its end included; each second once."""
+    secs = F.sequence(F.floor("start").cast("int"), F.floor("end").cast("int"))
+    return (
+        spans.select(*keys, F.explode(secs).alias("sec"))
+        .distinct()
+        .select(
+            *keys,
+            F.lit(signal).alias("signal"),
+            "sec",
+            F.lit(float(weight)).alias("points"),
+            F.lit(True).alias("present"),
+        )
+    )
+
+
+def band_marks(
+    videos: DataFrame, keys: Sequence[str], *, total: str, head: int, tail: int, head_points: float, tail_points: float
+) -> DataFrame:
+    """The beginning and ending bands."""
+    n = F.floor(total).cast("int")
+    first = F.filter(F.sequence(F.lit(0), F.lit(head - 1)), lambda s: s < n)
+    last = F.sequence(F.greatest(F.lit(0), n - tail), n - 1)
+
+    def marks(secs, name, points):
+        return videos.filter(n > 0).select(
+            *keys,
+            F.lit(name).alias("signal"),
+            F.explode(secs).alias("sec"),
+            F.lit(float(points)).alias("points"),
+            F.lit(False).alias("present"),
+        )
+
+    return marks(first, "beginning", head_points).unionByName(marks(last, "ending", tail_points))
+
+
+def action_tiers(
+    actions: DataFrame,
+    keys: Sequence[str],
+    *,
+    sec: str,
+    label: str,
+    conf: str,
+    weight: float,
+) -> DataFrame:
+    """One mark a second from its best action: x1.5 / x1 / x0.5 by that label's own
+    90th and 50th confidence percentile.
+
+    Confidences are folded to (label, confidence, count) before the percentile,
+    so its buffer holds distinct confidences and not detections.
+    """
+    freq = actions.groupBy(*keys, label, conf).agg(F.count("*").alias("_n"))
+    bars = freq.groupBy(*keys, label).agg(
+        F.percentile(conf, F.array(F.lit(0.5), F.lit(0.9)), F.col("_n")).alias("_p")
+    )
+    best = (
+        actions.filter(F.col(conf) > 0)
+        .groupBy(*keys, sec)
+        .agg(F.max_by(F.struct(F.col(label), F.col(conf)), F.struct(F.col(conf), F.col(label))).alias("_b"))
+        .select(*keys, F.col(sec).alias("sec"), F.col(f"_b.{label}").alias(label), F.col(f"_b.{conf}").alias(conf))
+    )
+    tier = F.when(F.col(conf) >= F.col("_p")[1], 1.5).when(F.col(conf) >= F.col("_p")[0], 1.0).otherwise(0.5)
+    return best.join(bars, [*keys, label]).select(
+        *keys,
+        F.lit("action").alias("signal"),
+        "sec",
+        (tier * weight).alias("points"),
+        F.lit(True).alias("present"),
+    )
+
+
+def score_seconds(
+    marks: DataFrame,
+    keys: Sequence[str],
+    *,
+    min_signals: int = 2,
+    boost: float = 1.2,
+    signals: Sequence[str] = SIGNALS,
+) -> DataFrame:
+    """Marks to one row per scored second: a column per signal, raw sum and boosted score."""
+    per = [
+        F.sum(F.when(F.col("signal") == s, F.col("points")).otherwise(0.0)).alias(s) for s in signals
+    ]
+    seen = [
+        F.max(F.when((F.col("signal") == s) & F.col("present"), 1).otherwise(0))
+        for s in signals
+        if s in BOOST_SIGNALS
+    ]
+    total = seen[0]
+    for c in seen[1:]:
+        total = total + c
+    table = marks.groupBy(*keys, "sec").agg(*per, total.alias("n_signals"))
+    raw = F.lit(0.0)
+    for s in signals:
+        raw = raw + F.col(s)
+    return table.withColumn("raw", raw).withColumn(
+        "score", F.when(F.col("n_signals") >= min_signals, F.col("raw") * boost).otherwise(F.col("raw"))
+    )
+
+
+# The expression classes, in classifier order.
+EXPRESSION_LABELS = ("neutral", "happy", "sad", "surprise", "anger")
+
+
+def top_label(df: DataFrame, probs: str, labels: Sequence[str]) -> DataFrame:
+    """Add ``label`` and ``conf`` of the (first) highest probability."""
+    best = F.array_max(probs)
+    names = F.array(*[F.lit(x) for x in labels])
+    return df.withColumn("conf", best).withColumn(
+        "label", F.get(names, (F.array_position(F.col(probs), best) - 1).cast("int"))
+    )
+
+
+def clearest_per_second(
+    faces: DataFrame, keys: Sequence[str], *, order: str, min_confidence: float = 0.5
+) -> DataFrame:
+    """The most confident labelled face of each second, the first one on ties."""
+    ok = faces.filter((F.col("conf") >= min_confidence) & (F.coalesce("label", F.lit("")) != ""))
+    return ok.groupBy(*keys, "sec").agg(
+        F.max_by("label", F.struct(F.col("conf"), -F.col(order))).alias("label"), F.max("conf").alias("conf")
+    )
+
+
+def density_clusters(
+    actions: DataFrame,
+    keys: Sequence[str],
+    *,
+    t: str,
+    label: str,
+    gap: float = 2.0,
+    min_density: float = 0.5,
+) -> DataFrame:
+    """Action times less than *gap* apart; kept when count / length is high enough.
+
+    The first cluster of a video starts its count at zero, later ones at one.
+    """
+    from pyspark.sql import Window
+
+    from tidemark.operators.islands import point_islands
+
+    times = actions.groupBy(*keys, t).agg(F.collect_set(label).alias("_names"))
+    runs = point_islands(
+        times, keys, t, gap, strict=True, aggs={"n": ("count", t), "_sets": ("set", "_names")}
+    )
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("start")) == 1
+    counted = runs.withColumn("action_count", F.col("n") - F.when(first, 1).otherwise(0))
+    length = F.col("end") - F.col("start")
+    return (
+        counted.filter(length > 0)
+        .withColumn("density", F.col("action_count") / length)
+        .filter(F.col("density") >= min_density)
+        .select(
+            *keys,
+            "start",
+            "end",
+            "action_count",
+            "density",
+            F.array_distinct(F.flatten("_sets")).alias("actions"),
+        )
+    )
+
+
+def signal_totals(kept: DataFrame, keys: Sequence[str], signals: Sequence[str] = SIGNALS) -> DataFrame:
+    """Points per signal over kept seconds; ``evidence`` is false for position bonuses."""
+    long = kept.unpivot([*keys], list(signals), "signal", "points")
+    return (
+        long.groupBy(*keys, "signal")
+        .agg(F.sum("points").alias("total"))
+        .filter(F.col("total") != 0)
+        .withColumn("evidence", ~F.col("signal").isin("beginning", "ending"))
+    )
