@@ -160,16 +160,16 @@ def asof_backward(
         "*",
         F.col(t).cast("double").alias("_t"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast(right_df.select(payload.alias("p")).schema["p"].dataType).alias("_p"),
+        F.lit(None).cast(right_df.select(payload.alias("p")).schema["p"].dataType).alias("_pay_asof"),
     )
     rights = right_df.select(
-        *keys, F.col(right_t).cast("double").alias("_t"), F.lit(0).alias("_side"), payload.alias("_p")
+        *keys, F.col(right_t).cast("double").alias("_t"), F.lit(0).alias("_side"), payload.alias("_pay_asof")
     )
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    filled = fill_forward(both, keys, ["_t", "_side"], "_p", out, "_t", chunk)
+    filled = fill_forward(both, keys, ["_t", "_side"], "_pay_asof", out, "_t", chunk)
     rows = filled.filter(F.col("_side") == 1)
     if tolerance is not None:
         rows = rows.withColumn(
             out, F.when(F.col("_t") - F.col(f"{out}.t") <= tolerance, F.col(out))
         )
-    return rows.drop("_t", "_side", "_p")
+    return rows.drop("_t", "_side", "_pay_asof")
