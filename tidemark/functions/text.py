@@ -23,4 +23,194 @@ def any_keyword(text: Column, keywords: Sequence[str]) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of at least two letters, lower-cased; no stop list."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))
+
+
+def bind(x: Column, fn) -> Column:
+    """Evaluate *x* once and hand it to *fn*, as a local name would."""
+    return F.transform(F.array(x), fn)[0]
+
+
+def _glue(a: Column, b: Column) -> Column:
+    return F.trim(F.concat(a, F.lit(" "), b))
+
+
+def _pack(pieces: Column, fits) -> Column:
+    """Greedy fill: append a piece to the current line while ``fits(line, piece)``."""
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+    def step(s: Column, piece: Column) -> Column:
+        closed = F.when(s["cur"] != "", F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
+        return (
+            F.when(
+                fits(s["cur"], piece),
+                F.struct(s["done"].alias("done"), _glue(s["cur"], piece).alias("cur")),
+            )
+            .otherwise(F.struct(closed.alias("done"), piece.alias("cur")))
+        )
+
+    return F.aggregate(
+        pieces,
+        state,
+        step,
+        lambda s: F.when(s["cur"] != "", F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]),
+    )
+
+
+def clean_subtitle(text: Column, width: int = 50) -> Column:
+    """Spacing and capital put right, wrapped at sentence ends near *width*."""
+    t = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
+    t = F.regexp_replace(t, r"([.!?])([A-Za-zĄąĆćĘęŁłŃńÓóŚśŹźŻż])", "$1 $2")
+    t = F.regexp_replace(t, r",([^\s])", ", $1")
+    t = F.regexp_replace(F.regexp_replace(t, r"^[-\s]+", ""), r"[-\s]+$", "")
+    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
+    pieces = F.filter(
+        F.transform(
+            F.regexp_extract_all(t, F.lit(r"([^.!?]+)([.!?]?)"), F.lit(0)),
+            lambda s: F.regexp_replace(F.trim(s), r"\s+([.!?])$", "$1"),
+        ),
+        lambda s: ~s.rlike(r"^[.!?]?$"),
+    )
+    lines = _pack(pieces, lambda cur, p: F.length(cur) + F.length(p) + 1 <= width)
+    return F.array_join(lines, "\n")
+
+
+def split_subtitle(text: Column, limit: int = 80) -> Column:
+    """Chunks of at most about *limit* characters: by sentence, then by halves, then by words."""
+    pieces = F.filter(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0)),
+            lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+([.!?]+)$", "$1"),
+        ),
+        lambda s: s != "",
+    )
+    chunks = _pack(pieces, lambda cur, p: F.length(_glue(cur, p)) <= limit)
+
+    def halve(chunk: Column) -> Column:
+        words = F.filter(F.split(chunk, r"\s+"), lambda w: w != "")
+
+        def cut(ws: Column) -> Column:
+            mid = F.floor(F.size(ws) / 2).cast("int")
+            left = F.array_join(F.slice(ws, F.lit(1), mid), " ")
+            right = F.array_join(F.slice(ws, mid + 1, F.size(ws)), " ")
+            uneven = (F.length(right) < F.length(left) * 0.3) | (F.length(left) > limit)
+            greedy = _pack(ws, lambda cur, w: F.length(F.concat(cur, F.lit(" "), w)) <= limit)
+            return F.when(uneven, greedy).otherwise(F.array(left, right))
+
+        return F.when(F.length(chunk) > limit, bind(words, cut)).otherwise(F.array(F.trim(chunk)))
+
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.flatten(F.transform(chunks, halve)))
+
+
+def trim_quote(text: Column, limit: int = 180) -> Column:
+    """Whitespace folded; past *limit* cut at a word and marked with an ellipsis."""
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    head = F.substring(t, 1, limit)
+    cut = F.regexp_replace(head, r" [^ ]*$", "")
+    body = F.regexp_replace(F.when(cut != "", cut).otherwise(head), r"[,;:\-]+$", "")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(body, F.lit("…")))
+
+
+def pace(shots: Column, seconds: Column) -> Column:
+    """Name of the cutting rate."""
+    per = seconds / shots
+    return (
+        F.when((shots <= 0) | (seconds <= 0), "unmeasured")
+        .when(per < 4.0, "fast-cut")
+        .when(per < 15.0, "steady")
+        .otherwise("held")
+    )
+
+
+# The group of each known action, in matching order.
+ACTION_GROUPS = {
+    "movement": "walking running jumping entering exiting approaching leaving",
+    "interaction": "talking speaking pointing waving handshaking hugging kissing",
+    "combat": "punching kicking fighting blocking shooting",
+    "manipulation": "picking_up putting_down holding carrying throwing catching opening closing",
+    "sports": "dribbling kicking_ball throwing_ball catching_ball hitting swinging",
+    "stationary": "standing sitting lying waiting looking",
+}
+
+
+def action_group(name: Column) -> Column:
+    """Exact name first, then the first known action that contains or is contained."""
+    low = F.lower(name)
+    known = [(a.replace("_", " "), g) for g, names in ACTION_GROUPS.items() for a in names.split()]
+    exact = F.create_map(*[F.lit(x) for pair in known for x in pair])[low]
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(g).alias("g")) for a, g in known])
+    partial = F.filter(table, lambda k: F.contains(low, k["a"]) | F.contains(k["a"], low))
+    return F.coalesce(exact, F.get(partial, F.lit(0))["g"], F.lit("other"))
+
+
+def collapse_runs(items: Column) -> Column:
+    """``a ×3, b ×2`` for consecutive equal items."""
+    state = F.struct(
+        F.array().cast("array<string>").alias("done"),
+        F.lit(None).cast("string").alias("cur"),
+        F.lit(0).alias("n"),
+    )
+
+    def shown(s: Column) -> Column:
+        return F.concat(s["cur"], F.lit(" ×"), s["n"].cast("string"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.when(
+            s["cur"] == x, F.struct(s["done"].alias("done"), s["cur"].alias("cur"), (s["n"] + 1).alias("n"))
+        ).otherwise(
+            F.struct(
+                F.when(s["cur"].isNull(), s["done"])
+                .otherwise(F.concat(s["done"], F.array(shown(s))))
+                .alias("done"),
+                x.alias("cur"),
+                F.lit(1).alias("n"),
+            )
+        )
+
+    return F.aggregate(
+        items,
+        state,
+        step,
+        lambda s: F.when(s["cur"].isNull(), F.lit("")).otherwise(
+            F.array_join(F.concat(s["done"], F.array(shown(s))), ", ")
+        ),
+    )
+
+
+def repetition_at(text: Column, *, min_words: int = 8, overlap: float = 0.8) -> Column:
+    """Zero-based index of the first sentence repeating an earlier one, NULL if none.
+
+    A sentence of at least *min_words* distinct words repeats when the words it
+    shares with an earlier sentence reach *overlap* of the smaller of the two.
+    The search stops at the first hit.
+    """
+    sets = F.transform(sentences(text), lambda s: F.array_distinct(tokens(s)))
+
+    def search(ws: Column) -> Column:
+        def step(hit: Column, i: Column) -> Column:
+            w = F.element_at(ws, i + 1)
+            same = F.exists(
+                F.slice(ws, F.lit(1), i),
+                lambda e: (F.size(e) > 0)
+                & (F.size(F.array_intersect(w, e)) / F.least(F.size(w), F.size(e)) >= overlap),
+            )
+            return F.when(hit >= 0, hit).when((F.size(w) >= min_words) & same, i).otherwise(F.lit(-1))
+
+        spots = F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.nullif(F.aggregate(spots, F.lit(-1), step), F.lit(-1))
+
+    return bind(sets, search)
+
+
+def sentences(text: Column) -> Column:
+    """Split after ``.``, ``?``, ``!`` or ``;`` followed by a space."""
+    return F.split(text, r"(?<=[.?!;]) ")
+
+
+def cut_repetition(text: Column) -> Column:
+    """The text up to where it starts to repeat itself; untouched if it never does."""
+    at = repetition_at(text)
+    kept = F.array_join(F.transform(F.slice(sentences(text), F.lit(1), at), lambda s: F.trim(s)), " ")
+    return F.when(at.isNull(), F.trim(text)).otherwise(F.trim(kept))

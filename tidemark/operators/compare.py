@@ -503,3 +503,41 @@ def measure_clips(
         spread.alias("signal_spread"),
         (spread <= 1).alias("signals_coincide"),
     )
+
+
+def class_measurement(
+    marks: DataFrame, levels: DataFrame, keys: Sequence[str], *, value: str, digits: int | None = None
+) -> DataFrame:
+    """Seconds, share, first and last, level and loudest second with its company, per class."""
+    sets = marks.groupBy(*keys, "sec").agg(F.collect_set("label").alias("_l"))
+    x = sets.join(levels.select(*keys, "sec", value), [*keys, "sec"])
+    whole = sets.groupBy(*keys).agg(F.count("*").alias("_det"))
+    med = levels.groupBy(*keys).agg(F.median(value).alias("_vmed"))
+    best = F.max_by(F.struct("sec", "_l", value), F.struct(F.col(value), -F.col("sec")))
+    per = (
+        x.select(*keys, "sec", value, "_l", F.explode("_l").alias("label"))
+        .groupBy(*keys, "label")
+        .agg(
+            F.count("*").alias("seconds"),
+            F.min("sec").alias("first"),
+            F.max("sec").alias("last"),
+            F.median(value).alias("_med"),
+            best.alias("_b"),
+        )
+        .join(whole, list(keys))
+        .join(med, list(keys))
+    )
+    company = F.array_sort(F.array_remove(F.col("_b._l"), F.col("label")))
+    return per.select(
+        *keys,
+        "label",
+        "seconds",
+        _r(F.col("seconds") * 100.0 / F.col("_det"), 1, digits).alias("video_share_pct"),
+        "first",
+        "last",
+        _r(F.col("_med"), 2, digits).alias("median_level"),
+        _r(F.col("_med") - F.col("_vmed"), 2, digits).alias("vs_video"),
+        F.col("_b.sec").alias("loudest_second"),
+        _r(F.col(f"_b.{value}"), 2, digits).alias("loudest_level"),
+        F.array_join(company, ",").alias("loudest_with"),
+    )

@@ -276,3 +276,119 @@ def signal_totals(kept: DataFrame, keys: Sequence[str], signals: Sequence[str] =
         .filter(F.col("total") != 0)
         .withColumn("evidence", ~F.col("signal").isin("beginning", "ending"))
     )
+
+
+def collapsed_labels(detections: DataFrame, keys: Sequence[str], *, t: str, tie: str, out: str) -> DataFrame:
+    """Labels in time order with consecutive repeats written once: ``a ×3, b ×2``.
+
+    Runs are numbered first, so what is collected per group is one entry a run.
+    """
+    ran = run_ids(
+        detections, keys, [t, tie], F.struct(F.col("label").alias("l")), lambda p: p["l"] != F.col("label"), "_run", t
+    )
+    runs = ran.groupBy(*keys, "_run", "label").agg(F.count("*").alias("_n"))
+    shown = F.concat("label", F.lit(" ×"), F.col("_n").cast("string")).alias("s")
+    return runs.groupBy(*keys).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("_run", shown))), lambda r: r["s"]), ", "
+        ).alias(out)
+    )
+
+
+# Three-action patterns and the transitions that count.
+ACTION_PATTERNS = {
+    "arrival": ("entering", "walking", "standing"),
+    "departure": ("standing", "walking", "exiting"),
+    "interaction": ("approaching", "talking", "leaving"),
+    "combat": ("approaching", "fighting", "exiting"),
+    "sports_play": ("running", "jumping", "throwing"),
+}
+TRANSITIONS = (
+    ("standing", "walking"),
+    ("walking", "running"),
+    ("sitting", "standing"),
+    ("lying", "sitting"),
+    ("entering", "walking"),
+    ("walking", "exiting"),
+    ("approaching", "talking"),
+    ("talking", "leaving"),
+    ("walking", "jumping"),
+    ("running", "jumping"),
+)
+
+
+def pattern_facts(
+    actions: DataFrame, keys: Sequence[str], *, t: str, name: str, grid: int = 5, reach: int = 3, conf: str = "conf"
+) -> DataFrame:
+    """Facts around each grid time: patterns at least 60 % present, an allowed
+    transition among the four most confident actions, and the activity level.
+
+    Each action is sent to the grid times it is in reach of. Per grid time only the
+    distinct names, the count and the four best actions are kept.
+    """
+    lo, hi = F.ceil((F.col(t) - reach) / grid), F.floor((F.col(t) + reach) / grid)
+    placed = actions.filter(hi >= F.greatest(lo, F.lit(0))).select(
+        *keys, name, conf, F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("_g")
+    )
+    per_name = placed.groupBy(*keys, "_g", name, conf).agg(F.count("*").alias("_n"))
+    best = F.slice(
+        F.array_sort(
+            F.flatten(
+                F.collect_list(
+                    F.array_repeat(
+                        F.struct((-F.col(conf)).alias("c"), F.col(name).alias("a")),
+                        F.least(F.col("_n"), F.lit(4)).cast("int"),
+                    )
+                )
+            )
+        ),
+        1,
+        4,
+    )
+    at = per_name.groupBy(*keys, "_g").agg(
+        F.sum("_n").alias("_count"), F.collect_set(name).alias("_names"), best.alias("_top")
+    )
+
+    def present(word: str):
+        return F.exists("_names", lambda n: F.contains(n, F.lit(word)) | F.contains(F.lit(word), n)).cast("int")
+
+    rows = []
+    for label, words in ACTION_PATTERNS.items():
+        ratio = sum((present(w) for w in words[1:]), present(words[0])) / F.lit(len(words))
+        rows.append(
+            F.when(
+                ratio >= 0.6,
+                F.struct(F.lit("pattern").alias("kind"), F.lit(label).alias("fact"), (ratio * 0.8).alias("confidence")),
+            )
+        )
+    n = F.col("_count")
+    rows.append(
+        F.when(
+            n >= 5,
+            F.struct(
+                F.lit("activity").alias("kind"),
+                F.lit("high").alias("fact"),
+                F.least(F.lit(0.9), F.lit(0.5) + n * 0.05).alias("confidence"),
+            ),
+        ).when(
+            n >= 3,
+            F.struct(
+                F.lit("activity").alias("kind"), F.lit("moderate").alias("fact"), F.lit(0.6).alias("confidence")
+            ),
+        )
+    )
+    allowed = F.array(*[F.lit(f"{a}>{b}") for pair in TRANSITIONS for a, b in (pair, pair[::-1])])
+    pair = lambda i, j: F.concat(
+        F.get("_top", F.lit(i))["a"], F.lit(">"), F.get("_top", F.lit(j))["a"]
+    )
+    pairs = F.array_compact(F.array(*[pair(i, j) for i in range(3) for j in range(i + 1, 4)]))
+    first = F.get(F.filter(pairs, lambda p: F.array_contains(allowed, p)), F.lit(0))
+    rows.append(
+        F.when(
+            first.isNotNull(),
+            F.struct(F.lit("transition").alias("kind"), first.alias("fact"), F.lit(0.7).alias("confidence")),
+        )
+    )
+    return at.select(
+        *keys, (F.col("_g") * grid).alias("t"), F.explode(F.array_compact(F.array(*rows))).alias("_f")
+    ).select(*keys, "t", "_f.*")

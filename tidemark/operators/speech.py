@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import first_keyword
+from tidemark.functions.text import first_keyword, tokens
 from tidemark.operators.axis import run_ids
 from tidemark.operators.joins import overlap_pairs, points_in_spans
 
@@ -90,3 +90,448 @@ def tag_speakers(
     return segments.join(best, [*keys, seg], "left").withColumn(
         "turn_speaker", F.coalesce("turn_speaker", F.lit("UNKNOWN"))
     )
+
+
+# Bars of the vocabulary and quote selection.
+MIN_WORD_COUNT = 2
+MIN_KEYNESS = 3.0
+TOP_WORDS = 3
+MIN_WORDS_FOR_TITLE = 25
+MIN_QUOTE_GAP = 20.0
+QUOTES_PER_CHAPTER = 3
+SPEECH_CHANGE_POINTS = 25.0
+MIN_KEYNESS_FOR_GAP = 6.0
+MIN_COUNT_FOR_GAP = 3
+TOP_GAPS = 8
+MIN_CLAIM_WORDS = 8
+MAX_CLAIMS = 5
+
+
+def word_counts(lines: DataFrame, keys: Sequence[str], *, text: str = "text") -> DataFrame:
+    """Word counts per document (*keys*); counted on the map side before the shuffle."""
+    return (
+        lines.select(*keys, F.explode(tokens(F.col(text))).alias("word"))
+        .groupBy(*keys, "word")
+        .agg(F.count("*").alias("count"))
+    )
+
+
+def keyness(counts: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
+    """Rate of a word in its document over its smoothed rate in the group's others.
+
+    Only groups with at least two non-empty documents have keyness.
+    """
+    per_word = counts.groupBy(*group, "word").agg(F.sum("count").alias("_all"))
+    per_doc = counts.groupBy(*group, doc).agg(F.sum("count").alias("doc_words"))
+    whole = (
+        per_doc.groupBy(*group)
+        .agg(F.sum("doc_words").alias("_grand"), F.count("*").alias("_docs"))
+        .filter(F.col("_docs") >= 2)
+    )
+    x = counts.join(per_word, [*group, "word"]).join(per_doc, [*group, doc])
+    x = x.join(whole, list(group)) if group else x.crossJoin(F.broadcast(whole))  # one row
+    here = F.col("count") / F.col("doc_words")
+    there = (F.col("_all") - F.col("count") + 0.5) / (F.col("_grand") - F.col("doc_words") + 0.5)
+    return x.withColumn("keyness", here / there).drop("_all", "_grand", "_docs")
+
+
+def distinctive_words(keyed: DataFrame, group: Sequence[str], doc: str, *, digits: int = 1, top: int = TOP_WORDS) -> DataFrame:
+    """The top words of each document by rounded ratio, count, then name."""
+    times = F.round("keyness", digits)
+    w = Window.partitionBy(*group, doc).orderBy(F.desc("times"), F.desc("count"), "word")
+    return (
+        keyed.filter((F.col("count") >= MIN_WORD_COUNT) & (F.col("keyness") >= MIN_KEYNESS))
+        .withColumn("times", times)
+        .withColumn("pos", F.row_number().over(w))
+        .filter(F.col("pos") <= top)
+        .withColumn("share_pct", F.round(F.col("count") * 100.0 / F.col("doc_words"), 6))
+        .select(*group, doc, "pos", "word", "count", "times", "share_pct", "doc_words")
+    )
+
+
+def titles(distinctive: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
+    """Comma-joined distinctive words of documents with enough words."""
+    return (
+        distinctive.filter(F.col("doc_words") >= MIN_WORDS_FOR_TITLE)
+        .groupBy(*group, doc)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_w"))
+        .select(*group, doc, F.array_join(F.col("_w.word"), ", ").alias("title"))
+    )
+
+
+def lines_in(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every line with each chapter it is audible in (positive shared time)."""
+    ch = chapters.select(
+        *keys, "number", F.col("start").alias("ch_start"), F.col("end").alias("ch_end")
+    )
+    return overlap_pairs(segments, ch, keys, right=("ch_start", "ch_end"))
+
+
+def speech_cover(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Seconds of each chapter covered by speech, overlaps counted once."""
+    from tidemark.operators.islands import interval_islands
+
+    cover = interval_islands(segments.filter("end > start"), keys)
+    inside = lines_in(cover, chapters, keys)
+    return inside.groupBy(*keys, "number").agg(
+        F.sum(F.least("end", "ch_end") - F.greatest("start", "ch_start")).alias("speech_seconds")
+    )
+
+
+def chapter_speech(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words, pace and share of speech per chapter, and its lift over the video's share."""
+    spoken = segments.filter(F.length(F.trim("text")) > 0)
+    said = spoken.withColumn("_words", F.size(tokens(F.col("text")))).drop("text")
+    words = (
+        lines_in(said, chapters, keys)
+        .groupBy(*keys, "number")
+        .agg(F.sum("_words").alias("words"), F.count("*").alias("segments"))
+    )
+    cover = speech_cover(said, chapters, keys)
+    video = (
+        cover.join(chapters.select(*keys, "number", "start", "end"), [*keys, "number"])
+        .groupBy(*keys)
+        .agg(F.sum("speech_seconds").alias("_spoken"))
+    )
+    total = chapters.groupBy(*keys).agg(F.max("end").alias("_end"))
+    share = F.coalesce("speech_seconds", F.lit(0.0)) * 100.0 / (F.col("end") - F.col("start"))
+    vshare = F.col("_spoken") * 100.0 / F.col("_end")
+    return (
+        chapters.join(words, [*keys, "number"], "left")
+        .join(cover, [*keys, "number"], "left")
+        .join(video, list(keys))
+        .join(total, list(keys))
+        .select(
+            *keys,
+            "number",
+            F.coalesce("segments", F.lit(0)).alias("segments"),
+            F.coalesce("words", F.lit(0)).alias("words"),
+            F.coalesce("speech_seconds", F.lit(0.0)).alias("speech_seconds"),
+            share.alias("speech_share_pct"),
+            (F.coalesce("words", F.lit(0)) / ((F.col("end") - F.col("start")) / 60.0)).alias("words_per_minute"),
+            (share / vshare).alias("speech_lift"),
+        )
+    )
+
+
+def speaker_stats(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Turns, seconds and words of each named speaker per chapter."""
+    named = segments.filter((F.trim("speaker") != "") & (F.upper(F.trim("speaker")) != "UNKNOWN"))
+    said = named.withColumn("_words", F.size(tokens(F.col("text")))).drop("text")
+    x = lines_in(said, chapters, keys)
+    return x.groupBy(*keys, "number", "speaker").agg(
+        F.count("*").alias("turns"),
+        F.sum(F.least("end", "ch_end") - F.greatest("start", "ch_start")).alias("seconds"),
+        F.sum("_words").alias("words"),
+    )
+
+
+def speech_changes(speech: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chapters whose speech share moved at least 25 points from the one before."""
+    w = Window.partitionBy(*keys).orderBy("number")
+    moved = speech.select(*keys, "number", F.col("speech_share_pct").alias("to_pct")).withColumn(
+        "from_pct", F.lag("to_pct").over(w)
+    )
+    return moved.filter(F.abs(F.col("to_pct") - F.col("from_pct")) >= SPEECH_CHANGE_POINTS).withColumn(
+        "direction", F.when(F.col("to_pct") > F.col("from_pct"), "rose").otherwise("fell")
+    )
+
+
+def line_weights(lines: DataFrame, keyed: DataFrame, line_key: Sequence[str], doc_key: Sequence[str]) -> DataFrame:
+    """Per line: summed positive log keyness over the root of its length, and over distinct words."""
+    words = lines.select(*line_key, F.explode(tokens(F.col("text"))).alias("word"))
+    counted = words.groupBy(*line_key, "word").agg(F.count("*").alias("_k"))
+    k = keyed.select(*doc_key, "word", "keyness")
+    gain = F.greatest(F.lit(0.0), F.log(F.greatest("keyness", F.lit(1e-9))))
+    return (
+        counted.join(k, [*doc_key, "word"], "left")
+        .withColumn("_g", F.coalesce(gain, F.lit(0.0)))
+        .groupBy(*line_key)
+        .agg(
+            (F.sum(F.col("_g") * F.col("_k")) / F.sqrt(F.sum("_k"))).alias("weight"),
+            F.sum("_g").alias("distinct_weight"),
+            F.sum("_k").alias("words"),
+        )
+    )
+
+
+def spaced_quotes(
+    weighted: DataFrame, keys: Sequence[str], *, min_gap: float = MIN_QUOTE_GAP, limit: int = QUOTES_PER_CHAPTER
+) -> DataFrame:
+    """Heaviest lines of each chapter, earlier first on ties, at least *min_gap* apart."""
+    from tidemark.operators.choose import spaced_picks
+
+    return spaced_picks(
+        weighted,
+        keys,
+        t="start",
+        rank=[-F.round("weight", 9), F.col("start"), F.col("seg")],
+        gap=min_gap,
+        limit=limit,
+        carry=["seg", "weight"],
+    )
+
+
+def name_tokens(name: str) -> list[str]:
+    """The words inside a class name written in snake, kebab or spaced form."""
+    import re
+
+    return sorted(set(re.findall(r"[^\W\d_]{2,}", name.replace("_", " ").replace("-", " ").lower())))
+
+
+def vocabulary_gaps(distinctive: DataFrame, group: Sequence[str], classes: Sequence[str], doc: str) -> DataFrame:
+    """Distinctive words that are no token of any class name, best eight a group."""
+    covered = sorted({t for c in classes for t in name_tokens(c)})
+    ok = distinctive.filter(
+        ~F.col("word").isin(*covered)
+        & (F.col("times") >= MIN_KEYNESS_FOR_GAP)
+        & (F.col("count") >= MIN_COUNT_FOR_GAP)
+    )
+    rows = ok.groupBy(*group, "word").agg(
+        F.sum("count").alias("count"), F.max("times").alias("times"), F.count("*").alias("chapters")
+    )
+    w = Window.partitionBy(*group).orderBy(F.desc("times"), F.desc("count"), "word")
+    return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= TOP_GAPS)
+
+
+def _name_table(classes: Sequence[str]):
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("name"), F.array(*[F.lit(t) for t in name_tokens(c)]).alias("tokens")
+            )
+            for c in classes
+        ]
+    )
+
+
+def name_mentions(lines: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    """First line of each chapter that holds all tokens of a multi-word class name.
+
+    The class list is a rule-sized literal, tested inside the row.
+    """
+    multi = [c for c in classes if len(name_tokens(c)) > 1]
+    words = F.array_distinct(tokens(F.col("text")))
+    hit = F.filter(_name_table(multi), lambda n: F.size(F.array_except(n["tokens"], words)) == 0)
+    found = lines.select(*keys, "seg", "start", F.explode(F.transform(hit, lambda n: n["name"])).alias("name"))
+    return found.groupBy(*keys, "name").agg(
+        F.min_by("seg", F.struct("start", "seg")).alias("seg"), F.min("start").alias("said_at")
+    )
+
+
+def word_mentions(
+    distinctive: DataFrame, named: DataFrame, keys: Sequence[str], classes: Sequence[str]
+) -> DataFrame:
+    """Distinctive words that are a token of class names not already named in full."""
+    table = [(t, c) for c in classes for t in name_tokens(c)]
+    covering = F.transform(
+        F.filter(
+            F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in table]),
+            lambda p: p["t"] == F.col("word"),
+        ),
+        lambda p: p["c"],
+    )
+    x = distinctive.select(*keys, "word", "count", "times", F.explode(covering).alias("name"))
+    return (
+        x.join(named.select(*keys, "name"), [*keys, "name"], "left_anti")
+        .groupBy(*keys, "word", "count", "times")
+        .agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("classes"))
+    )
+
+
+def unmeasured_claims(
+    quotes: DataFrame, group: Sequence[str], chapter: str, classes: Sequence[str], *, limit: int = MAX_CLAIMS
+) -> DataFrame:
+    """Quoted lines of 8+ words sharing no word with any class, best of each chapter, top five.
+
+    *quotes* has ``text, start, words, distinct_weight``.
+    """
+    covered = F.array(*[F.lit(t) for t in sorted({t for c in classes for t in name_tokens(c)})])
+    ok = quotes.filter(
+        (F.col("words") >= MIN_CLAIM_WORDS) & ~F.arrays_overlap(tokens(F.col("text")), covered)
+    ).withColumn("score", F.round("distinct_weight", 6))
+    per = Window.partitionBy(*group, chapter).orderBy(F.desc("score"), "start", "seg")
+    best = ok.withColumn("_p", F.row_number().over(per)).filter("_p = 1")
+    w = Window.partitionBy(*group).orderBy(F.desc("score"), "start", "seg")
+    return best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit).drop("_p")
+
+
+def first_of_duplicates(lines: DataFrame, keys: Sequence[str], *, text: str, order: str) -> DataFrame:
+    """First line of each distinct trimmed, lower-cased text.
+
+    Grouping is by a digest of the text with a map-side minimum, so neither a hot
+    text nor its copies travel.
+    """
+    norm = F.sha2(F.lower(F.trim(text)), 256)
+    first = lines.groupBy(*keys, norm.alias("_k")).agg(F.min(order).alias(order))
+    return lines.join(first.drop("_k"), [*keys, order], "left_semi")
+
+
+def join_up(segments: DataFrame, keys: Sequence[str], *, gap: float = 0.5, longest: float = 6.0, short: float = 3.0) -> DataFrame:
+    """Short neighbouring lines merged while the pause is small and no sentence ends.
+
+    Whether a line joins depends on what was merged so far, so it is a fold. The
+    fold runs per stretch of lines with pauses under *gap*: a larger pause always
+    starts a new line, which bounds the stretch and keeps a long transcript out of
+    one fold.
+    """
+    ran = run_ids(
+        segments,
+        keys,
+        ["start", "seg"],
+        F.struct(F.col("end").alias("e")),
+        lambda p: (F.col("start") - p["e"] >= gap) | (F.col("end") - F.col("start") >= short),
+        "_run",
+        "start",
+    )
+    row = F.struct("start", "seg", "end", "text")
+    packed = ran.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(row)).alias("_s"))
+    piece = "array<struct<start: double, end: double, text: string>>"
+
+    def step(done, s):
+        last = F.element_at(done, -1)
+        fits = (
+            (F.size(done) > 0)
+            & (s["start"] - last["end"] < gap)
+            & (s["end"] - last["start"] <= longest)
+            & (last["end"] - last["start"] < short)
+            & (s["end"] - s["start"] < short)
+            & ~F.trim(last["text"]).rlike(r"[.!?]$")
+        )
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
+        joined = F.struct(
+            last["start"].alias("start"),
+            s["end"].alias("end"),
+            F.concat(last["text"], F.lit(" "), s["text"]).alias("text"),
+        )
+        return F.when(
+            F.coalesce(fits, F.lit(False)),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined)),
+        ).otherwise(F.concat(done, F.array(own)))
+
+    folded = packed.select(*keys, F.explode(F.aggregate("_s", F.array().cast(piece), step)).alias("_m"))
+    return folded.select(*keys, "_m.*")
+
+
+def pause_marks(segments: DataFrame, keys: Sequence[str], *, pause: float = 2.0, every: float = 30.0) -> DataFrame:
+    """Pause before each line (when long enough) and whether a time stamp is shown.
+
+    A stamp is shown on the first line, after a pause, and when more than *every*
+    seconds passed since the last one shown.
+    """
+    from tidemark.operators.axis import neighbour
+
+    seen = neighbour(segments, keys, ["start", "seg"], F.struct(F.col("end").alias("e")), "_p", "start")
+    gap = F.col("start") - F.col("_p.e")
+    marked = seen.select(
+        *keys,
+        "seg",
+        "start",
+        F.when(gap >= pause, F.round(gap, 1)).alias("pause"),
+        (F.col("_p").isNull() | (gap >= pause)).alias("_forced"),
+    )
+    # between forced stamps the rule is a fold over the stretch's line starts
+    ran = run_ids(marked, keys, ["start", "seg"], F.struct(F.lit(1).alias("x")), lambda p: F.col("_forced"), "_run", "start")
+    packed = ran.groupBy(*keys, "_run").agg(
+        F.array_sort(F.collect_list(F.struct("start", "seg", "pause"))).alias("_s")
+    )
+    out = "array<struct<seg: bigint, start: double, pause: double, stamp: boolean>>"
+    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(out).alias("rows"))
+
+    def step(s, x):
+        show = s["last"].isNull() | (x["start"] - s["last"] > every)
+        row = F.struct(
+            x["seg"].cast("bigint").alias("seg"), x["start"].alias("start"), x["pause"].alias("pause"), show.alias("stamp")
+        )
+        return F.struct(
+            F.when(show, x["start"]).otherwise(s["last"]).alias("last"),
+            F.concat(s["rows"], F.array(row)).alias("rows"),
+        )
+
+    folded = packed.select(*keys, F.explode(F.aggregate("_s", state, step, lambda s: s["rows"])).alias("_m"))
+    return folded.select(*keys, "_m.*")
+
+
+def rebase_chunks(segments: DataFrame, *, chunk: str = "chunk", length: float = 600.0) -> DataFrame:
+    """Chunk-relative lines on the whole video's clock; too short or invalid lines dropped."""
+    from tidemark.operators.filters import valid_speech
+
+    shift = F.col(chunk) * length
+    return (
+        segments.filter((F.length(F.trim("text")) >= 3) & valid_speech(F.col("text")))
+        .withColumn("start", F.col("start") + shift)
+        .withColumn("end", F.col("end") + shift)
+    )
+
+
+def subtitle_cues(
+    segments: DataFrame,
+    keys: Sequence[str],
+    *,
+    limit: int = 80,
+    min_duration: float = 0.8,
+    chars_per_second: float = 15.0,
+) -> DataFrame:
+    """Numbered subtitle cues: cleaned, split, timed by reading speed.
+
+    A line's chunks share the time it needs to be read, never less than its own
+    duration and never past the next line's start less 0.1 s.
+    """
+    from tidemark.functions.text import bind, clean_subtitle, split_subtitle
+    from tidemark.operators.axis import neighbour, prefix_sum
+    from tidemark.operators.filters import valid_speech
+
+    seen = neighbour(segments, keys, ["start", "seg"], F.col("start"), "_next", "start", step=1)
+    clean = seen.select(
+        *keys, "seg", "start", "end", "_next", F.inline(F.array(F.struct(clean_subtitle(F.col("text")).alias("text"))))
+    ).filter((F.length("text") >= 2) & valid_speech(F.col("text")))
+
+    def timed(chunks):
+        need = F.transform(
+            chunks, lambda c: F.greatest(F.lit(min_duration), F.length(c) / F.lit(chars_per_second))
+        )
+        return F.struct(chunks.alias("chunks"), need.alias("need"))
+
+    x = clean.select(
+        *keys, "seg", "start", "end", "_next", F.inline(F.array(bind(split_subtitle(F.col("text"), limit), timed)))
+    )
+    total = F.aggregate("need", F.lit(0.0), lambda a, n: a + n)
+    own = F.col("end") - F.col("start")
+    room = F.when(
+        F.col("_next").isNotNull(), F.greatest(own, F.least(total, F.col("_next") - F.col("start") - 0.1))
+    ).otherwise(F.greatest(own, total))
+    y = (
+        x.withColumn("_n", F.size("chunks"))
+        .withColumn("_scale", room / total)
+    )
+    y = prefix_sum(y, keys, ["start", "seg"], "_n", "_upto", "start")
+    parts = y.select("*", F.posexplode("chunks").alias("_i", "text"))
+    before = F.aggregate(F.slice("need", F.lit(1), F.col("_i")), F.lit(0.0), lambda a, n: a + n)
+    at = F.col("start") + before * F.col("_scale")
+    return parts.select(
+        *keys,
+        (F.col("_upto") - F.col("_n") + F.col("_i") + 1).cast("long").alias("cue"),
+        at.alias("start"),
+        (at + F.element_at("need", F.col("_i") + 1) * F.col("_scale")).alias("end"),
+        "text",
+    )
+
+
+def retime_to_clips(segments: DataFrame, clips: DataFrame, keys: Sequence[str], *, min_overlap: float = 0.5) -> DataFrame:
+    """Lines cut to the kept clips and moved onto the output clock."""
+    w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = clips.select(
+        *keys,
+        F.col("start").alias("r_start"),
+        F.col("end").alias("r_end"),
+        F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0.0)).alias("_off"),
+    )
+    pairs = overlap_pairs(segments, placed, keys)
+    lo, hi = F.greatest("start", "r_start"), F.least("end", "r_end")
+    return pairs.filter(hi - lo > min_overlap).select(
+        *keys,
+        "seg",
+        (F.col("_off") + lo - F.col("r_start")).alias("start"),
+        (F.col("_off") + hi - F.col("r_start")).alias("end"),
+        "text",
+    )
