@@ -108,3 +108,179 @@ def resolve_cuts(
         .select(*keys, use.alias("method"))
     )
     return cuts.join(chosen, [*keys, "method"]).select(*keys, tick, value, "method", "bar")
+
+
+# Fixed values of the chapter search.
+SHOT_WINDOW = 6
+MIN_CHAPTER = 90.0
+MAX_CHAPTER = 900.0
+BOUNDARY_Z = 1.5
+MIN_SHOTS = 4
+
+
+def pick_boundaries(
+    shots: DataFrame,
+    videos: DataFrame,
+    keys: Sequence[str],
+    *,
+    total: str = "duration",
+    min_gap: float = MIN_CHAPTER,
+    max_run: float = MAX_CHAPTER,
+    z: float = BOUNDARY_Z,
+    target: int | None = None,
+) -> DataFrame:
+    """Cuts that become chapter boundaries.
+
+    *shots* has ``shot, start, novelty``. Strongest first over a robust threshold
+    (or up to a target count), at least *min_gap* from the ends and each other; then
+    any run longer than *max_run* is split at its best inner cut until none is. The
+    splitting is a fold over one video's shots.
+    """
+    from tidemark.operators.choose import spaced_picks
+
+    v = videos.select(*keys, F.col(total).cast("double").alias("_end"))
+    w = Window.partitionBy(*keys).orderBy("start")
+    idx = shots.withColumn("_i", F.row_number().over(w) - 1).withColumn(
+        "_first", F.min("start").over(Window.partitionBy(*keys))
+    )
+    x = idx.join(v, list(keys))
+    inner = x.filter(
+        (F.col("_i") >= 1)
+        & (F.col("start") - F.col("_first") >= min_gap)
+        & (F.col("_end") - F.col("start") >= min_gap)
+    )
+    if target is None:
+        stats = robust_stats(idx.filter("_i >= 1"), keys, value="novelty").select(
+            *keys, robust_threshold(z).alias("_bar")
+        )
+        inner = inner.join(stats, list(keys)).filter(F.col("novelty") >= F.col("_bar"))
+    picks = spaced_picks(
+        inner,
+        keys,
+        t="start",
+        rank=[-F.col("novelty"), -F.col("_i")],
+        gap=min_gap,
+        limit=None if target is None else max(0, target - 1),
+    )
+    chosen = picks.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("_chosen"))
+    table = x.groupBy(*keys, "_end").agg(
+        F.min("start").alias("_first"),
+        F.array_sort(F.collect_list(F.struct("start", "novelty", "_i"))).alias("_shots"),
+    )
+    state = table.join(chosen, list(keys), "left").withColumn(
+        "_chosen", F.coalesce("_chosen", F.array().cast("array<double>"))
+    )
+
+    def split(s: Column, _round: Column) -> Column:
+        edges = F.array_sort(s["cuts"])
+        spans = F.arrays_zip(
+            F.concat(F.array(s["lo"]), edges).alias("a"), F.concat(edges, F.array(s["hi"])).alias("b")
+        )
+        long = F.filter(spans, lambda p: p["b"] - p["a"] > max_run)
+
+        def best(p: Column) -> Column:
+            inside = F.filter(
+                s["shots"],
+                lambda c: (c["_i"] >= 1)
+                & (c["start"] >= p["a"] + min_gap)
+                & (c["start"] <= p["b"] - min_gap)
+                & ~F.array_contains(s["cuts"], c["start"]),
+            )
+            ranked = F.transform(
+                inside, lambda c: F.struct(c["novelty"].alias("n"), (-c["_i"]).alias("i"), c["start"].alias("t"))
+            )
+            return F.array_max(ranked)["t"]
+
+        grown = F.array_compact(F.transform(long, best))
+        more = F.struct(
+            s["lo"].alias("lo"),
+            s["hi"].alias("hi"),
+            s["shots"].alias("shots"),
+            F.concat(s["cuts"], grown).alias("cuts"),
+            (F.size(grown) == 0).alias("done"),
+        )
+        return F.when(s["done"], s).otherwise(more)
+
+    start = F.struct(
+        F.col("_first").alias("lo"),
+        F.col("_end").alias("hi"),
+        F.col("_shots").alias("shots"),
+        F.col("_chosen").alias("cuts"),
+        F.lit(max_run <= 0).alias("done"),
+    )
+    rounds = F.sequence(F.lit(1), F.lit(64))
+    filled = state.select(
+        *keys,
+        F.explode(F.array_sort(F.aggregate(rounds, start, split, lambda s: s["cuts"]))).alias("start"),
+    )
+    return filled
+
+
+def even_boundaries(
+    shots: DataFrame,
+    videos: DataFrame,
+    keys: Sequence[str],
+    *,
+    total: str = "duration",
+    min_gap: float = MIN_CHAPTER,
+    max_run: float = MAX_CHAPTER,
+    target: int | None = None,
+) -> DataFrame:
+    """Cuts nearest to evenly spaced marks, for videos with nothing to measure."""
+    end = F.col(total).cast("double")
+    if target and target > 1:
+        count = F.lit(target)
+    else:
+        count = F.greatest(F.lit(1), F.rint(end / max(min_gap * 3, 1.0)).cast("int"))
+        if max_run > 0:
+            count = F.greatest(count, F.ceil(end / max_run).cast("int"))
+    table = shots.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("_s"))
+    x = table.join(videos.select(*keys, total), list(keys)).withColumn("_n", count).filter("_n > 1")
+
+    def place(kept: Column, k: Column) -> Column:
+        mark = end * k / F.col("_n")
+        near = F.array_min(
+            F.transform(
+                "_s", lambda t, i: F.struct(F.abs(t - mark).alias("d"), i.alias("i"), t.alias("t"))
+            )
+        )
+        ok = (near["i"] >= 1) & ~F.exists(kept, lambda c: F.abs(c - near["t"]) < min_gap)
+        return F.when(ok, F.concat(kept, F.array(near["t"]))).otherwise(kept)
+
+    cuts = F.aggregate(F.sequence(F.lit(1), F.col("_n") - 1), F.array().cast("array<double>"), place)
+    return x.select(*keys, F.explode(F.array_sort(cuts)).alias("start"))
+
+
+def chapters_from_cuts(
+    cuts: DataFrame, scenes: DataFrame, shots: DataFrame, videos: DataFrame, keys: Sequence[str], *, total: str = "duration"
+) -> DataFrame:
+    """Numbered chapters between the boundaries: shots inside, score of the opening cut."""
+    from tidemark.operators.joins import points_in_spans
+
+    v = videos.select(*keys, F.col(total).cast("double").alias("_end"))
+    edges = cuts.select(*keys, "start").unionByName(v.select(*keys, F.lit(0.0).alias("start"))).distinct()
+    w = Window.partitionBy(*keys).orderBy("start")
+    spans = (
+        edges.join(v, list(keys))
+        .withColumn("number", F.row_number().over(w))
+        .withColumn("end", F.coalesce(F.lead("start").over(w), F.col("_end")))
+        .filter(F.col("end") > F.col("start"))
+        .drop("_end")
+    )
+    per = points_in_spans(
+        scenes.select(*keys, F.col("start").alias("_t")), spans.select(*keys, "number", "start", "end"), keys, t="_t"
+    )
+    n = per.groupBy(*keys, "number").agg(F.count("*").alias("shots"))
+    score = shots.select(*keys, "start", F.col("novelty").alias("_s"))
+    return (
+        spans.join(n, [*keys, "number"], "left")
+        .join(score, [*keys, "start"], "left")
+        .select(
+            *keys,
+            "number",
+            "start",
+            "end",
+            F.coalesce("shots", F.lit(0)).alias("shots"),
+            F.round(F.when(F.col("number") > 1, F.coalesce("_s", F.lit(0.0))).otherwise(0.0), 4).alias("boundary_score"),
+        )
+    )
