@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def even_sample(frames: DataFrame, keys: Sequence[str], *, order: str, length: int) -> DataFrame:
-    """Every n-th frame so that a sequence of about *length* frames remains."""
+def strided_sample(
+    frames: DataFrame, keys: Sequence[str], *, order: str, length: int, low: int = 3, high: int = 8
+) -> DataFrame:
+    """The first *length* frames at a stride of ``n // (2 * length)`` held in [low, high]."""
     w = Window.partitionBy(*keys)
     i = F.row_number().over(w.orderBy(order)) - 1
-    stride = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / length))
+    stride = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.count("*").over(w) / (length * 2))))
     return (
         frames.withColumn("_i", i)
         .withColumn("_s", stride)
-        .filter((F.col("_i") % F.col("_s") == 0) & (F.floor(F.col("_i") / F.col("_s")) < length))
+        .filter((F.col("_i") % F.col("_s") == 0) & (F.col("_i") < F.col("_s") * length))
         .drop("_i", "_s")
     )
+
+
+def even_sample(frames: DataFrame, keys: Sequence[str], *, order: str, length: int) -> DataFrame:
+    """*length* positions evenly spread from the first frame to the last, truncated to frames."""
+    w = Window.partitionBy(*keys)
+    i = F.row_number().over(w.orderBy(order)) - 1
+    x = frames.withColumn("_i", i).withColumn("_n", F.count("*").over(w))
+    # a frame is taken for each of the positions k * (n - 1) / (length - 1) it holds
+    step = (F.col("_n") - 1) / F.lit(max(length - 1, 1))
+    spots = F.filter(
+        F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.floor(k * step) == F.col("_i")
+    )
+    return x.withColumn("position", F.explode(spots)).drop("_i", "_n")

@@ -364,10 +364,24 @@ def median_smoothing(spark, sf):
     "t16_even_sampling",
     "T16",
     EMB
-    + """, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM embedding) SELECT video_id, sec FROM n WHERE i % greatest(1, n // 16) = 0 AND i // greatest(1, n // 16) < 16""",
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM embedding), p AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS position)
+    SELECT video_id, sec, position FROM n JOIN p ON floor(position * ((n - 1) / 15.0::DOUBLE)) = i""",
 )
 def even_sampling(spark, sf):
-    """Frames at an even stride up to a fixed sequence length."""
+    """Sixteen positions evenly spread over each video."""
     from tidemark.operators.sampling import even_sample
 
-    return even_sample(fx.embedding(spark, sf), K, order="sec", length=16).select("video_id", "sec")
+    return even_sample(fx.embedding(spark, sf), K, order="sec", length=16).select("video_id", "sec", "position")
+
+
+@query(
+    "t16_strided_sampling",
+    "T16",
+    EMB
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM embedding) SELECT video_id, sec FROM n WHERE i % greatest(3, least(8, n // 16)) = 0 AND i < greatest(3, least(8, n // 16)) * 8""",
+)
+def strided_sampling(spark, sf):
+    """The first eight frames at a stride that depends on the video's length."""
+    from tidemark.operators.sampling import strided_sample
+
+    return strided_sample(fx.embedding(spark, sf), K, order="sec", length=8).select("video_id", "sec")
