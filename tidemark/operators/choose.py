@@ -306,22 +306,18 @@ def snapped_clusters(
     ).select(*[c for c in ident if c not in ("start", "end")], F.col("_nlo").alias("start"), F.col("_nhi").alias("end"))
 
 
-def point_regions(
-    points: DataFrame,
-    scenes: DataFrame,
-    keys: Sequence[str],
-    *,
-    t: str,
-    source: str,
-    gap: float = 2.0,
-    min_pad: float = 0.5,
-    max_pad: float = 2.0,
-) -> DataFrame:
-    """Candidate regions of one point signal: clustered, padded, snapped."""
+def point_regions(points: DataFrame, scenes: DataFrame, keys: Sequence[str], *, t: str) -> DataFrame:
+    """Candidate regions of point signals: clustered, padded, snapped to scenes.
+
+    *points* carries each signal's own ``source, gap, min_pad, max_pad``, so all
+    signals are clustered in one pass.
+    """
     from tidemark.operators.islands import pad_clusters, point_islands
 
-    c = pad_clusters(point_islands(points, keys, t, gap), min_pad=min_pad, max_pad=max_pad)
-    return snapped_clusters(c, scenes, keys).withColumn("source", F.lit(source))
+    k = [*keys, "source", "gap", "min_pad", "max_pad"]
+    c = point_islands(points, k, t, F.col("gap"))
+    c = pad_clusters(c, min_pad=F.col("min_pad"), max_pad=F.col("max_pad")).drop("gap", "min_pad", "max_pad")
+    return snapped_clusters(c, scenes, keys)
 
 
 def merge_regions(regions: DataFrame, keys: Sequence[str], *, gap: float = 1.5) -> DataFrame:

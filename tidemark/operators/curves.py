@@ -220,23 +220,28 @@ def hold_and_reach(
     sustained: int = 1,
     within: int = 0,
     tick: str = "sec",
-    out: str = "met",
 ) -> DataFrame:
-    """A condition held for *sustained* consecutive rows passes for its whole run and
-    then reaches *within* rows either way. A missing flag is never true.
+    """Rows of *flags* where a condition holds after its shape modifiers.
 
-    *flags* is dense; run lengths come from the two-level islands.
+    Held for *sustained* consecutive rows it passes for its whole run, and every
+    passing run then reaches *within* rows either way. A missing flag is never
+    true. Runs come from the two-level islands; only true rows are touched.
+    """
+    on = flags.filter(F.coalesce(F.col(flag), F.lit(False))).select(*keys, tick).distinct()
+    met = widened_runs(on, keys, tick=tick, sustained=F.lit(sustained), within=F.lit(within))
+    return flags.join(met, [*keys, tick], "left_semi")
+
+
+def widened_runs(on: DataFrame, keys: Sequence[str], *, tick: str, sustained: Column, within: Column) -> DataFrame:
+    """Ticks covered by the runs of *on* that last long enough, widened on both sides.
+
+    *sustained* and *within* may depend on *keys*.
     """
     from tidemark.operators.islands import point_islands
 
-    on = flags.filter(F.coalesce(F.col(flag), F.lit(False)))
     runs = point_islands(on, keys, tick, 1).filter(F.col("end") - F.col("start") + 1 >= sustained)
-    held = runs.select(*keys, F.explode(F.sequence("start", "end")).alias(tick)).withColumn("_h", F.lit(1))
-    base = flags.join(held, [*keys, tick], "left")
-    if within <= 0:
-        return base.withColumn(out, F.col("_h").isNotNull()).drop("_h")
-    reached = bounded_frames(base, keys, {"_r": (F.max("_h"), -within, within)}, tick=tick)
-    return reached.withColumn(out, F.col("_r").isNotNull()).drop("_h", "_r")
+    ticks = F.sequence(F.greatest(F.lit(0), F.col("start") - within), F.col("end") + within)
+    return runs.select(*keys, F.explode(ticks).alias(tick)).distinct()
 
 
 def robust_z_of_subset(

@@ -35,7 +35,7 @@ _PARTIAL = {
 Aggs = Mapping[str, tuple[str, str | Column]]
 
 
-def _far(distance: Column, gap: float, strict: bool) -> Column:
+def _far(distance: Column, gap: float | Column, strict: bool) -> Column:
     """True when *distance* is too large to join (``strict``: equal is too large)."""
     return distance >= gap if strict else distance > gap
 
@@ -96,7 +96,7 @@ def point_islands(
     df: DataFrame,
     keys: Sequence[str],
     t: str,
-    gap: float,
+    gap: float | Column,
     *,
     strict: bool = False,
     aggs: Aggs | None = None,
@@ -104,8 +104,8 @@ def point_islands(
 ) -> DataFrame:
     """Runs of points no more than *gap* apart: ``keys, start, end`` + *aggs*.
 
-    *aggs* maps an output name to ``(kind, column)`` with kind one of
-    min/max/sum/count/set.
+    *gap* may be a column made of *keys*. *aggs* maps an output name to
+    ``(kind, column)`` with kind one of min/max/sum/count/set.
     """
     aggs = dict(aggs or {})
     placed = df.withColumn("_chunk", chunk_of(t, chunk))
@@ -196,15 +196,18 @@ def subtract_intervals(
     )
 
 
-def pad_clusters(clusters: DataFrame, *, min_pad: float = 0.5, max_pad: float = 2.0) -> DataFrame:
+def pad_clusters(
+    clusters: DataFrame, *, min_pad: float | Column = 0.5, max_pad: float | Column = 2.0
+) -> DataFrame:
     """Pad a cluster on both sides: 1.0 when it spans under a second, else 0.5.
 
     The pad is clamped to ``[min_pad, max_pad]`` and the start to 0. Padded
     neighbours may overlap; they are not merged again here.
     """
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     pad = F.least(
-        F.lit(max_pad),
-        F.greatest(F.lit(min_pad), F.when(F.col("end") - F.col("start") < 1.0, 1.0).otherwise(0.5)),
+        lit(max_pad),
+        F.greatest(lit(min_pad), F.when(F.col("end") - F.col("start") < 1.0, 1.0).otherwise(0.5)),
     )
     return (
         clusters.withColumn("_pad", pad)

@@ -95,16 +95,20 @@ def _regions(spark, sf):
         (F.col("t") + 1.5).alias("end"),
         F.lit("keyword:deal").alias("source"),
     )
-    objects = d.filter("label = 'view'").select("video_id", F.col("sec").cast("double").alias("t"))
+    kind = lambda src, at, gap, lo, hi: F.struct(
+        F.lit(src).alias("source"), at.alias("t"), F.lit(gap).alias("gap"), F.lit(lo).alias("min_pad"), F.lit(hi).alias("max_pad")
+    )
+    kinds = (
+        F.when(F.col("label") == "view", kind("objects:view", F.col("sec").cast("double"), 3.0, 1.0, 3.0))
+        .when(F.col("label") == "click", kind("motion_event", F.col("t"), 2.0, 0.5, 2.0))
+        .when(F.col("label") == "purchase", kind("audio_peak", F.col("t"), 2.0, 1.0, 3.0))
+    )
+    points = d.select("video_id", kinds.alias("_k")).filter("_k IS NOT NULL").select("video_id", "_k.*")
     parts = [
         scenes.withColumn("source", F.lit("scene")).filter("end - start < 48"),
         acts,
         words,
-        choose.point_regions(objects, scenes, K, t="t", source="objects:view", gap=3.0, min_pad=1.0, max_pad=3.0),
-        choose.point_regions(d.filter("label = 'click'"), scenes, K, t="t", source="motion_event"),
-        choose.point_regions(
-            d.filter("label = 'purchase'"), scenes, K, t="t", source="audio_peak", min_pad=1.0, max_pad=3.0
-        ),
+        choose.point_regions(points, scenes, K, t="t"),
     ]
     out = parts[0].select("video_id", "start", "end", "source")
     for p in parts[1:]:

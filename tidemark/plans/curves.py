@@ -206,7 +206,7 @@ def condition_mask(spark, sf):
     sparse = fx.tick_value(spark, sf).select("video_id", "sec", (F.col("value") > 20).alias("flag"))
     dense = fx.curve(spark, sf).select("video_id", "sec").join(sparse, ["video_id", "sec"], "left")
     m = curves.hold_and_reach(dense, K, flag="flag", sustained=2, within=3)
-    return m.filter("met").select("video_id", "sec")
+    return m.select("video_id", "sec")
 
 
 _LEN = (3, 5, 8)
