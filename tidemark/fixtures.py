@@ -452,3 +452,33 @@ def ranked_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = label_sec(spark, sf_dir).groupBy("video_id", "sec").agg(F.max("conf").alias("conf"))
     s = score_sec(spark, sf_dir).select("video_id", "sec", F.round("score", 6).alias("score"))
     return s.join(c, ["video_id", "sec"], "left").withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+
+
+def moment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate moments: runs of scored hours ranked by rounded density; 1-5 are kept."""
+    from pyspark.sql import Window
+
+    from tidemark.operators.islands import point_islands
+
+    hot = score_sec(spark, sf_dir).filter("score > 0")
+    runs = point_islands(hot, ["video_id"], "sec", 2, aggs={"score": ("sum", "score")})
+    end = F.col("end") + 1
+    dense = F.round(F.col("score") / F.greatest(F.lit(0.5), end - F.col("start")), 6)
+    w = Window.partitionBy("video_id").orderBy(F.desc("density"), "start")
+    return (
+        runs.withColumn("density", dense)
+        .withColumn("end", end.cast("double"))
+        .withColumn("idx", F.row_number().over(w))
+        .filter("idx <= 10")
+        .select("video_id", "idx", F.col("start").cast("double").alias("start"), "end", F.round("score", 6).alias("score"))
+    )
+
+
+CTES["moment"] = (
+    ("score_sec",),
+    "SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY round(score / greatest(0.5, e - s), 6) DESC, s) AS INTEGER) AS idx, "
+    'CAST(s AS DOUBLE) AS start, CAST(e AS DOUBLE) AS "end", round(score, 6) AS score FROM ('
+    "SELECT video_id, min(sec) AS s, max(sec) + 1 AS e, sum(score) AS score FROM (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY sec) AS island FROM ("
+    "SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY video_id ORDER BY sec) <= 2 THEN 0 ELSE 1 END AS fresh FROM score_sec WHERE score > 0)) GROUP BY video_id, island) "
+    "QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(score / greatest(0.5, e - s), 6) DESC, s) <= 10",
+)
