@@ -129,7 +129,11 @@ def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as boxes, five to a frame, class from the label."""
-    e = table(spark, sf_dir, "embeddings")
+    return box_columns(table(spark, sf_dir, "embeddings"))
+
+
+def box_columns(e: DataFrame) -> DataFrame:
+    """The box view of rows of the embedding table, batch or stream."""
     v = [F.col("embedding")[i].cast("double") for i in range(5)]
     return e.select(
         F.expr("vec_id div 100").alias("video_id"),

@@ -34,3 +34,68 @@ def even_sample(frames: DataFrame, keys: Sequence[str], *, order: str, length: i
         F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.floor(k * step) == F.col("_i")
     )
     return x.withColumn("position", F.explode(spots)).drop("_i", "_n")
+
+
+def class_weights(examples: DataFrame, *, label: str = "label") -> DataFrame:
+    """Inverse-frequency weights: total / (classes * count)."""
+    n = examples.groupBy(label).agg(F.count("*").alias("count"))
+    whole = n.agg(F.sum("count").alias("_total"), F.count("*").alias("_classes"))
+    return (
+        n.crossJoin(F.broadcast(whole))  # one row
+        .withColumn("weight", F.col("_total") / (F.col("_classes") * F.col("count")))
+        .drop("_total", "_classes")
+    )
+
+
+def resplit(
+    examples: DataFrame,
+    *,
+    label: str,
+    ident: str,
+    is_val: str,
+    min_train: int = 5,
+    min_val: int = 2,
+    min_ratio: float = 0.2,
+    max_ratio: float = 0.3,
+    seed: int = 42,
+) -> DataFrame:
+    """Labels with enough training examples, re-split where validation is too thin.
+
+    A thin label's examples are ranked by a seeded digest and the first
+    ``ceil(ratio * n)`` become validation. The rank is exact without ordering a
+    whole label in one task: counts per digest slice give the offset, and only a
+    slice is ordered.
+    """
+    counts = examples.groupBy(label).agg(
+        F.count("*").alias("_n"), F.count(F.when(F.col(is_val), 1)).alias("_v")
+    )
+    train = F.col("_n") - F.col("_v")
+    thin = (F.col("_v") < min_val) | (F.col("_v") / F.col("_n") < min_ratio)
+    ratio = F.least(F.greatest(F.lit(float(min_val)) / F.col("_n"), F.lit(min_ratio)), F.lit(max_ratio))
+    plan = (
+        counts.filter((train >= min_train) & (~thin | (F.col("_n") >= min_train + min_val)))
+        .withColumn("_take", F.when(thin, F.ceil(F.round(ratio * F.col("_n"), 9))))
+        .select(label, "_take")
+    )
+    h = F.xxhash64(F.col(ident), F.lit(seed))
+    x = examples.withColumn("_h", h).withColumn("_slice", F.shiftrightunsigned(F.col("_h"), 52).cast("int"))
+    slices = x.groupBy(label, "_slice").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offset = slices.select(label, "_slice", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(label, "_slice").orderBy("_h", ident)
+    ranked = (
+        x.withColumn("_r", F.row_number().over(inner))
+        .join(offset, [label, "_slice"])
+        .join(plan, label)
+    )
+    val = F.when(F.col("_take").isNotNull(), F.col("_before") + F.col("_r") <= F.col("_take")).otherwise(F.col(is_val))
+    return ranked.withColumn(is_val, val).drop("_h", "_slice", "_r", "_before", "_take")
+
+
+def pruned_classes(accuracy: DataFrame, *, label: str = "label", minimum: float = 0.3) -> DataFrame:
+    """Classes that reach a validation accuracy, re-indexed without gaps.
+
+    One row per class, so the global order is over the class list.
+    """
+    kept = accuracy.filter(F.col("accuracy") >= minimum)
+    return kept.withColumn("new_index", F.row_number().over(Window.orderBy(label)) - 1)

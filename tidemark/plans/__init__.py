@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans.registry import REGISTRY, Query
 
-MODULES = ("intervals", "scoring", "curves", "compare", "readings", "speech", "vectors", "choose", "rules", "explain")
+MODULES = ("intervals", "scoring", "curves", "compare", "readings", "speech", "vectors", "choose", "rules", "explain", "storage", "streams")
 
 
 def load_all() -> dict[str, Query]:
