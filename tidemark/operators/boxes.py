@@ -272,9 +272,14 @@ def synchrony(tracks: DataFrame, keys: Sequence[str], *, frame: str, a: int = 0,
         step("_b.cx").alias("bx"),
         step("_b.cy").alias("by"),
     )
-    clipped = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.corr(*c), F.lit(0.0)), F.lit(0.0)))
+
+    def clipped(a: str, b: str) -> Column:
+        # no variation on one side is no correlation
+        spread = F.stddev_pop(a) * F.stddev_pop(b)
+        return F.greatest(F.lit(0.0), F.when(spread > 0, F.covar_pop(a, b) / spread).otherwise(0.0))
+
     return moves.groupBy(*keys).agg(
         F.when(F.count("*") < 5, F.lit(0.5))
-        .otherwise((clipped(("ax", "bx")) + clipped(("ay", "by"))) / 2)
+        .otherwise((clipped("ax", "bx") + clipped("ay", "by")) / 2)
         .alias("synchrony")
     )

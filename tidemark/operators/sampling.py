@@ -89,7 +89,7 @@ def resplit(
         .join(plan, label)
     )
     val = F.when(F.col("_take").isNotNull(), F.col("_before") + F.col("_r") <= F.col("_take")).otherwise(F.col(is_val))
-    return ranked.withColumn(is_val, val).drop("_h", "_slice", "_r", "_before", "_take")
+    return ranked.withColumn(is_val, val).select(*examples.columns)
 
 
 def pruned_classes(accuracy: DataFrame, *, label: str = "label", minimum: float = 0.3) -> DataFrame:

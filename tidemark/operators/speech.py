@@ -194,7 +194,8 @@ def chapter_speech(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]
         .agg(F.sum("speech_seconds").alias("_spoken"))
     )
     total = chapters.groupBy(*keys).agg(F.max("end").alias("_end"))
-    share = F.coalesce("speech_seconds", F.lit(0.0)) * 100.0 / (F.col("end") - F.col("start"))
+    length = F.col("end") - F.col("start")
+    share = F.when(length > 0, F.coalesce("speech_seconds", F.lit(0.0)) * 100.0 / length).otherwise(0.0)
     vshare = F.col("_spoken") * 100.0 / F.col("_end")
     return (
         chapters.join(words, [*keys, "number"], "left")
@@ -208,7 +209,7 @@ def chapter_speech(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]
             F.coalesce("words", F.lit(0)).alias("words"),
             F.coalesce("speech_seconds", F.lit(0.0)).alias("speech_seconds"),
             share.alias("speech_share_pct"),
-            (F.coalesce("words", F.lit(0)) / ((F.col("end") - F.col("start")) / 60.0)).alias("words_per_minute"),
+            F.when(length > 0, F.coalesce("words", F.lit(0)) / (length / 60.0)).alias("words_per_minute"),
             (share / vshare).alias("speech_lift"),
         )
     )

@@ -188,7 +188,7 @@ def edit_list(spark, sf):
     "s13_chapter_metadata",
     "S13",
     fx.with_views("chapter")
-    + """ SELECT video_id, number, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (start * 1000)::BIGINT || chr(10) || 'END=' || ("end" * 1000)::BIGINT || chr(10) || 'title=Part \\\\ \\#' || number || X AS value FROM chapter""",
+    + """ SELECT video_id, number, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (start * 1000)::BIGINT || chr(10) || 'END=' || ("end" * 1000)::BIGINT || chr(10) || 'title=Part \\\\ \\#' || number || ' \\= a\\;b' AS value FROM chapter""",
 )
 def chapter_metadata(spark, sf):
     """ffmetadata blocks with escaped titles."""
