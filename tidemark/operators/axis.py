@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shuffle_width
+
 DEFAULT_CHUNK = 4096
 
 
@@ -26,9 +28,15 @@ def chunk_of(col: Column | str, width: float = DEFAULT_CHUNK) -> Column:
 
 
 def dense_axis(videos: DataFrame, keys: Sequence[str], length: str, tick: str = "sec") -> DataFrame:
-    """One row per whole tick in ``[0, length)``; *videos* has one row per entity."""
+    """One row per whole tick in ``[0, length)``; *videos* has one row per entity.
+
+    The few bytes of *videos* would be coalesced into one task, and everything up to
+    the next shuffle would then run there on the expanded axis; they are therefore
+    dealt out by key first, to a fixed number of partitions.
+    """
     last = F.col(length).cast("int") - 1
-    return videos.filter(last >= 0).select(*keys, F.explode(F.sequence(F.lit(0), last)).alias(tick))
+    dealt = videos.filter(last >= 0).repartition(shuffle_width(videos), *keys)
+    return dealt.select(*keys, F.explode(F.sequence(F.lit(0), last)).alias(tick))
 
 
 def with_halo(

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.operators.axis import DEFAULT_CHUNK, chunk_window, drop_halo, with_halo
+from tidemark.session import shuffle_width
 
 # The vocal gate and the robust scale factor.
 VOCAL_MAX_FLATNESS = 0.08
@@ -44,17 +48,6 @@ def energy_level(frames: DataFrame, keys: Sequence[str], *, rms: str, tick: str
     )
 
 
-def bind(x: Column, fn) -> Column:
-    """Evaluate *x* once and hand it to *fn*, as a local name would."""
-    return F.transform(F.array(x), fn)[0]
-
-
-def _median_of_sorted(a: Column, n: Column) -> Column:
-    lo = F.element_at(a, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(a, F.floor((n + 2) / 2).cast("int"))
-    return (lo + hi) / 2
-
-
 def rolling_baseline(
     curve: DataFrame,
     keys: Sequence[str],
@@ -67,31 +60,39 @@ def rolling_baseline(
 ) -> DataFrame:
     """Rolling median and scaled MAD over ``2*half+1`` rows, and the z of each row.
 
-    The frame is truncated at the ends. One sorted copy of the frame gives both
-    medians; the frame is bounded, so the array is too.
+    The frame is truncated at the ends. Spark places each chunk of the axis with its
+    halo in a group of at most ``chunk + 2 * half`` rows; inside it all frames are
+    sorted at once in numpy. The same thing as a native array expression over a
+    collected frame took about eight times as long.
     """
-    w = chunk_window(keys, tick).rowsBetween(-half, half)
-    framed = with_halo(curve, tick, half, half, chunk).withColumn("_f", F.collect_list(value).over(w))
-
-    def stats(f: Column) -> Column:
-        return bind(
-            F.struct(f.alias("f"), _median_of_sorted(f, F.size(f)).alias("b")),
-            lambda s: F.struct(
-                s["b"].alias("baseline"),
-                bind(
-                    F.sort_array(F.transform(s["f"], lambda x: F.abs(x - s["b"]))),
-                    lambda d: F.lit(MAD_TO_SIGMA) * _median_of_sorted(d, F.size(d)),
-                ).alias("spread"),
-            ),
-        )
+    halo = with_halo(curve, tick, half, half, chunk)
+    # A curve already placed by video would not be moved again, and all chunks of a
+    # hot video would stay in one task.
+    halo = halo.repartition(shuffle_width(curve), *keys, "_chunk")
+    schema = StructType([*halo.schema.fields, StructField("baseline", DoubleType()), StructField("spread", DoubleType())])
+
+    def medians(frames: np.ndarray, n: np.ndarray) -> np.ndarray:
+        # missing places sort to the end of a frame
+        ordered = np.sort(frames, axis=1)
+        row = np.arange(len(n))
+        return (ordered[row, (n - 1) // 2] + ordered[row, n // 2]) / 2.0
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(tick)
+        gap = np.full(half, np.nan)
+        padded = np.concatenate([gap, pdf[value].to_numpy(dtype=float), gap])
+        frames = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
+        n = (~np.isnan(frames)).sum(axis=1)
+        base = medians(frames, n)
+        pdf["baseline"] = base
+        pdf["spread"] = MAD_TO_SIGMA * medians(np.abs(frames - base[:, None]), n)
+        return pdf[pdf["_own"]]
 
-    # The generator keeps the sorted frame from being recomputed by each later
-    # reference to its results.
     return (
-        drop_halo(framed)
-        .select("*", F.inline(F.array(bind(F.sort_array("_f"), stats))))
+        halo.groupBy(*keys, "_chunk")
+        .applyInPandas(run, schema)
         .withColumn("z", (F.col(value) - F.col("baseline")) / F.greatest("spread", F.lit(min_spread)))
-        .drop("_f")
+        .drop("_own", "_chunk")
     )
 
 

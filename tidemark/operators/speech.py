@@ -116,20 +116,26 @@ def word_counts(lines: DataFrame, keys: Sequence[str], *, text: str = "text") ->
     )
 
 
-def keyness(counts: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
+def doc_totals(lines: DataFrame, keys: Sequence[str], *, text: str = "text") -> DataFrame:
+    """Words per document, from the text itself: one row a document leaves each task."""
+    n = F.sum(F.size(tokens(F.col(text))))
+    return lines.groupBy(*keys).agg(n.alias("doc_words")).filter(F.col("doc_words") > 0)
+
+
+def keyness(counts: DataFrame, totals: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
     """Rate of a word in its document over its smoothed rate in the group's others.
 
-    Only groups with at least two non-empty documents have keyness.
+    *totals* is :func:`doc_totals`. Only groups with at least two non-empty documents
+    have keyness. A word's total is a window over its documents, so the counts are
+    not worked out again.
     """
-    per_word = counts.groupBy(*group, "word").agg(F.sum("count").alias("_all"))
-    per_doc = counts.groupBy(*group, doc).agg(F.sum("count").alias("doc_words"))
-    whole = (
-        per_doc.groupBy(*group)
-        .agg(F.sum("doc_words").alias("_grand"), F.count("*").alias("_docs"))
+    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    docs = (
+        totals.withColumn("_grand", F.sum("doc_words").over(g))
+        .withColumn("_docs", F.count("*").over(g))
         .filter(F.col("_docs") >= 2)
     )
-    x = counts.join(per_word, [*group, "word"]).join(per_doc, [*group, doc])
-    x = x.join(whole, list(group)) if group else x.crossJoin(F.broadcast(whole))  # one row
+    x = counts.withColumn("_all", F.sum("count").over(Window.partitionBy(*group, "word"))).join(docs, [*group, doc])
     here = F.col("count") / F.col("doc_words")
     there = (F.col("_all") - F.col("count") + 0.5) / (F.col("_grand") - F.col("doc_words") + 0.5)
     return x.withColumn("keyness", here / there).drop("_all", "_grand", "_docs")

@@ -11,6 +11,7 @@ from tidemark.operators import explain as ex
 from tidemark.operators import readings as rd
 from tidemark.operators.joins import points_in_spans
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 K = ["video_id"]
 
@@ -172,7 +173,8 @@ def near_miss_signals(spark, sf):
 @query("a34_diagnosis", "A34 A18 U5 J20")
 def diagnosis(spark, sf):
     """All findings of every video."""
-    m = _moments_with_signals(spark, sf)
+    # read by a dozen branches below: written once to the shared folder
+    m = cut_lineage(_moments_with_signals(spark, sf))
     kept, near = m.filter("idx <= 5"), m.filter("idx > 5")
     s = fx.score_sec(spark, sf)
     inside = points_in_spans(s, kept.select("video_id", "idx", F.col("start"), F.col("end")), K, t="sec")
@@ -201,7 +203,7 @@ def diagnosis(spark, sf):
 @query("a40_report_records", "A40 A31")
 def report_records(spark, sf):
     """The nested record of every video, as JSON text."""
-    m = _moments_with_signals(spark, sf)
+    m = cut_lineage(_moments_with_signals(spark, sf))
     kept, near = m.filter("idx <= 5"), m.filter("idx > 5")
     inside = points_in_spans(fx.score_sec(spark, sf), kept.select("video_id", "idx", "start", "end"), K, t="sec")
     totals = scoring.signal_totals(inside, K).withColumn("total", F.round("total", 4))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.operators import choose, filters, scoring
 from tidemark.plans.registry import query
+from tidemark.session import spread
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 
@@ -282,7 +283,7 @@ def split_tags(spark, sf):
 )
 def valid_speech(spark, sf):
     """Documents that pass the speech-validity test."""
-    d = fx.table(spark, sf, "documents")
+    d = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     return d.filter(filters.valid_speech(F.col("text"))).select("doc_id")
 
 

@@ -9,6 +9,7 @@ from tidemark.functions import text as tx
 from tidemark.functions import timefmt as tf
 from tidemark.operators import speech as sp
 from tidemark.plans.registry import query
+from tidemark.session import spread
 
 K = ["video_id"]
 # The nudge keeps an exact tie from being rounded differently by two engines.
@@ -24,8 +25,9 @@ _DOCS = f"""WITH w AS (SELECT lang, source, unnest({TOK.format('text')}) AS word
 
 
 def _doc_keyness(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("lang", "source", "text")
-    return sp.keyness(sp.word_counts(docs, ["lang", "source"]), ["lang"], "source")
+    docs = spread(fx.table(spark, sf, "documents").select("lang", "source", "text"))
+    k = ["lang", "source"]
+    return sp.keyness(sp.word_counts(docs, k), sp.doc_totals(docs, k), ["lang"], "source")
 
 
 @query("a16_keyness", "A16 X7", _DOCS + " SELECT lang, source, word, n AS count, round(keyness + 3e-11::DOUBLE, 9) AS keyness FROM k WHERE n >= 5")
@@ -83,7 +85,8 @@ _TALK = fx.with_views("talk_chapter") + f""", l AS (SELECT s.video_id, s.seg, s.
 def _talk(spark, sf):
     """Lines in their chapters and the keyness of every chapter's words."""
     lines = sp.lines_in(fx.segment(spark, sf), fx.talk_chapter(spark, sf), K)
-    keyed = sp.keyness(sp.word_counts(lines, ["video_id", "number"]), K, "number")
+    k = ["video_id", "number"]
+    keyed = sp.keyness(sp.word_counts(lines, k), sp.doc_totals(lines, k), K, "number")
     return lines, keyed
 
 
@@ -250,7 +253,7 @@ def exact_duplicates(spark, sf):
 @query("x11_repetition_cut", "X11")
 def repetition_cut(spark, sf):
     """Documents cut where they start repeating a sentence."""
-    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     at = d.select("doc_id", tx.repetition_at(F.col("text")).alias("cut_at"))
     return at.filter("cut_at IS NOT NULL")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.operators import sampling
 from tidemark.plans.registry import query
+from tidemark.session import spread
 from tidemark.sources import pages as pg
 from tidemark.sources import records as rec
 from tidemark.sources import sinks, store
@@ -238,7 +239,7 @@ def stale_index(spark, sf):
 )
 def listing_entries(spark, sf):
     """Links of every page with their best titles."""
-    return pg.listing_entries(fx.table(spark, sf, "pages"), "/")
+    return pg.listing_entries(spread(fx.table(spark, sf, "pages")), "/")
 
 
 @query(
@@ -249,7 +250,7 @@ def listing_entries(spark, sf):
 )
 def page_durations(spark, sf):
     """Durations stated in six ways in every page, and in none."""
-    p = fx.table(spark, sf, "pages")
+    p = spread(fx.table(spark, sf, "pages"))
     k, n = F.col("page_id") % 7, F.col("page_id").cast("string")
     extra = (
         F.when(k == 0, F.concat(F.lit('<meta property="og:video:duration" content="'), (F.col("page_id") + 300).cast("string"), F.lit('">')))
@@ -273,7 +274,7 @@ def page_durations(spark, sf):
 )
 def link_patterns(spark, sf):
     """The path piece marking item pages of each site."""
-    return pg.link_patterns(fx.table(spark, sf, "pages"))
+    return pg.link_patterns(spread(fx.table(spark, sf, "pages")))
 
 
 @query(

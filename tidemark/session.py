@@ -35,3 +35,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The session's number of shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out where a table comes in fewer splits than there are cores.
+
+    For work that is heavy per row (tokenising, folding over sentences) a small
+    table in one file would run in one task. A table of many splits is returned as
+    it is, so nothing is shuffled at scale. For plain scans only: asking a plan that
+    shuffles for its partitions would run its shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
