@@ -351,7 +351,9 @@ def score_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(w["object"]).alias("points"),
         F.lit(True).alias("present"),
     )
-    bursts = runs_above(curve(spark, sf_dir), k, value="value", threshold=150.0)
+    # only hours with events can be loud: the sparse curve has the same runs
+    loud = tick_value(spark, sf_dir).withColumn("value", F.round("value", 2))
+    bursts = runs_above(loud, k, value="value", threshold=150.0)
     keywords = d.filter("label = 'signup' AND conf > 0.3").select(
         "video_id", F.col("t").alias("start"), (F.col("t") + 1.5).alias("end")
     )
