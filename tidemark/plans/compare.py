@@ -16,13 +16,13 @@ J = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alia
     "a7_largest_instance",
     "A7 X5",
     fx.with_views("box")
-    + """SELECT video_id, frame, label, round(area, 6) AS area, conf FROM (SELECT *, greatest(w, 0) * greatest(h, 0) AS area,
+    + """SELECT video_id, frame, label, round(area, 9) AS area, conf FROM (SELECT *, greatest(w, 0) * greatest(h, 0) AS area,
       row_number() OVER (PARTITION BY video_id, frame, label ORDER BY greatest(w, 0) * greatest(h, 0) DESC, idx) AS rn FROM box) WHERE rn = 1 AND area > 0""",
 )
 def largest_instance(spark, sf):
     """Biggest box of each class and frame."""
     b = compare.largest_instances(fx.box(spark, sf), K, tick="frame")
-    return b.withColumn("area", F.round("area", 6))
+    return b.withColumn("area", F.round("area", 9))
 
 
 @query(

@@ -291,7 +291,7 @@ def merged_boxes(spark, sf):
     "X5",
     BOX
     + """, p AS (SELECT a.video_id, a.frame, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h AS s, b.w * b.h AS t
-      FROM box a JOIN box b ON a.video_id = b.video_id AND a.frame = b.frame AND a.idx = 0 AND b.idx = 1) SELECT video_id, frame, round(i / (s + t - i), 6) AS iou, round(s, 6) AS area FROM p""",
+      FROM box a JOIN box b ON a.video_id = b.video_id AND a.frame = b.frame AND a.idx = 0 AND b.idx = 1) SELECT video_id, frame, round(i / (s + t - i), 6) AS iou, round(s, 9) AS area FROM p""",
 )
 def pair_overlap(spark, sf):
     """IoU of the first two boxes of a frame, and the first one's area."""
@@ -300,7 +300,7 @@ def pair_overlap(spark, sf):
         F.max(F.when(F.col("idx") == 0, row)).alias("a"), F.max(F.when(F.col("idx") == 1, row)).alias("b")
     )
     return f.select(
-        "video_id", "frame", F.round(vx.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(vx.area(F.col("a")), 6).alias("area")
+        "video_id", "frame", F.round(vx.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(vx.area(F.col("a")), 9).alias("area")
     )
 
 
