@@ -176,10 +176,9 @@ def subtract_intervals(
         left=("start", "end"),
         right=("cut_start", "cut_end"),
         bin_width=bin_width,
-        how="left",
     )
     ident = [*keys, *span_id]
-    edge = hits.filter(F.col("cut_start").isNotNull()).select(
+    edge = hits.select(
         *ident,
         "start",
         "end",
