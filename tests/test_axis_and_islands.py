@@ -94,7 +94,7 @@ def test_difference_by_loop(spark):
         left = [(a, b)]
         for u, x, y in cuts:
             if u == v:
-                left = [q for p in left for q in ((p[0], min(p[1], x)), (max(p[0], y), p[1])) if q[1] > q[0]] if True else left
+                left = [q for p in left for q in ((p[0], min(p[1], x)), (max(p[0], y), p[1])) if q[1] > q[0]]
         want += [(v, i, round(p, 6), round(q, 6)) for p, q in left if q - p >= 0.5]
     assert got == sorted(set(want))
 
