@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    Worker code then imports it wherever the driver was started from. In local mode too,
+    since Python workers do not inherit the driver's search path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "tidemark-package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench."""
@@ -23,16 +48,23 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     )
 
 
+def local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder of this machine; an error on a cluster, where others cannot see it."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix=prefix, dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the cluster's shared folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where the cluster
-    names none (tests on one machine) is a temporary folder set.
+    The folder is the one in ``spark.checkpoint.dir``; only where a session on one
+    machine names none (tests) is a temporary folder set, on a cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", ""):
         if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+            spark.sparkContext.setCheckpointDir(local_folder(spark, "spark-ckpt-"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
