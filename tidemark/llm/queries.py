@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, packing, tokens, urls
+from tidemark.llm import chat, fingerprints, packing, quality, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,5 +115,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_token_counts, op8_packing, op9_url_filters, op10_fingerprints)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from ``labels``."""
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from ``labels``."""
+    return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_quality_classifier, op4_token_counts, op6_toxicity, op8_packing, op9_url_filters, op10_fingerprints)}
 ORACLE = {"op2_chat_formatting": OP2_SQL}
