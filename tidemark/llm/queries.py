@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, packing, quality, tokens, toxicity, urls
+from tidemark.llm import chat, fingerprints, minhash, packing, quality, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three words, 85 of 100."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -125,5 +130,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_quality_classifier, op4_token_counts, op6_toxicity, op8_packing, op9_url_filters, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_quality_classifier, op4_token_counts, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints)}
 ORACLE = {"op2_chat_formatting": OP2_SQL}
