@@ -60,7 +60,8 @@ def test_writers(spark, tmp_path):
     assert [(b._name, b._duration, b._start) for b in back] == [("Clip 1", "6000s", "30000s"), ("Clip 2", "4500s", "60000s")]
     det = spark.createDataFrame([(75.4, 9, "cat", 0.123456)], "ts DOUBLE, frame_id LONG, label STRING, conf DOUBLE")
     sinks.write_csv(sinks.detection_log(det), str(tmp_path / "csv"))
-    assert next((tmp_path / "csv").glob("*.csv")).read_text() == "timestamp,frame_id,label,confidence,second\n01:15,9,cat,0.1235,75\n"
+    parts = [p.read_text() for p in (tmp_path / "csv").glob("*.csv")]  # empty tasks may write a header of their own
+    assert max(parts, key=len) == "timestamp,frame_id,label,confidence,second\n01:15,9,cat,0.1235,75\n"
 
 
 def test_resplit_is_exact_and_repeatable(spark):

@@ -57,49 +57,46 @@ def _pack(pieces: Column, fits) -> Column:
     )
 
 
+def _spaced(text: Column) -> Column:
+    """Single spaces: one after a stop before a letter and after a comma, none before a stop."""
+    wide = F.regexp_replace(text, r"(?<=[.!?])(?=\p{L})|(?<=,)(?=\S)|\s+", " ")
+    return F.trim(F.regexp_replace(wide, r" +(?=[ .!?])", ""))
+
+
+def _sentences(text: Column) -> Column:
+    """Pieces that end after a run of stops; a piece of stops alone says nothing and goes."""
+    pieces = F.transform(F.split(text, r"(?<=[.!?])(?![.!?])"), lambda piece: F.trim(piece))
+    return F.filter(pieces, lambda piece: piece.rlike("[^.!?]"))
+
+
 def clean_subtitle(text: Column, width: int = 50) -> Column:
-    """Spacing and capital put right, wrapped at sentence ends near *width*."""
-    t = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
-    t = F.regexp_replace(t, r"([.!?])([A-Za-zĄąĆćĘęŁłŃńÓóŚśŹźŻż])", "$1 $2")
-    t = F.regexp_replace(t, r",([^\s])", ", $1")
-    t = F.regexp_replace(F.regexp_replace(t, r"^[-\s]+", ""), r"[-\s]+$", "")
-    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
-    pieces = F.filter(
-        F.transform(
-            F.regexp_extract_all(t, F.lit(r"([^.!?]+)([.!?]?)"), F.lit(0)),
-            lambda s: F.regexp_replace(F.trim(s), r"\s+([.!?])$", "$1"),
-        ),
-        lambda s: ~s.rlike(r"^[.!?]?$"),
-    )
-    lines = _pack(pieces, lambda cur, p: F.length(cur) + F.length(p) + 1 <= width)
+    """Spacing and capital put right, wrapped at sentence ends near *width*.
+
+    Dashes around the text go, and of several stops after a sentence the first stays.
+    """
+    t = F.trim(F.regexp_replace(_spaced(text), r"(?<=[.!?])[.!?]+", ""), F.lit("- "))
+    capital = F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))
+    lines = _pack(_sentences(capital), lambda line, piece: F.length(line) + F.length(piece) + 1 <= width)
     return F.array_join(lines, "\n")
 
 
 def split_subtitle(text: Column, limit: int = 80) -> Column:
     """Chunks of at most about *limit* characters: by sentence, then by halves, then by words."""
-    pieces = F.filter(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0)),
-            lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+([.!?]+)$", "$1"),
-        ),
-        lambda s: s != "",
-    )
-    chunks = _pack(pieces, lambda cur, p: F.length(_glue(cur, p)) <= limit)
+    joined = lambda line, piece: F.length(_glue(line, piece)) <= limit
 
-    def halve(chunk: Column) -> Column:
-        words = F.filter(F.split(chunk, r"\s+"), lambda w: w != "")
-
-        def cut(ws: Column) -> Column:
-            mid = F.floor(F.size(ws) / 2).cast("int")
-            left = F.array_join(F.slice(ws, F.lit(1), mid), " ")
-            right = F.array_join(F.slice(ws, mid + 1, F.size(ws)), " ")
-            uneven = (F.length(right) < F.length(left) * 0.3) | (F.length(left) > limit)
-            greedy = _pack(ws, lambda cur, w: F.length(F.concat(cur, F.lit(" "), w)) <= limit)
-            return F.when(uneven, greedy).otherwise(F.array(left, right))
+    def of_words(words: Column) -> Column:
+        """Two halves by number of words; words packed one by one where a half is too long or a stub."""
+        middle = F.floor(F.size(words) / 2).cast("int")
+        halves = F.array(F.array_join(F.slice(words, F.lit(1), middle), " "), F.array_join(F.slice(words, middle + 1, F.size(words)), " "))
+        even = bind(halves, lambda h: (F.length(h[0]) <= limit) & (F.length(h[1]) >= F.length(h[0]) * 0.3))
+        return F.when(even, halves).otherwise(_pack(words, joined))
 
-        return F.when(F.length(chunk) > limit, bind(words, cut)).otherwise(F.array(F.trim(chunk)))
+    def shortened(chunk: Column) -> Column:
+        words = F.filter(F.split(chunk, r"\s+"), lambda w: w != "")
+        return F.when(F.length(chunk) <= limit, F.array(chunk)).otherwise(bind(words, of_words))
 
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.flatten(F.transform(chunks, halve)))
+    chunks = _pack(_sentences(F.regexp_replace(text, r"\s+(?=[.!?])", "")), joined)
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.flatten(F.transform(chunks, shortened)))
 
 
 def trim_quote(text: Column, limit: int = 180) -> Column:
@@ -124,19 +121,19 @@ def pace(shots: Column, seconds: Column) -> Column:
 
 # The group of each known action, in matching order.
 ACTION_GROUPS = {
-    "movement": "walking running jumping entering exiting approaching leaving",
-    "interaction": "talking speaking pointing waving handshaking hugging kissing",
-    "combat": "punching kicking fighting blocking shooting",
-    "manipulation": "picking_up putting_down holding carrying throwing catching opening closing",
-    "sports": "dribbling kicking_ball throwing_ball catching_ball hitting swinging",
-    "stationary": "standing sitting lying waiting looking",
+    "movement": ("walking", "running", "jumping", "entering", "exiting", "approaching", "leaving"),
+    "interaction": ("talking", "speaking", "pointing", "waving", "handshaking", "hugging", "kissing"),
+    "combat": ("punching", "kicking", "fighting", "blocking", "shooting"),
+    "manipulation": ("picking up", "putting down", "holding", "carrying", "throwing", "catching", "opening", "closing"),
+    "sports": ("dribbling", "kicking ball", "throwing ball", "catching ball", "hitting", "swinging"),
+    "stationary": ("standing", "sitting", "lying", "waiting", "looking"),
 }
 
 
 def action_group(name: Column) -> Column:
     """Exact name first, then the first known action that contains or is contained."""
     low = F.lower(name)
-    known = [(a.replace("_", " "), g) for g, names in ACTION_GROUPS.items() for a in names.split()]
+    known = [(action, group) for group, actions in ACTION_GROUPS.items() for action in actions]
     exact = F.create_map(*[F.lit(x) for pair in known for x in pair])[low]
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(g).alias("g")) for a, g in known])
     partial = F.filter(table, lambda k: F.contains(low, k["a"]) | F.contains(k["a"], low))
