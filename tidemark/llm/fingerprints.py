@@ -116,10 +116,11 @@ def with_next(df: DataFrame, payload: list[str], id_col: str = "doc_id", per_bin
     lo, hi = ends.lo or 0, ends.hi or 0
     width = max(1, (hi - lo + 1) * per_bin // max(1, ends.n))
     place = ((F.coalesce(F.col(id_col), F.lit(lo)) - F.lit(lo)) / F.lit(width)).cast("long")
-    rows = df.withColumn("_bin", place).withColumn("_own", F.struct(*payload))
     order = Window.partitionBy("_bin").orderBy(F.col(id_col).desc_nulls_last(), *payload)
-    rows = rows.repartition("_bin").withColumn("_next", F.lead("_own").over(order)).withColumn("_rank", F.row_number().over(order))
-    first = rows.filter("_rank = 1").select(F.col("_bin").alias("_at"), F.col("_own").alias("_edge"))
+    own = F.struct(*payload)
+    rows = df.withColumn("_bin", place).repartition("_bin")
+    first = rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(F.col("_bin").alias("_at"), own.alias("_edge"))
+    rows = rows.withColumn("_next", F.lead(own).over(order))
 
     pieces = df.select(place.alias("_bin")).distinct().withColumn("_far", (F.col("_bin") / bins).cast("long"))
     far = pieces.groupBy("_far").agg(F.max("_bin").alias("_top"))
@@ -128,4 +129,4 @@ def with_next(df: DataFrame, payload: list[str], id_col: str = "doc_id", per_bin
     inside = pieces.withColumn("_to", F.lead("_bin").over(Window.partitionBy("_far").orderBy(F.desc("_bin"))))
     steps = inside.join(below, "_far").select("_bin", F.coalesce("_to", "_into", "_ring").alias("_at"))
     edges = steps.join(first, "_at").drop("_at")
-    return rows.join(edges, "_bin", "left").withColumn("next", F.coalesce("_next", "_edge")).drop("_bin", "_own", "_next", "_edge", "_rank")
+    return rows.join(edges, "_bin", "left").withColumn("next", F.coalesce("_next", "_edge")).drop("_bin", "_next", "_edge")
