@@ -1,21 +1,25 @@
 """Near-duplicate groups by min-max hashing, confirmed on full shingle sets.
 
 Signatures: under each permutation both the minimum and the maximum of a document's
-hashed shingles are kept, so a signature costs half the hash evaluations. Three
-permutations make a band of six values; the number of bands follows from the threshold
+hashed shingles are kept, so a signature costs half the hash evaluations. Four
+permutations make a band of eight values; the number of bands follows from the threshold
 and from the accepted chance that a pair exactly at the threshold shares no band.
 
 Documents with equal shingle sets are one class, found by an aggregation. Among classes,
 a band bucket is never expanded into all its pairs:
 
-1. Each member of a bucket is compared with the bucket's smallest member, the pivot.
-   Members that are linked with the pivot are connected; no pair among them is needed.
+1. Each member of a bucket is compared with one member of it, the pivot; the shingles that
+   it has more or less than the pivot are its difference. Members linked with the pivot
+   are connected; no pair among them is needed.
 2. A member that is not linked with the pivot can only be linked with a member with which
-   it shares part of its difference from the pivot: were the two differences disjoint,
-   the pair's difference would be larger than the member's own, which is already too
-   large. So the differences of a bucket that holds such a member are indexed by a prefix
-   (added shingles first, which are the rarer ones), and what meets there is a new, smaller
-   bucket without the pivot. Steps 1 and 2 repeat until no bucket is left.
+   it shares part of its difference: were the two differences disjoint, the pair's own
+   difference would be larger than the member's, which is already too large. So, where a
+   pivot's members are not all connected yet, their differences are indexed by a prefix
+   (added shingles first, which are the rarer ones). Where few members are indexed under a
+   shingle, they are compared with all that have it and can still share enough; where many
+   are, these form a smaller bucket, whose pivot is the indexed member closest to the last
+   pivot. Either way the pairs are a fixed number per member at most. Steps 1 and 2 repeat
+   until no pair is new.
 
 Every pair of a bucket is thereby either connected or excluded, without a limit on sizes.
 """
@@ -36,12 +40,14 @@ from tidemark.llm.memo import Memo
 from tidemark.llm.shared import written
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-ROWS = 6
+ROWS = 8
 SLICE = 1024
+#: Indexed members of a shingle up to which they are compared directly.
+FEW = 8
 
 
 def bands_for(threshold: float, miss: float = 1e-6) -> int:
-    """Bands of six values so that a pair at the threshold is missed with chance *miss* at most."""
+    """Bands of eight values so that a pair at the threshold is missed with chance *miss* at most."""
     return math.ceil(math.log(miss) / math.log(1 - threshold**ROWS))
 
 
@@ -135,69 +141,81 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Add both sizes, the differences and whether they are linked to (node, weight, pivot)."""
+    """Add both sizes, the differences and whether they are linked to (node, pivot, star)."""
     left = sets.select(F.col("node"), F.col("s").alias("_a"))
     right = sets.select(F.col("node").alias("pivot"), F.col("s").alias("_p"))
     both = stars.join(left, "node").join(right, "pivot")
     added, removed = F.array_except("_a", "_p"), F.array_except("_p", "_a")
-    both = both.select(
-        "node", "weight", "pivot", F.size("_a").alias("n"), F.size("_p").alias("np"), F.array_sort(added).alias("added"), F.array_sort(removed).alias("removed")
-    )
+    both = both.select("node", "pivot", "star", F.size("_a").alias("n"), F.size("_p").alias("np"), F.array_sort(added).alias("added"), F.array_sort(removed).alias("removed"))
     inter = F.col("n") - F.size("added")
     return both.withColumn("linked", inter * den >= (F.col("np") + F.size("added")) * num)
 
 
-def _weighted(members: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with several nodes, and each node's number of bucket mates.
+def _first_stars(members: DataFrame) -> DataFrame:
+    """(bucket, node) to distinct (node, pivot).
 
-    The node with most mates in a bucket is closest to the middle of its group, and so the
-    pivot with which most are linked.
+    The pivot is the member with most mates over all its buckets: the closest to the middle
+    of its group, so that most are linked with it.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     shared = members.join(sizes, "bucket")
-    return shared.join(shared.groupBy("node").agg(F.sum("mates").alias("weight")), "node").select("bucket", "node", "weight")
+    weighted = shared.join(shared.groupBy("node").agg(F.sum("mates").alias("weight")), "node")
+    pivots = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    return members.join(pivots, "bucket").filter("node <> pivot").select("node", "pivot").distinct().withColumn("star", F.lit(True))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(bucket, node, weight) to distinct (node, weight, pivot).
-
-    The pivot is the bucket's first node by weight, then id. Weights stay the same through
-    all rounds, so a pivot always comes before its members and rounds cannot circle.
-    """
-    order = F.struct("weight", "node")
-    pivots = members.groupBy("bucket").agg(F.max(order)["node"].alias("pivot"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    pivots = pivots.filter("lo < hi").select("bucket", "pivot")
-    return members.join(pivots, "bucket").filter("node <> pivot").select("node", "weight", "pivot").distinct()
+def _floor(value: Column, by: int) -> Column:
+    return ((value - F.pmod(value, F.lit(by))) / by).cast("long")
 
 
-def _smaller_buckets(compared: DataFrame, num: int, den: int) -> DataFrame:
-    """(bucket, node, weight) in which two members' differences from a pivot meet.
+def _next_stars(compared: list[DataFrame], labels: DataFrame, num: int, den: int) -> DataFrame:
+    """New pairs (node, pivot, star) after the last of *compared*; with star, the pivot is one.
 
-    With s the threshold, a linked pair's symmetric difference is at most
-    ``|B| * (1 - s) / s`` for its member B, so of two differences m >= n at least
-    ``(m + n - that) / 2`` elements are shared, and with elements in one order for all,
-    one of the first ``n - shared + 1`` of the smaller one is in the larger one. Of a member
-    that is linked with the pivot only partners that are not matter, whose differences are
-    larger than ``(1 - s) / (1 + s) * (s * |B| + |P|)``.
+    With s the threshold and c = (1 - s) / (1 + s), two sets A and B are linked when their
+    symmetric difference is at most c * (|A| + |B|). With f = |difference from P| - c * size,
+    that is: their differences from the pivot P share (f_A + f_B) / 2 elements at least. A
+    member is linked with P itself when f <= c * |P|. Of a pair not known to be connected
+    one member is not linked with P; take B as the one with the smaller f. Then more than
+    (f_B + max(f_B, c * |P|)) / 2 elements are shared (as many, for two unlinked members),
+    and with elements in one order for all, one of the first |difference of B| - shared + 1
+    of B is in the difference of A.
     """
-    s = num / den
-    n = F.size("added") + F.size("removed")
-    slack = F.floor(F.col("n") * ((1 - s) / s) + 1e-6)
-    least = F.ceil(((1 - s) / (1 + s)) * (F.col("n") * s + F.col("np")) - 1e-6)
-    larger = F.when(F.col("linked"), F.greatest(n.cast("long"), least)).otherwise(n.cast("long"))
-    length = F.least(n.cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((n - larger + slack) / 2) + 1)).cast("int")
-    hard = compared.filter(~F.col("linked")).select("pivot").distinct()
-    rows = compared.join(hard, "pivot", "left_semi")
-    elements = F.concat("added", "removed")
-    rows = rows.select("pivot", "node", "weight", "linked", F.posexplode(elements).alias("at", "e"), length.alias("length"))
-    rows = rows.withColumn("indexed", F.col("at") < F.col("length"))
+    every = reduce(DataFrame.unionByName, [d.withColumn("new", F.lit(d is compared[-1])) for d in compared])
+    last = compared[-1].filter("star").select("pivot").distinct()
+    rows = every.filter("star").join(last, "pivot", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = rows.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("pivot")
+    d = F.size("added") + F.size("removed")
+    f = d * (den + num) - F.col("n") * (den - num)  # times den + num, so that bounds are whole numbers
+    linked = _floor(f + F.col("np") * (den - num), 2 * (den + num)) + 1
+    least = F.when(F.col("linked"), linked).otherwise(-_floor(-f, den + num))
+    length = d - F.greatest(least, F.lit(1)) + 1
+    elements = F.posexplode(F.concat("added", "removed")).alias("at", "e")
+    rows = rows.join(apart, "pivot", "left_semi").select("pivot", "node", "label", "new", "linked", d.alias("d"), f.alias("f"), length.alias("length"), elements)
+    rows = rows.withColumn("first", F.col("at") < F.col("length"))
+    own = F.col("first")
     live = (
         rows.groupBy("pivot", "e")
-        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("indexed").alias("indexed"), F.min("linked").alias("linked"))
-        .filter(F.col("indexed") & ~F.col("linked") & (F.col("lo") < F.col("hi")))
-        .select("pivot", "e")
-    )
-    return rows.join(live, ["pivot", "e"], "left_semi").select(F.struct("pivot", "e").alias("bucket"), "node", "weight")
+        .agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("new").alias("any_new"), F.count_if(own).alias("indexed"),
+            F.min(F.when(own, F.struct("d", "node")))["node"].alias("q"),
+            F.min(F.when(own, F.col("label"))).alias("lo_own"), F.max(F.when(own, F.col("label"))).alias("hi_own"),
+        )
+        .filter("lo < hi and any_new and indexed > 0")
+        .select("pivot", "e", "q", (F.col("indexed") > FEW).alias("many"), F.when(F.col("lo_own") == F.col("hi_own"), F.col("lo_own")).alias("only"))
+    )
+    met = written(rows.join(live, ["pivot", "e"]))
+
+    wanted = F.col("only").isNull() | (F.col("label") != F.col("only")) | own
+    stars = met.filter(F.col("many") & (F.col("node") != F.col("q")) & wanted).select("node", F.col("q").alias("pivot"), F.lit(True).alias("star"))
+    a, b = met.filter("not many").alias("a"), met.filter("not many and first").alias("b")
+    shared = F.least(F.col("a.d") - F.col("a.at"), F.col("b.d") - F.col("b.at"))  # at most, from their first one on
+    able = shared * (2 * (den + num)) >= F.col("a.f") + F.col("b.f")
+    apart = (F.col("a.label") != F.col("b.label")) & ~(F.col("a.linked") & F.col("b.linked")) & (F.col("a.f") >= F.col("b.f")) & (F.col("a.new") | F.col("b.new"))
+    direct = a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e")) & apart & able)
+    direct = direct.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot"), F.lit(False).alias("star"))
+    pairs = stars.unionByName(direct).groupBy("node", "pivot").agg(F.max("star").alias("star"))
+    known = every.select("node", "pivot", F.col("star").alias("was"))
+    return pairs.join(known, (pairs.node == known.node) & (pairs.pivot == known.pivot) & (known.was | ~pairs.star), "left_anti")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -226,19 +244,20 @@ def connected(edges: DataFrame) -> DataFrame:
             return now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))).alias("e")).select("e.*").distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links that connect the classes (node, set, bands): (a, b)."""
-    stars = written(_stars(_weighted(classes.select("node", F.explode("bands").alias("bucket")))))
+def linked_labels(classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, label) of the classes (node, set, bands) that are linked with another."""
+    stars = written(_first_stars(classes.select("node", F.explode("bands").alias("bucket"))))
     wanted = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(classes.join(wanted, "node").select("node", "set"), "node")
     sets = written(shingle_sets(texts.select("node", "set", "text"), words).dropDuplicates(["node"]))
-    found = []
+    compared: list[DataFrame] = []
+    label = classes.sparkSession.createDataFrame([], "node long, label long")
     while not stars.isEmpty():
-        compared = written(_compared(stars, sets, num, den))
-        found.append(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        stars = written(_stars(_smaller_buckets(compared, num, den)))
-    none = classes.sparkSession.createDataFrame([], "a long, b long")
-    return reduce(DataFrame.unionByName, found, none)
+        compared.append(written(_compared(stars, sets, num, den)))
+        new = compared[-1].filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        label = connected(new.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        stars = written(_next_stars(compared, label, num, den))
+    return label
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     classes = written(full.groupBy("set").agg(F.min("doc_id").alias("node")))
     single = classes.groupBy("node").agg(F.min("set").alias("set"))
     banded = full.select(F.col("doc_id").alias("node"), "set", "bands").join(single, ["node", "set"]).dropDuplicates(["node"])
-    label = connected(links(written(banded), rows, words, percent, 100))
+    label = linked_labels(written(banded), rows, words, percent, 100)
     named = classes.join(label, "node", "left").select("set", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set").join(named, "set", "left")
     component = F.coalesce("component", "doc_id")
