@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, minhash, packing, quality, tokens, toxicity, urls, warc
+from tidemark.llm import chat, decontaminate, fingerprints, minhash, packing, quality, tokens, toxicity, urls, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -144,10 +144,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain items of ``benchmark``."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from ``labels``."""
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op5_benchmark_decontamination, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints)}
 ORACLE = {"op1_warc": OP1_SQL, "op2_chat_formatting": OP2_SQL}
