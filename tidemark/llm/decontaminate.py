@@ -3,12 +3,12 @@
 1. Every text is cut into words once; of each document the words that occur in the
    benchmark are kept with their positions, and passages (16 words each) are counted per
    such word. This table, a small part of the texts, is what the later steps read.
-2. Passages and benchmark items are TF-IDF rows of unit length; words in more than a given
-   share of the passages weigh nothing, words foreign to the benchmark only count in a
-   passage's length. A randomised singular value decomposition of all rows (the items
-   together weigh as much as all passages, so that each has its direction) takes one
-   pass: each task multiplies its rows with a random matrix and back, and the sums of the
-   tasks give the decomposition by Nystroem's formula.
+2. Passages are TF-IDF rows of unit length; words in more than a given share of the passages
+   weigh nothing, words foreign to the benchmark only count in a passage's length. A
+   randomised singular value decomposition of all rows takes one pass: each task multiplies
+   its rows with a random matrix and back, and the sums of the tasks give the leading
+   directions by Nystroem's formula. The items' own rows are folded in as further
+   directions, so that an item that no passage repeats has its place in the latent space.
 3. Windows of two passages are projected into the latent space and compared with the items
    by cosine. A window whose known words cannot reach the threshold is skipped unprojected.
 4. Around each candidate window the longest common subsequence with the item is computed on
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def known_words(texts: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             sizes, ids, places = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text or b"")
-                coded = np.array([ids_of.get(w, -1) for w in words], np.int32)
+                coded = np.fromiter(map(ids_of.get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(coded >= 0).astype(np.int32)
                 known = coded[at]
                 pairs = np.unique((at // STEP).astype(np.int64) * len(counts) + known)
@@ -207,14 +208,20 @@ def nystroem(z: np.ndarray, random: np.ndarray, dims: int) -> np.ndarray:
     z = z + shift * random
     core = random.T @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > values[-1] * 1e-6
+    good = values > max(values[-1], 1e-300) * 1e-6
     half = (z @ vectors[:, good]) / np.sqrt(values[good])
     left, _, _ = np.linalg.svd(half, full_matrices=False)
     return np.ascontiguousarray(left[:, :dims]).astype(np.float32)
 
 
-def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float, seed: int = 11) -> Space:
-    """Word weights from all passages and the latent space of all rows."""
+def orthonormal(columns: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the space the columns span."""
+    left, values, _ = np.linalg.svd(columns.astype(np.float64), full_matrices=False)
+    return np.ascontiguousarray(left[:, values > 1e-6 * max(1e-12, values[0])]).astype(np.float32)
+
+
+def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float, dims: int = 48, seed: int = 11) -> Space:
+    """Word weights from all passages, and the latent space: *dims* leading directions and the items'."""
     counts = table.filter("n_words < 0").select(F.posexplode("counts").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(words + 1)
     for row in counts:
@@ -222,12 +229,11 @@ def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float,
     total = max(1.0, df[-1])
     foreign = math.log(1 + total)
     idf = np.where(df[:-1] > max(max_df * total, 8), 0.0, np.log((1 + total) / (1 + df[:-1])) + 1e-3)
-    dims = min(words, len(queries) + 32)
     random = np.random.default_rng(seed).standard_normal((words, min(words, dims + 16))).astype(np.float32)
     z = sketch(table.filter("n_words >= 0"), random, idf, foreign)
+    leading = nystroem(z.astype(np.float64), random.astype(np.float64), dims)
     items = item_matrix(queries, idf)
-    z = z + (total / len(queries)) * (items.T @ (items @ random))
-    basis = nystroem(z.astype(np.float64), random.astype(np.float64), dims)
+    basis = orthonormal(np.concatenate([leading, items.T], axis=1))
     latent = items @ basis
     return Space(queries, idf, foreign, basis, latent / np.maximum(1e-9, np.sqrt((latent * latent).sum(axis=1, keepdims=True))))
 
@@ -330,10 +336,10 @@ def search(table: DataFrame, space: Space, cosine: float, least: float, least_an
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
-    cosine: float = 0.25,
+    cosine: float = 0.3,
     least: float = 0.6,
     least_answer: float = 0.5,
-    max_df: float = 0.05,
+    max_df: float = 0.01,
     block_items: int = 256,
     longest: int = 48,
     answer_col: str | None = None,
