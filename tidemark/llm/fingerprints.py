@@ -115,7 +115,8 @@ def with_next(df: DataFrame, payload: list[str], id_col: str = "doc_id", per_bin
     ends = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = ends.lo or 0, ends.hi or 0
     width = max(1, (hi - lo + 1) * per_bin // max(1, ends.n))
-    place = ((F.coalesce(F.col(id_col), F.lit(lo)) - F.lit(lo)) / F.lit(width)).cast("long")
+    # never null, so that no filter sets the two uses of the shuffled rows apart and they share it
+    place = F.coalesce(((F.coalesce(F.col(id_col), F.lit(lo)) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(0).cast("long"))
     order = Window.partitionBy("_bin").orderBy(F.col(id_col).desc_nulls_last(), *payload)
     own = F.struct(*payload)
     rows = df.withColumn("_bin", place).repartition("_bin")
