@@ -208,7 +208,7 @@ def pick_boundaries(
         F.col("_chosen").alias("cuts"),
         F.lit(max_run <= 0).alias("done"),
     )
-    rounds = F.sequence(F.lit(1), F.lit(64))
+    rounds = F.sequence(F.lit(1), F.size("_shots"))  # a round that changes anything takes one more shot
     filled = state.select(
         *keys,
         F.explode(F.array_sort(F.aggregate(rounds, start, split, lambda s: s["cuts"]))).alias("start"),

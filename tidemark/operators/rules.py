@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -210,6 +211,18 @@ def signal_masks(
 # --- vote, guards, runs -------------------------------------------------------
 
 
+def _window_groups(windows: set[int], most: int = 1_000_000) -> list[set[int]]:
+    """Window lengths in groups whose least common multiple stays small."""
+    groups: list[set[int]] = []
+    for w in sorted(windows):
+        home = next((g for g in groups if math.lcm(w, *g) <= most * min(w, *g)), None)
+        if home is None:
+            groups.append({w})
+        else:
+            home.add(w)
+    return groups
+
+
 def majority_vote(
     fired: DataFrame, keys: Sequence[str], windows_ms: dict[str, int], *, chunk: float = 3600.0
 ) -> DataFrame:
@@ -218,7 +231,17 @@ def majority_vote(
 
     Windows differ by event: times are scaled by whole numbers so that every
     event's window has the same length, and one frame specification serves all.
+    Lengths without a small common multiple are scaled in separate groups, so a
+    scaled time always fits its type.
     """
+    parts = []
+    for group in _window_groups(set(windows_ms.values())):
+        own = {e: w for e, w in windows_ms.items() if w in group}
+        parts.append(_vote(fired.filter(F.col("event").isin(*own)), keys, own, chunk))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _vote(fired: DataFrame, keys: Sequence[str], windows_ms: dict[str, int], chunk: float) -> DataFrame:
     one = math.lcm(*windows_ms.values())
     factor = F.create_map(*[F.lit(x) for n, w in windows_ms.items() for x in (n, one // w)])[F.col("event")]
     halo = with_halo(fired, "ts", max(windows_ms.values()) / 1000.0, 0.0, chunk).withColumn(

@@ -211,18 +211,18 @@ def assign_identities(
     )
 
 
-def merged_ids(pairs: DataFrame, *, a: str = "keep", b: str = "gone", max_rounds: int = 40) -> DataFrame:
+def merged_ids(pairs: DataFrame, *, a: str = "keep", b: str = "gone") -> DataFrame:
     """Smallest member of each group of identities joined by *pairs*.
 
     Each round every id takes the smallest label among itself and its neighbours
     and then that label's own label, which halves path lengths; lineage is cut by
-    a checkpoint each round.
+    a checkpoint each round. Rounds end when no label moves.
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges = cut_lineage(edges)
     labels = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = (
             edges.join(labels.select(F.col("u").alias("v"), "label"), "v")
             .groupBy("u")
@@ -232,8 +232,7 @@ def merged_ids(pairs: DataFrame, *, a: str = "keep", b: str = "gone", max_rounds
         jump = labels.select(F.col("u").alias("_m"), F.col("label").alias("_j"))
         after = step.join(jump, "_m", "left").select("u", F.col("label").alias("_old"), F.least("_m", "_j").alias("label"))
         after = cut_lineage(after)
-        moved = after.filter(F.col("label") < F.col("_old")).limit(1).count()
         labels = after.select("u", "label")
-        if not moved:
+        if after.filter(F.col("label") < F.col("_old")).isEmpty():
             break
     return labels.select(F.col("u").alias("id"), F.col("label").alias("merged_id"))

@@ -105,7 +105,7 @@ def _regions(spark, sf):
     )
     points = d.select("video_id", kinds.alias("_k")).filter("_k IS NOT NULL").select("video_id", "_k.*")
     parts = [
-        scenes.withColumn("source", F.lit("scene")).filter("end - start < 48"),
+        scenes.withColumn("source", F.lit("scene")),
         acts,
         words,
         choose.point_regions(points, scenes, K, t="t"),
@@ -128,7 +128,7 @@ _REGIONS = fx.with_views("detection", "video", "curve") + """,
     p3 AS (SELECT video_id, source, i, min(t) AS a, max(t) AS b, greatest(max(mp), CASE WHEN max(t) - min(t) < 1 THEN 1.0 ELSE 0.5 END) AS pad FROM p2 GROUP BY video_id, source, i),
     p4 AS (SELECT video_id, source, greatest(0.0, a - pad) AS a, b + pad AS b FROM p3),
     p5 AS (SELECT p4.video_id, source, a, b, min({'s': sc.start, 'e': sc."end"}) AS m FROM p4 LEFT JOIN sc ON sc.video_id = p4.video_id AND (a + b) / 2 BETWEEN sc.start - 3 AND sc."end" + 3 GROUP BY ALL),
-    rg AS (SELECT video_id, start, "end", 'scene' AS source FROM sc WHERE "end" - start < 48 UNION ALL SELECT video_id, min(t), max(t), 'action:error' FROM a1 GROUP BY video_id, run
+    rg AS (SELECT video_id, start, "end", 'scene' AS source FROM sc UNION ALL SELECT video_id, min(t), max(t), 'action:error' FROM a1 GROUP BY video_id, run
       UNION ALL SELECT video_id, greatest(0.0, t - 1), t + 1.5, 'keyword:deal' FROM detection WHERE label = 'purchase' AND conf > 0.3
       UNION ALL SELECT video_id, CASE WHEN m IS NULL THEN a ELSE greatest(least(a, m.s), a - 5) END, CASE WHEN m IS NULL THEN b ELSE least(greatest(b, m.e), b + 5) END, source FROM p5),
     cu AS (SELECT video_id, sec, sum(value) OVER (PARTITION BY video_id ORDER BY sec) AS c FROM curve),

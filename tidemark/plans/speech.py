@@ -30,10 +30,10 @@ def _doc_keyness(spark, sf):
     return sp.keyness(sp.word_counts(docs, k), sp.doc_totals(docs, k), ["lang"], "source")
 
 
-@query("a16_keyness", "A16 X7", _DOCS + " SELECT lang, source, word, n AS count, round(keyness + 3e-11::DOUBLE, 9) AS keyness FROM k WHERE n >= 5")
+@query("a16_keyness", "A16 X7", _DOCS + " SELECT lang, source, word, n AS count, round(keyness + 3e-11::DOUBLE, 9) AS keyness FROM k")
 def keyness(spark, sf):
     """How many times more often a source says a word than the language's others."""
-    return _doc_keyness(spark, sf).filter("count >= 5").select("lang", "source", "word", "count", R("keyness"))
+    return _doc_keyness(spark, sf).select("lang", "source", "word", "count", R("keyness"))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -13,14 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.rules import VOTE_SHARE, Lingering
+from tidemark.session import local_folder
 from tidemark.sources.rules_table import Event
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    """A fresh folder under the cluster's shared checkpoint folder (a temporary one on a single machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or local_folder(spark, "spark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
