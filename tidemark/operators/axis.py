@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,9 +170,41 @@ def run_ids(
     """Number consecutive rows; a new run starts where ``is_new(previous)`` holds.
 
     *is_new* receives the previous row's *payload* column and returns a boolean
-    column; the first row of an entity always starts a run.
+    column; the first row of an entity always starts a run. Rows without a key or
+    a tick belong to no run and go.
+
+    One pass over the chunks: each counts the runs that start inside it and keeps
+    its last payload. A chunk's first row is then judged against the last payload
+    of the chunk before it, over one row a chunk, which also carries the count. Both
+    uses read the same shuffle: neither side gets a filter of its own.
     """
-    seen = neighbour(df, keys, order, payload, "_prev", tick, step=-1, width=width)
-    fresh = F.when(F.col("_prev").isNull() | is_new(F.col("_prev")), 1).otherwise(0)
-    flagged = seen.withColumn("_fresh", fresh)
-    return prefix_sum(flagged, keys, order, "_fresh", out, tick, width).drop("_prev", "_fresh")
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*keys, tick)])
+    chunk = F.coalesce(chunk_of(tick, width), F.lit(0).cast("long"))
+    placed = df.filter(present).withColumn("_chunk", chunk).withColumn("_pay", payload)
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def starts(previous: Column) -> Column:
+        return previous.isNull() | is_new(previous)
+
+    local = placed.withColumn("_prev", F.lag("_pay").over(inner)).withColumn("_at", F.row_number().over(inner))
+    local = local.withColumn("_fresh", F.when((F.col("_at") > 1) & starts(F.col("_prev")), 1).otherwise(0)).drop("_prev")
+    local = (
+        local.withColumn("_n", F.sum("_fresh").over(upto))
+        .withColumn("_total", F.sum("_fresh").over(whole))
+        .withColumn("_last", F.last("_pay").over(whole))
+        .drop("_fresh", "_pay")
+    )
+    outer = Window.partitionBy(*keys).orderBy("_chunk")
+    heads = local.filter("_at = 1").withColumn("_prev", F.lag("_last").over(outer))
+    heads = heads.withColumn("_open", F.when(starts(F.col("_prev")), 1).otherwise(0))
+    before = F.sum("_open").over(outer.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(
+        F.sum("_total").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    offsets = heads.select(*keys, "_chunk", before.alias("_before"))
+    return (
+        local.join(offsets, [*keys, "_chunk"])
+        .withColumn(out, F.col("_n") + F.col("_before"))
+        .drop("_chunk", "_at", "_n", "_total", "_last", "_before")
+    )
