@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.memo import Memo
-from tidemark.llm.shared import written
+from tidemark.llm.shared import shared_folder, written
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ROWS = 8
 SLICE = 1024
+COMPARED = "node long, pivot long, star boolean, n int, np int, added array<long>, removed array<long>, linked boolean, turn int"
 #: Indexed members of a shingle up to which they are compared directly.
-FEW = 8
+FEW = 64
 
 
 def bands_for(threshold: float, miss: float = 1e-6) -> int:
@@ -168,8 +168,8 @@ def _floor(value: Column, by: int) -> Column:
     return ((value - F.pmod(value, F.lit(by))) / by).cast("long")
 
 
-def _next_stars(compared: list[DataFrame], labels: DataFrame, num: int, den: int) -> DataFrame:
-    """New pairs (node, pivot, star) after the last of *compared*; with star, the pivot is one.
+def _next_stars(compared: DataFrame, turn: int, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """New pairs (node, pivot, star) after round *turn* of *compared*; with star, the pivot is one.
 
     With s the threshold and c = (1 - s) / (1 + s), two sets A and B are linked when their
     symmetric difference is at most c * (|A| + |B|). With f = |difference from P| - c * size,
@@ -180,8 +180,8 @@ def _next_stars(compared: list[DataFrame], labels: DataFrame, num: int, den: int
     and with elements in one order for all, one of the first |difference of B| - shared + 1
     of B is in the difference of A.
     """
-    every = reduce(DataFrame.unionByName, [d.withColumn("new", F.lit(d is compared[-1])) for d in compared])
-    last = compared[-1].filter("star").select("pivot").distinct()
+    every = compared.withColumn("new", F.col("turn") == turn)
+    last = every.filter("star and new").select("pivot").distinct()
     rows = every.filter("star").join(last, "pivot", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = rows.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("pivot")
     d = F.size("added") + F.size("removed")
@@ -250,13 +250,15 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, num: int, den
     wanted = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(classes.join(wanted, "node").select("node", "set"), "node")
     sets = written(shingle_sets(texts.select("node", "set", "text"), words).dropDuplicates(["node"]))
-    compared: list[DataFrame] = []
-    label = classes.sparkSession.createDataFrame([], "node long, label long")
+    spark, folder, turn = docs.sparkSession, shared_folder(docs.sparkSession), 0
+    label = spark.createDataFrame([], "node long, label long")
     while not stars.isEmpty():
-        compared.append(written(_compared(stars, sets, num, den)))
-        new = compared[-1].filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        _compared(stars, sets, num, den).write.parquet(f"{folder}/turn={turn}")
+        compared = spark.read.schema(COMPARED).parquet(folder)
+        new = compared.filter((F.col("turn") == turn) & F.col("linked")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         label = connected(new.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        stars = written(_next_stars(compared, label, num, den))
+        stars = written(_next_stars(compared, turn, label, num, den))
+        turn += 1
     return label
 
 
