@@ -91,7 +91,7 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], *, threshold: float = 0.5
     )
 
 
-def _overlap(a, b) -> float:
+def overlap(a, b) -> float:
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
     inter = max(0.0, w) * max(0.0, h)
@@ -124,7 +124,7 @@ class Tracker:
             best, top = None, self.threshold
             for k, (old, _) in self.tracks.items():
                 if k not in taken:
-                    s = _overlap(box, old)
+                    s = overlap(box, old)
                     if s > top:
                         best, top = k, s
             if best is None:

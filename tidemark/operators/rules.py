@@ -12,11 +12,13 @@ import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.axis import drop_halo, run_ids, with_halo
+from tidemark.operators.boxes import overlap
 from tidemark.operators.curves import widened_runs
 from tidemark.sources.rules_table import Condition, Event
 
@@ -28,59 +30,65 @@ VOTE_SHARE = 0.5
 # --- the per-frame step -----------------------------------------------------
 
 
-def _iou(a, b) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    inter = max(0.0, w) * max(0.0, h)
-    union = a[2] * a[3] + b[2] * b[3] - inter
-    return inter / union if union > 0 else 0.0
-
-
-def _centred(s, r) -> bool:
-    cx, cy = s[0] + s[2] / 2, s[1] + s[3] / 2
-    return r[0] <= cx <= r[0] + r[2] and r[1] <= cy <= r[1] + r[3]
+class Lingering:
+    """Boxes of one event that still count: array rows of class number, time last seen, x, y, w, h, confidence.
 
+    Only classes that a rule names are held. Whether rules match is decided on masks over
+    these rows.
+    """
 
-class Lingering:
-    """Boxes of one event that still count: ``{class: [[ts, box, conf], ...]}``."""
+    SEEN, BOX, CONF = 1, slice(2, 6), 6
 
-    def __init__(self, spec: Event, held: dict | None = None):
+    def __init__(self, spec: Event, held: list | None = None):
         self.spec = spec
-        self.held: dict[str, list] = held if held is not None else {}
+        names = dict.fromkeys(n for r in spec.rules for n in (r.region, r.source))
+        self.number = {name: k for k, name in enumerate(names)}
+        self.held = np.array(held or [], float).reshape(-1, 7)
 
     def frame(self, ts: float, seen: dict[str, list]) -> tuple[bool, float | None, list | None]:
         """Take one frame's boxes; whether the rules match, least confidence, union box."""
-        for cls in self.held:
-            self.held[cls] = [g for g in self.held[cls] if ts - g[0] <= self.spec.persist_secs]
-        for cls, boxes in seen.items():
-            kept = self.held.setdefault(cls, [])
-            for box, conf in boxes:
-                again = next((g for g in kept if _iou(g[1], box) > REFRESH_IOU), None)
-                if again is None:
-                    kept.append([ts, box, conf])
-                else:
-                    again[:] = [ts, box, conf]
-        free = {cls: list(gs) for cls, gs in self.held.items()}
-        matched: list = []
+        self.held = self.held[ts - self.held[:, self.SEEN] <= self.spec.persist_secs]
+        for name, number in self.number.items():
+            for box, conf in seen.get(name, ()):
+                self._take(np.array([number, ts, *box, conf], float))
+        used = self._used()
+        if used is None or not used.any():
+            return used is not None, None, None
+        boxes = self.held[used, self.BOX]
+        low, high = boxes[:, :2].min(axis=0), (boxes[:, :2] + boxes[:, 2:]).max(axis=0)
+        return True, float(self.held[used, self.CONF].min()), [*map(float, low), *map(float, high - low)]
+
+    def _take(self, row: np.ndarray) -> None:
+        """A box renews the first held one of its class that it overlaps, or is held anew."""
+        same = np.flatnonzero(self.held[:, 0] == row[0])
+        met = [k for k in same if overlap(self.held[k, self.BOX], row[self.BOX]) > REFRESH_IOU]
+        if met:
+            self.held[met[0]] = row
+        else:
+            self.held = np.vstack([self.held, row])
+
+    def _used(self) -> np.ndarray | None:
+        """Rows that the rules claim or name as regions; None where a rule does not hold.
+
+        A row claimed as a source by one rule is gone for the sources of the next.
+        """
+        x, y, w, h = self.held[:, self.BOX].T
+        cx, cy = x + w / 2, y + h / 2
+        claimed, used = np.zeros(len(x), bool), np.zeros(len(x), bool)
         for rule in self.spec.rules:
-            regions = self.held.get(rule.region, [])
-            if not regions:
+            region = self.held[:, 0] == self.number[rule.region]
+            if not region.any():
                 if rule.min_count > 0:
-                    return False, None, None
+                    return None
                 continue
-            pool = free.get(rule.source, [])
-            inside = [any(_centred(s[1], r[1]) for r in regions) for s in pool]
-            claimed = [s for s, ok in zip(pool, inside) if ok]
-            if not rule.min_count <= len(claimed) <= rule.max_count:
-                return False, None, None
-            free[rule.source] = [s for s, ok in zip(pool, inside) if not ok]
-            matched += claimed + regions
-        if not matched:
-            return True, None, None
-        x1, y1 = min(m[1][0] for m in matched), min(m[1][1] for m in matched)
-        x2 = max(m[1][0] + m[1][2] for m in matched)
-        y2 = max(m[1][1] + m[1][3] for m in matched)
-        return True, min(m[2] for m in matched), [x1, y1, x2 - x1, y2 - y1]
+            across = (cx[:, None] >= x[region]) & (cx[:, None] <= (x + w)[region])
+            along = (cy[:, None] >= y[region]) & (cy[:, None] <= (y + h)[region])
+            source = (self.held[:, 0] == self.number[rule.source]) & ~claimed & (across & along).any(axis=1)
+            if not rule.min_count <= source.sum() <= rule.max_count:
+                return None
+            claimed |= source
+            used |= source | region
+        return used
 
 
 def spatial_matches(boxes: DataFrame, keys: Sequence[str], specs: Sequence[Event]) -> DataFrame:
@@ -273,9 +281,10 @@ def guarded(
     ran = run_ids(
         x, k, ["ts"], F.struct(F.col("ts").alias("t")), lambda p: F.col("ts") - p["t"] > RUN_GAP, "_run", "ts"
     )
-    runs = ran.groupBy(*k, "_run").agg((F.max("ts") - F.min("ts") + 1.0).alias("_len"))
+    run = Window.partitionBy(*k, "_run")
+    sized = ran.withColumn("_len", F.max("ts").over(run) - F.min("ts").over(run) + 1.0)
     ok = (F.col("_len") >= per_event(2)) & ((per_event(3) <= 0) | (F.col("_len") <= per_event(3)))
-    return ran.join(runs.filter(ok).drop("_len"), [*k, "_run"], "left_semi").drop("_run")
+    return sized.filter(ok).drop("_run", "_len")
 
 
 def apply_rules(

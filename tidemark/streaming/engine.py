@@ -114,7 +114,7 @@ class RuleProcessor(StatefulProcessor):
                 if sum(v[1] for v in window) / len(window) >= VOTE_SHARE:
                     newest = next((v for v in reversed(window) if v[1]), None)
                     out.append((key[0], float(ts), s.event, newest[2], *(newest[3] or [None] * 4)))
-        body["held"] = {e: g.held for e, g in engines.items()}
+        body["held"] = {e: g.held.tolist() for e, g in engines.items()}
         self.state.update((json.dumps(body),))
         mark = timerValues.getCurrentWatermarkInMs()
         for old in list(self.handle.listTimers()):
