@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,24 @@ def shape_of(token: str) -> int:
 
 
 class WordGrams:
-    """Distinct word unigrams, bigrams and skip-grams (one word left out) of a text."""
+    """Distinct word unigrams, bigrams and skip-grams (one word left out) of a text.
+
+    Unigrams also stand by their first four, five and six letters, so that an inflected
+    word meets its stem.
+    """
+
+    STEMS = (4, 5, 6)
 
     def __init__(self, bits: int):
         self.bits, self.size = bits, 1 << bits
         self.code = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        self.stems = Memo(lambda w: tuple(xxhash.xxh3_64_intdigest(w[:n].encode("utf-8", "surrogatepass"), seed=n) for n in self.STEMS if len(w) >= n))
 
     def __call__(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
         h = np.fromiter(map(self.code.__getitem__, words), np.uint64, len(words))
-        grams = [h, h[:-1] * P2 + h[1:], h[:-2] * P3 + h[2:]]
+        stems = np.fromiter(chain.from_iterable(map(self.stems.__getitem__, set(words))), np.uint64)
+        grams = [h, h[:-1] * P2 + h[1:], h[:-2] * P3 + h[2:], stems]
         return np.unique(mixed(np.concatenate(grams), self.bits))
 
 

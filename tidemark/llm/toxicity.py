@@ -1,4 +1,4 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams, skip-grams and stems.
 
 Every coordinate has its own learning rate, and the L1 term keeps a weight at exactly zero
 until its gradients add up to more than that term, so the model is a short list of
