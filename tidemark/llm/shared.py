@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import local_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path below ``spark.checkpoint.dir``.
 
     Only a local session may leave that setting out; it gets a temporary folder, as
     in tests. On a cluster a machine's own folder would lose rows, so that is an error.
+    Folders are named ``tidemark-...`` and may be deleted once the result is written.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + local_folder(spark, "spark-shared-")
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
