@@ -372,7 +372,17 @@ def pattern_facts(spark, sf):
     return facts(d, ["video_id"], t="sec", name="name", grid=5, reach=3)
 
 
-@query("x13_join_up", "X13")
+@query(
+    "x13_join_up",
+    "X13",
+    fx.with_views("segment").replace("WITH", "WITH RECURSIVE", 1)
+    + """, s AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seg) AS rn, seg * 2.0::DOUBLE AS a, seg * 2.0::DOUBLE + 1.8::DOUBLE AS b, substr(text, 1, instr(text, ' ')) AS t FROM segment),
+    r AS (SELECT video_id, rn, 1 AS piece, a, b, t FROM s WHERE rn = 1
+      UNION ALL SELECT s.video_id, s.rn, CASE WHEN fits THEN piece ELSE piece + 1 END, CASE WHEN fits THEN r.a ELSE s.a END, s.b, CASE WHEN fits THEN r.t || ' ' || s.t ELSE s.t END
+      FROM r JOIN s ON s.video_id = r.video_id AND s.rn = r.rn + 1,
+        LATERAL (SELECT s.a - r.b < 0.5 AND s.b - r.a <= 6 AND r.b - r.a < 3 AND s.b - s.a < 3 AND NOT regexp_matches(trim(r.t), '[.!?]$') AS fits) f)
+    SELECT video_id, max_by(a, rn) AS start, max_by(b, rn) AS "end", max_by(t, rn) AS text FROM r GROUP BY video_id, piece""",
+)
 def join_up(spark, sf):
     """Short neighbouring lines merged."""
     s = fx.segment(spark, sf).select(
@@ -381,7 +391,15 @@ def join_up(spark, sf):
     return sp.join_up(s, K)
 
 
-@query("x13_pause_marks", "X13")
+@query(
+    "x13_pause_marks",
+    "X13",
+    fx.with_views("segment").replace("WITH", "WITH RECURSIVE", 1)
+    + """, s AS (SELECT video_id, seg, start, least("end", start + 9) AS b, row_number() OVER w AS rn, start - lag(least("end", start + 9)) OVER w AS gap FROM segment WINDOW w AS (PARTITION BY video_id ORDER BY start, seg)),
+    r AS (SELECT video_id, rn, start AS last, true AS stamp FROM s WHERE rn = 1
+      UNION ALL SELECT s.video_id, s.rn, CASE WHEN gap >= 2 OR s.start - last > 15 THEN s.start ELSE last END, gap >= 2 OR s.start - last > 15 FROM r JOIN s ON s.video_id = r.video_id AND s.rn = r.rn + 1)
+    SELECT s.video_id, seg, s.start, CASE WHEN gap >= 2 THEN round(gap, 1) END AS pause, stamp FROM s JOIN r ON r.video_id = s.video_id AND r.rn = s.rn""",
+)
 def pause_marks(spark, sf):
     """Pauses and shown time stamps of a transcript."""
     s = fx.segment(spark, sf).select("video_id", "seg", "start", F.least(F.col("end"), F.col("start") + 9).alias("end"))
