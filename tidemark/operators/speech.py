@@ -420,7 +420,7 @@ def join_up(segments: DataFrame, keys: Sequence[str], *, gap: float = 0.5, longe
     return folded.select(*keys, "_m.*")
 
 
-def pause_marks(segments: DataFrame, keys: Sequence[str], *, pause: float = 2.0, every: float = 30.0) -> DataFrame:
+def pause_marks(segments: DataFrame, keys: Sequence[str], *, pause: float = 2.0, every: float = 30.0, digits: int = 1) -> DataFrame:
     """Pause before each line (when long enough) and whether a time stamp is shown.
 
     A stamp is shown on the first line, after a pause, and when more than *every*
@@ -434,7 +434,7 @@ def pause_marks(segments: DataFrame, keys: Sequence[str], *, pause: float = 2.0,
         *keys,
         "seg",
         "start",
-        F.when(gap >= pause, F.round(gap, 1)).alias("pause"),
+        F.when(gap >= pause, F.round(gap, digits)).alias("pause"),
         (F.col("_p").isNull() | (gap >= pause)).alias("_forced"),
     )
     # between forced stamps the rule is a fold over the stretch's line starts

@@ -398,12 +398,12 @@ def join_up(spark, sf):
     + """, s AS (SELECT video_id, seg, start, least("end", start + 9) AS b, row_number() OVER w AS rn, start - lag(least("end", start + 9)) OVER w AS gap FROM segment WINDOW w AS (PARTITION BY video_id ORDER BY start, seg)),
     r AS (SELECT video_id, rn, start AS last, true AS stamp FROM s WHERE rn = 1
       UNION ALL SELECT s.video_id, s.rn, CASE WHEN gap >= 2 OR s.start - last > 15 THEN s.start ELSE last END, gap >= 2 OR s.start - last > 15 FROM r JOIN s ON s.video_id = r.video_id AND s.rn = r.rn + 1)
-    SELECT s.video_id, seg, s.start, CASE WHEN gap >= 2 THEN round(gap, 1) END AS pause, stamp FROM s JOIN r ON r.video_id = s.video_id AND r.rn = s.rn""",
+    SELECT s.video_id, seg, s.start, CASE WHEN gap >= 2 THEN round(gap, 6) END AS pause, stamp FROM s JOIN r ON r.video_id = s.video_id AND r.rn = s.rn""",
 )
 def pause_marks(spark, sf):
     """Pauses and shown time stamps of a transcript."""
     s = fx.segment(spark, sf).select("video_id", "seg", "start", F.least(F.col("end"), F.col("start") + 9).alias("end"))
-    return sp.pause_marks(s, K, pause=2.0, every=15.0)
+    return sp.pause_marks(s, K, pause=2.0, every=15.0, digits=6)
 
 
 @query(
