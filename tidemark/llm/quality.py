@@ -35,7 +35,8 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int, smooth: f
     counts = [np.full(size, smooth), np.full(size, smooth)]
     for row, label in zip(rows, y):
         counts[int(label)][row] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    return ratios.astype(np.float32)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:

@@ -35,26 +35,26 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, rounds: int = 6) -> Model:
-    """FTRL-proximal over the rows in order, *rounds* times; the last coordinate is the bias."""
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+    """FTRL-proximal over the rows in order, *rounds* times; the bias is a coordinate without the L1 term."""
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    bias = np.zeros(2)
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zi = z[at]
-        bound = np.where(at == size - 1, 0.0, l1)
-        return np.where(np.abs(zi) <= bound, 0.0, -(zi - np.sign(zi) * bound) / ((beta + np.sqrt(n[at])) / alpha + l2))
+    def weights(z: np.ndarray, n: np.ndarray, bound: float) -> np.ndarray:
+        return np.where(np.abs(z) <= bound, 0.0, -(z - np.sign(z) * bound) / ((beta + np.sqrt(n)) / alpha + l2))
+
+    def moved(z: np.ndarray, n: np.ndarray, w: np.ndarray, g: float) -> tuple[np.ndarray, np.ndarray]:
+        after = n + g * g
+        return z + g - (np.sqrt(after) - np.sqrt(n)) / alpha * w, after
 
-    rows = [np.append(r, size - 1) for r in rows]
     for _ in range(rounds):
         for at, label in zip(rows, y):
-            w = weights(at)
-            g = sigmoid(w.sum()) - label
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-    every = weights(np.arange(size))
-    kept = np.flatnonzero(every[:-1])
-    return Model(kept, every[kept].astype(np.float32), float(every[-1]))
+            w, b = weights(z[at], n[at], l1), weights(bias[0], bias[1], 0.0)
+            g = sigmoid(w.sum() + b) - label
+            z[at], n[at] = moved(z[at], n[at], w, g)
+            bias[:] = moved(bias[0], bias[1], b, g)
+    every = weights(z, n, l1)
+    kept = np.flatnonzero(every)
+    return Model(kept, every[kept].astype(np.float32), float(weights(bias[0], bias[1], 0.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label: str = "toxic") -> Model:
