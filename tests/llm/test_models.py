@@ -153,6 +153,20 @@ def test_decontamination_answers(spark):
     assert sorted((r.doc_id for r in got), key=str) == [1, None]
 
 
+def test_decontamination_of_copies(spark):
+    """A third of the rows copy a document with an item, another item is a short document many times over."""
+    rng = random.Random(9)
+    text = lambda n: [f"r{rng.randrange(20_000)}" for _ in range(n)]
+    items = [text(13), [f"f{k % 7}" for k in range(20)], text(30)]
+    copy = text(119) + items[0] + text(119)
+    docs = [(d, " ".join(copy if d % 3 == 0 else items[1] if d % 3 == 1 and d < 150 else text(200))) for d in range(450)]
+    docs += [(450, " ".join(text(90) + items[0] + text(90))), (451, " ".join(text(90) + items[1] + text(90)))]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
+    want = {(d, 0) for d in range(0, 450, 3)} | {(450, 0), (451, 1)} | {(d, 1) for d in range(1, 150, 3)}
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def brute_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()

@@ -4,13 +4,15 @@
    benchmark are kept with their positions, and passages (16 words each) are counted per
    such word. This table, a small part of the texts, is what the later steps read.
 2. Passages are TF-IDF rows of unit length; words in more than a given share of the passages
-   weigh nothing, words foreign to the benchmark only count in a passage's length. A
+   keep a tenth of their weight, words foreign to the benchmark only count in a passage's length. A
    randomised singular value decomposition of all rows takes one pass: each task multiplies
    its rows with a random matrix and back, and the sums of the tasks give the leading
    directions by Nystroem's formula. The items' own rows are folded in as further
    directions, so that an item that no passage repeats has its place in the latent space.
-3. Windows of two passages are projected into the latent space and compared with the items
-   by cosine. A window whose known words cannot reach the threshold is skipped unprojected.
+3. Every window of two passages is compared with every item by the weight they share, divided
+   by the item's length and by the window's or the item's, whichever is less. No weight is 0
+   and of an item's verbatim copy one window holds half its squared length at least, so such
+   a copy is a candidate however frequent its words are and however long the text around it.
 4. Around each candidate window the longest common subsequence with the item is computed on
    whole word sequences, as far as an item's length to both sides. An item counts as
    contained when enough of it is in order there, and enough of its answer (a column of its
@@ -39,6 +41,8 @@ STEP = 16
 #: Bytes to word characters: A-Z in lower case, other ASCII that is not a letter or digit to a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SLICE = 16_384
+#: What is left of the weight of a word in more than max_df of the passages; never 0, as an item may have no other words.
+FREQUENT = 0.1
 TABLE = "doc_id long, n_words int, ids array<int>, at array<int>, counts array<long>"
 FOUND = "doc_id long, item_id long, cosine double, share double, first_word long, last_word long"
 
@@ -57,6 +61,41 @@ class Query:
     answer: frozenset[int]
 
 
+@dataclass(frozen=True)
+class Scores:
+    """What each word adds to the score of each item: a matrix, its most read rows dense, the others sparse."""
+
+    column: np.ndarray
+    dense: np.ndarray
+    starts: np.ndarray
+    items: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: np.ndarray, often: np.ndarray, dense: int = 128) -> Scores:
+        """*often*: how many passages have each word."""
+        held = (matrix != 0).sum(axis=1)
+        top = np.argsort(-held * often, kind="stable")[:dense]
+        column = np.full(len(matrix), -1)
+        column[top] = np.arange(len(top))
+        words, items = np.nonzero(np.where((column < 0)[:, None], matrix, 0))
+        starts = np.searchsorted(words, np.arange(len(matrix) + 1))
+        return cls(column, np.ascontiguousarray(matrix[top]), starts, items, matrix[words, items])
+
+    def sums(self, rows: np.ndarray, ids: np.ndarray, n_rows: int, n_items: int) -> np.ndarray:
+        """Sums over the entries (row, word): a matrix of *n_rows* and all items."""
+        column = self.column[ids]
+        some = column >= 0
+        n = len(self.dense)
+        counts = np.bincount(rows[some] * n + column[some], minlength=n_rows * n).reshape(n_rows, n)
+        out = counts.astype(np.float32) @ self.dense
+        rows, ids = rows[~some], ids[~some]
+        each = self.starts[ids + 1] - self.starts[ids]
+        at = np.arange(int(each.sum())) + np.repeat(self.starts[ids] - (np.cumsum(each) - each), each)
+        keys = np.repeat(rows, each) * n_items + self.items[at]
+        return out + np.bincount(keys, self.values[at], n_rows * n_items).reshape(n_rows, n_items)
+
+
 @dataclass(frozen=True)
 class Space:
     """What tasks need of one block: queries, weights per word and the latent space."""
@@ -64,8 +103,8 @@ class Space:
     queries: list[Query]
     idf: np.ndarray
     foreign: float
-    basis: np.ndarray
-    latent: np.ndarray
+    scores: Scores
+    lengths: np.ndarray
 
 
 def queries_of(items: list[Row], longest: int) -> tuple[list[Query], dict[bytes, int]]:
@@ -195,11 +234,13 @@ def sketch(table: DataFrame, random: np.ndarray, idf: np.ndarray, foreign: float
     return total
 
 
-def item_matrix(queries: list[Query], idf: np.ndarray) -> np.ndarray:
+def item_matrix(queries: list[Query], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items as rows of unit length, and the lengths they had."""
     rows = np.zeros((len(queries), len(idf)), np.float32)
     for row, q in zip(rows, queries):
         row[:] = np.bincount(q.ids, minlength=len(idf)) * idf
-    return rows / np.maximum(1e-9, np.sqrt((rows * rows).sum(axis=1, keepdims=True)))
+    lengths = np.sqrt((rows * rows).sum(axis=1))
+    return rows / lengths[:, None], lengths
 
 
 def nystroem(z: np.ndarray, random: np.ndarray, dims: int) -> np.ndarray:
@@ -214,12 +255,6 @@ def nystroem(z: np.ndarray, random: np.ndarray, dims: int) -> np.ndarray:
     return np.ascontiguousarray(left[:, :dims]).astype(np.float32)
 
 
-def orthonormal(columns: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the space the columns span."""
-    left, values, _ = np.linalg.svd(columns.astype(np.float64), full_matrices=False)
-    return np.ascontiguousarray(left[:, values > 1e-6 * max(1e-12, values[0])]).astype(np.float32)
-
-
 def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float, dims: int = 48, seed: int = 11) -> Space:
     """Word weights from all passages, and the latent space: *dims* leading directions and the items'."""
     counts = table.filter("n_words < 0").select(F.posexplode("counts").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -228,14 +263,13 @@ def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float,
         df[row.word] = row.n
     total = max(1.0, df[-1])
     foreign = math.log(1 + total)
-    idf = np.where(df[:-1] > max(max_df * total, 8), 0.0, np.log((1 + total) / (1 + df[:-1])) + 1e-3)
+    idf = np.log((1 + total) / (1 + df[:-1])) + 1e-3
+    idf[df[:-1] > max(max_df * total, 8)] *= FREQUENT
     random = np.random.default_rng(seed).standard_normal((words, min(words, dims + 16))).astype(np.float32)
     z = sketch(table.filter("n_words >= 0"), random, idf, foreign)
     leading = nystroem(z.astype(np.float64), random.astype(np.float64), dims)
-    items = item_matrix(queries, idf)
-    basis = orthonormal(np.concatenate([leading, items.T], axis=1))
-    latent = items @ basis
-    return Space(queries, idf, foreign, basis, latent / np.maximum(1e-9, np.sqrt((latent * latent).sum(axis=1, keepdims=True))))
+    items, lengths = item_matrix(queries, idf)
+    return Space(queries, idf, foreign, Scores.of(items.T * idf[:, None], df[:-1]), lengths)
 
 
 def lcs(item: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
@@ -298,32 +332,30 @@ def search(table: DataFrame, space: Space, cosine: float, least: float, least_an
                 continue
             ids, at, starts, n_words = arrays_of(batch)
             which, weight, square, first, per_doc = passages(ids, at, starts, n_words, s.idf, s.foreign)
-            known = np.bincount(which, weight * weight, len(square))
-            pair = np.ones(len(square), bool)
-            pair[(first + per_doc - 1)[per_doc > 0]] = False
-            both_known = known + np.where(pair, np.roll(known, -1), 0)
-            both = square + np.where(pair, np.roll(square, -1), 0)
-            likely = np.flatnonzero(both_known >= cosine**2 * both)
+            last = np.zeros(len(square), bool)
+            last[(first + per_doc - 1)[per_doc > 0]] = True
+            both = np.sqrt(square + np.where(last, 0, np.roll(square, -1)))
             rows: dict[tuple[int, int], tuple] = {}
             edges = np.searchsorted(which, np.arange(len(square) + 1))
-            doc_of = np.searchsorted(first, likely, side="right") - 1
-            for lo in range(0, len(likely), 1024):
-                some = likely[lo : lo + 1024]
-                vectors = np.zeros((len(some), s.basis.shape[1]), np.float32)
-                for k, p in enumerate(some):
-                    e = slice(edges[p], edges[p + 2] if pair[p] else edges[p + 1])
-                    vectors[k] = weight[e].astype(np.float32) @ s.basis[ids[e]]
-                scores = (vectors @ s.latent.T) / np.sqrt(both[some])[:, None]
-                for k, i in zip(*np.nonzero(scores >= cosine)):
-                    d = int(doc_of[lo + k])
-                    begin = int(some[k] - first[d]) * STEP
+            for lo in range(0, len(square), 512):
+                some = slice(lo, min(len(square), lo + 512))
+                far = min(len(square), some.stop + 1)
+                e = slice(edges[lo], edges[far])
+                sums = s.scores.sums(which[e] - lo, ids[e], far - lo, len(s.queries))
+                window = sums[: some.stop - lo].copy()
+                follow = np.flatnonzero(~last[some])
+                window[follow] += sums[follow + 1]
+                least_sum = cosine * np.minimum(both[some, None], s.lengths)
+                for k, i in zip(*np.nonzero(window >= least_sum)):
+                    d = int(np.searchsorted(first, lo + k, side="right")) - 1
+                    begin = int(lo + k - first[d]) * STEP
                     done = rows.get((d, int(i)))
                     if done is not None and done[0] <= begin and begin + 2 * STEP <= done[1] and done[2] is not None:
                         continue
                     own = slice(starts[d], starts[d + 1])
                     got = confirmed(s, s.queries[i], ids[own], at[own], begin, begin + 2 * STEP, least, least_answer)
                     if got is not None and (done is None or done[2] is None or got[0] > done[2][0]):
-                        rows[d, int(i)] = (begin, begin + 2 * STEP, got, float(scores[k, i]))
+                        rows[d, int(i)] = (begin, begin + 2 * STEP, got, float(window[k, i] / both[lo + k]))
             docs = batch.column("doc_id").to_pylist()
             out = [(docs[d], s.queries[i].item_id, c, *got) for (d, i), (_, _, got, c) in rows.items()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
