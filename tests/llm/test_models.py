@@ -167,6 +167,24 @@ def test_decontamination_of_copies(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_decontamination_latent(spark):
+    """An item thinned out between foreign words is found by its subject, not by the words of one window."""
+    rng = random.Random(4)
+    words = [[f"t{k}w{j}" for j in range(48)] for k in range(40)]
+    foreign = lambda: f"r{rng.randrange(20_000)}"
+    docs = []
+    for d in range(600):
+        docs.append((d, " ".join(w for _ in range(80) for w in (rng.choice(words[d % 40]), foreign()))))
+    for d in range(4):
+        some = sorted(rng.sample(range(48), 31))
+        docs.append((900 + d, " ".join(x for n, j in enumerate(some) for x in (words[d][j], *(foreign() for _ in range(2 + n % 2))))))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.cosine for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(900 + d, d) for d in range(4)} and max(got.values()) < 0.3
+    assert decontaminate.contaminated(df, bench, latent=1.1).count() == 0
+
+
 def brute_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()

@@ -7,12 +7,13 @@
    keep a tenth of their weight, words foreign to the benchmark only count in a passage's length. A
    randomised singular value decomposition of all rows takes one pass: each task multiplies
    its rows with a random matrix and back, and the sums of the tasks give the leading
-   directions by Nystroem's formula. The items' own rows are folded in as further
-   directions, so that an item that no passage repeats has its place in the latent space.
+   directions by Nystroem's formula.
 3. Every window of two passages is compared with every item by the weight they share, divided
    by the item's length and by the window's or the item's, whichever is less. No weight is 0
    and of an item's verbatim copy one window holds half its squared length at least, so such
    a copy is a candidate however frequent its words are and however long the text around it.
+   Both are projected into the leading directions too, where their cosine is measured anew:
+   windows of an item's subject are candidates that share few of its words, each by itself.
 4. Around each candidate window the longest common subsequence with the item is computed on
    whole word sequences, as far as an item's length to both sides. An item counts as
    contained when enough of it is in order there, and enough of its answer (a column of its
@@ -105,6 +106,9 @@ class Space:
     foreign: float
     scores: Scores
     lengths: np.ndarray
+    holds: np.ndarray
+    leading: Scores
+    latent: np.ndarray
 
 
 def queries_of(items: list[Row], longest: int) -> tuple[list[Query], dict[bytes, int]]:
@@ -269,7 +273,10 @@ def decompose(table: DataFrame, queries: list[Query], words: int, max_df: float,
     z = sketch(table.filter("n_words >= 0"), random, idf, foreign)
     leading = nystroem(z.astype(np.float64), random.astype(np.float64), dims)
     items, lengths = item_matrix(queries, idf)
-    return Space(queries, idf, foreign, Scores.of(items.T * idf[:, None], df[:-1]), lengths)
+    latent = items @ leading
+    latent /= np.maximum(1e-9, np.sqrt((latent * latent).sum(axis=1, keepdims=True)))
+    scores = Scores.of(items.T * idf[:, None], df[:-1])
+    return Space(queries, idf, foreign, scores, lengths, items > 0, Scores.of(leading * idf[:, None], df[:-1], 256), latent)
 
 
 def lcs(item: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
@@ -304,10 +311,13 @@ def lcs(item: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[int, int, in
     return best, int(at[end - back]), int(at[end])
 
 
-def confirmed(space: Space, q: Query, ids: np.ndarray, at: np.ndarray, low: int, high: int, least: float, least_answer: float):
-    """The item's share around words [low, high) of a document, or None if it is not contained."""
+def confirmed(space: Space, i: int, ids: np.ndarray, at: np.ndarray, low: int, high: int, least: float, least_answer: float):
+    """The share of item *i* around words [low, high) of a document, or None if it is not contained."""
+    q = space.queries[i]
     reach = len(q.ids)
     a, b = np.searchsorted(at, [low - reach, high + reach])
+    if np.count_nonzero(space.holds[i][ids[a:b]]) < least * len(q.ids):
+        return None
     found, first, last = lcs(q.ids, ids[a:b], at[a:b])
     if found < least * len(q.ids):
         return None
@@ -321,7 +331,7 @@ def confirmed(space: Space, q: Query, ids: np.ndarray, at: np.ndarray, low: int,
     return found / len(q.ids), first, last
 
 
-def search(table: DataFrame, space: Space, cosine: float, least: float, least_answer: float) -> DataFrame:
+def search(table: DataFrame, space: Space, cosine: float, latent: float, least: float, least_answer: float) -> DataFrame:
     """Confirmed stretches of every document: FOUND rows, one or more per (doc_id, item_id)."""
     shared = table.sparkSession.sparkContext.broadcast(space)
 
@@ -341,19 +351,26 @@ def search(table: DataFrame, space: Space, cosine: float, least: float, least_an
                 some = slice(lo, min(len(square), lo + 512))
                 far = min(len(square), some.stop + 1)
                 e = slice(edges[lo], edges[far])
-                sums = s.scores.sums(which[e] - lo, ids[e], far - lo, len(s.queries))
-                window = sums[: some.stop - lo].copy()
                 follow = np.flatnonzero(~last[some])
-                window[follow] += sums[follow + 1]
+
+                def windows(words: Scores, columns: int) -> np.ndarray:
+                    sums = words.sums(which[e] - lo, ids[e], far - lo, columns)
+                    out = sums[: some.stop - lo].copy()
+                    out[follow] += sums[follow + 1]
+                    return out
+
+                window = windows(s.scores, len(s.queries))
+                near = windows(s.leading, s.latent.shape[1])
+                near /= np.maximum(1e-9, np.sqrt((near * near).sum(axis=1, keepdims=True)))
                 least_sum = cosine * np.minimum(both[some, None], s.lengths)
-                for k, i in zip(*np.nonzero(window >= least_sum)):
+                for k, i in zip(*np.nonzero((window >= least_sum) | (near @ s.latent.T >= latent))):
                     d = int(np.searchsorted(first, lo + k, side="right")) - 1
                     begin = int(lo + k - first[d]) * STEP
                     done = rows.get((d, int(i)))
                     if done is not None and done[0] <= begin and begin + 2 * STEP <= done[1] and done[2] is not None:
                         continue
                     own = slice(starts[d], starts[d + 1])
-                    got = confirmed(s, s.queries[i], ids[own], at[own], begin, begin + 2 * STEP, least, least_answer)
+                    got = confirmed(s, i, ids[own], at[own], begin, begin + 2 * STEP, least, least_answer)
                     if got is not None and (done is None or done[2] is None or got[0] > done[2][0]):
                         rows[d, int(i)] = (begin, begin + 2 * STEP, got, float(window[k, i] / both[lo + k]))
             docs = batch.column("doc_id").to_pylist()
@@ -377,10 +394,13 @@ def contaminated(
     answer_col: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    latent: float = 0.9,
 ) -> DataFrame:
     """Documents that contain a benchmark item: doc_id, item_id, cosine, share, first_word, last_word.
 
-    One row per document and item, with the best stretch. Null and empty texts and items
+    One row per document and item, with the best stretch. *cosine* and *latent* are the least
+    likeness of candidates by shared words and in the latent space; the column ``cosine`` is the
+    former's, over the window's whole length, and can be below its threshold. Null and empty texts and items
     contain nothing and are contained in nothing; null ids and repeated rows are kept apart
     only by their ids; other columns are not read, so their names cannot clash; an empty
     table on either side gives no rows.
@@ -396,7 +416,7 @@ def contaminated(
         if queries:
             table = written(known_words(texts, vocabulary))
             space = decompose(table, queries, len(vocabulary), max_df)
-            found.append(search(table.filter("n_words >= 0"), space, cosine, least, least_answer))
+            found.append(search(table.filter("n_words >= 0"), space, cosine, latent, least, least_answer))
         block.clear()
 
     for item in items.toLocalIterator():
