@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, features, quality, queries, toxicity
@@ -185,6 +187,21 @@ def test_decontamination_latent(spark):
     assert decontaminate.contaminated(df, bench, latent=1.1).count() == 0
 
 
+def test_decontamination_at_any_size(spark):
+    """Verbatim items pass with a million times the passages, each item in a block of its own."""
+    rng = random.Random(3)
+    text = lambda n: [f"r{rng.randrange(5_000)}" for _ in range(n)]
+    items = [text(15) for _ in range(3)]
+    docs = [(d, " ".join(text(60) + items[d] + text(60))) if d < 3 else (d, " ".join(text(200))) for d in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for k, item in enumerate(items):
+        found, vocabulary = decontaminate.queries_of([Row(item_id=k, text=" ".join(item), answer=None)], 48)
+        table = decontaminate.known_words(df, vocabulary).withColumn("counts", F.transform("counts", lambda n: n * 1_000_000))
+        space = decontaminate.decompose(table, found, len(vocabulary), 0.01)
+        rows = decontaminate.search(table.filter("n_words >= 0"), space, cosine=0.3, least=0.6, least_answer=0.5, latent=1.1).collect()
+        assert [(r.doc_id, r.item_id) for r in rows] == [(k, k)]
+
+
 def brute_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
