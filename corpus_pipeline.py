@@ -44,9 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
-    found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents that hold no item of ``benchmark``, each judged by its own text, whatever its id."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_text_key"))
+    found = decontaminate.contaminated(keyed, _table(spark, sf_dir, "benchmark"), id_col="_text_key")
+    gone = found.select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(gone, "_text_key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

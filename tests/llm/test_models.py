@@ -243,3 +243,12 @@ def test_pipeline_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).count() == 0
         assert sorted(stage(spark, docs, SF).columns) == sorted(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_contaminated_rows_by_text(spark):
+    """A contaminated row without an id goes; a clean row with a contaminated row's id stays."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item, "en", "s", 1), (None, "clean", "en", "s", 1), (None, None, "en", "s", 1), (5, item, "en", "s", 1), (5, "clean", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == [(5, "clean"), (None, "clean"), (None, None)]
