@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, fingerprints, minhash, packing, quality, tokens, toxicity, urls, warc
+from tidemark.llm import chat, decontaminate, fingerprints, minhash, negatives, packing, quality, runs, tokens, toxicity, urls, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -154,5 +154,68 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op5_benchmark_decontamination, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints)}
-ORACLE = {"op1_warc": OP1_SQL, "op2_chat_formatting": OP2_SQL}
+def rewritten(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by its hash, the words from one on repeat.
+
+    With g the rest of the hash, word i from a = g % n on becomes word a + (i - a) % p of the
+    original, p = 1 + floor((n - a) / (3 + g % 8)). Null texts are empty.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(h % 10 == 0, F.lit(False)).alias("chosen"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("chosen"), words)).withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", "n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod("g", F.lit(8)))))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    moved = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("words", (source(i) + 1).cast("int")))
+    return rows.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, in the rewritten texts."""
+    found = runs.find_runs(rewritten(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors whose id is divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = negatives.whole_rows(table(spark, sf_dir, "embeddings").withColumn("label", moved), scale=256)
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH picked AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM picked a JOIN picked b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op5_benchmark_decontamination, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints, op12_periodic_runs, op13_hard_negatives)}
+ORACLE = {"op1_warc": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op13_hard_negatives": OP13_SQL}
