@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, fingerprints, minhash, negatives, packing, quality, runs, tokens, toxicity, urls, warc
+from tidemark.llm import chat, decontaminate, fingerprints, minhash, negatives, packing, pii, quality, runs, tokens, toxicity, urls, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -154,6 +154,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts are those of the base spans, ``n_added`` that of the others."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def rewritten(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in every tenth document by its hash, the words from one on repeat.
 
@@ -217,5 +230,5 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score D
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op5_benchmark_decontamination, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints, op12_periodic_runs, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat_formatting, op3_quality_classifier, op4_token_counts, op5_benchmark_decontamination, op6_toxicity, op7_minhash_near_dedup, op8_packing, op9_url_filters, op10_fingerprints, op11_pii, op12_periodic_runs, op13_hard_negatives)}
 ORACLE = {"op1_warc": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op13_hard_negatives": OP13_SQL}
