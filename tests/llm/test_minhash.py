@@ -98,3 +98,29 @@ def test_components_of_a_long_chain(spark):
 
 def test_bands():
     assert (1 - 0.85**6) ** minhash.bands_for(0.85) <= 1e-6
+
+
+def copies(n, length, edits, seed=1):
+    """Edited copies of one text and copies of some of these copies."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(length)]
+    pool, out = [base], []
+    for _ in range(n):
+        words = list(rng.choice(pool) if rng.random() < 0.3 else base)
+        for _ in range(rng.randrange(edits)):
+            words[rng.randrange(length)] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+        if rng.random() < 0.02:
+            pool.append(words)
+    return list(enumerate(out))
+
+
+def test_family_of_edited_copies(spark, monkeypatch):
+    rows = copies(700, 90, 7)
+    turns = []
+    step = minhash._next_stars
+    monkeypatch.setattr(minhash, "_next_stars", lambda stars, *a: turns.append(stars.count()) or step(stars, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert len(turns) <= 5 and sum(turns) < 30 * len(rows)  # stars only: no pairs of pairs

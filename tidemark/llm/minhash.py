@@ -6,22 +6,25 @@ permutations make a band of eight values; the number of bands follows from the t
 and from the accepted chance that a pair exactly at the threshold shares no band.
 
 Documents with equal shingle sets are one class, found by an aggregation. Among classes,
-a band bucket is never expanded into all its pairs:
+pairs are made by stars only, never by expanding a bucket into all its pairs:
 
 1. Each member of a bucket is compared with one member of it, the pivot; the shingles that
    it has more or less than the pivot are its difference. Members linked with the pivot
    are connected; no pair among them is needed.
-2. A member that is not linked with the pivot can only be linked with a member with which
-   it shares part of its difference: were the two differences disjoint, the pair's own
-   difference would be larger than the member's, which is already too large. So, where a
-   pivot's members are not all connected yet, their differences are indexed by a prefix
-   (added shingles first, which are the rarer ones). Where few members are indexed under a
-   shingle, they are compared with all that have it and can still share enough; where many
-   are, these form a smaller bucket, whose pivot is the indexed member closest to the last
-   pivot. Either way the pairs are a fixed number per member at most. Steps 1 and 2 repeat
-   until no pair is new.
-
-Every pair of a bucket is thereby either connected or excluded, without a limit on sizes.
+2. Two members that are not both linked with the pivot can only be linked with each other
+   if they share a large part of their differences (see :func:`_prefixes`). So, in a group
+   whose members are not all connected yet, differences are ordered by how rare an element
+   is in the group, and members that meet in a prefix of their differences form a smaller
+   group, whose pivot is the member closest to the last pivot. Groups with the same members
+   are one. Members that the shared element makes no pair with another component leave.
+
+Steps 1 and 2 repeat until no group is left. Every pair of a bucket is thereby connected or
+excluded, without a limit on sizes; a group gives one pair per member, loses its pivot and
+all that is already connected in each round, and rare elements make groups small at once:
+on families of thousands of edited copies the third round is the last.
+
+Components are kept as a table of labels. The links of a round are contracted to pairs of
+different labels first, so that later rounds work on the few components they still join.
 """
 
 from __future__ import annotations
@@ -36,14 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.memo import Memo
-from tidemark.llm.shared import shared_folder, written
+from tidemark.llm.shared import salted, written
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ROWS = 8
 SLICE = 1024
-COMPARED = "node long, pivot long, star boolean, n int, np int, added array<long>, removed array<long>, linked boolean, turn int"
-#: Indexed members of a shingle up to which they are compared directly.
-FEW = 64
+#: Parts into which the members of one pivot are dealt.
+WAYS = 64
 
 
 def bands_for(threshold: float, miss: float = 1e-6) -> int:
@@ -140,19 +142,22 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(batches, "node long, s array<long>")
 
 
-def _compared(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Add both sizes, the differences and whether they are linked to (node, pivot, star)."""
-    left = sets.select(F.col("node"), F.col("s").alias("_a"))
-    right = sets.select(F.col("node").alias("pivot"), F.col("s").alias("_p"))
-    both = stars.join(left, "node").join(right, "pivot")
-    added, removed = F.array_except("_a", "_p"), F.array_except("_p", "_a")
-    both = both.select("node", "pivot", "star", F.size("_a").alias("n"), F.size("_p").alias("np"), F.array_sort(added).alias("added"), F.array_sort(removed).alias("removed"))
-    inter = F.col("n") - F.size("added")
-    return both.withColumn("linked", inter * den >= (F.col("np") + F.size("added")) * num)
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Add both sizes, the difference and whether they are linked to (node, pivot).
+
+    A hot pivot's members are dealt over WAYS parts; its set is copied to those in use.
+    """
+    dealt = pairs.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(WAYS)))
+    copies = dealt.select("pivot", "way").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("_p")), "pivot")
+    both = dealt.join(sets.select("node", F.col("s").alias("_a")), "node").join(copies, ["pivot", "way"])
+    both = both.select("node", "pivot", F.size("_a").alias("n"), F.size("_p").alias("np"), F.array_except("_a", "_p").alias("_added"), F.array_except("_p", "_a").alias("_removed"))
+    inter = F.col("n") - F.size("_added")
+    linked = inter * den >= (F.col("np") + F.size("_added")) * num
+    return both.select("node", "pivot", "n", "np", F.concat("_added", "_removed").alias("diff"), linked.alias("linked"))
 
 
 def _first_stars(members: DataFrame) -> DataFrame:
-    """(bucket, node) to distinct (node, pivot).
+    """(bucket, node) to distinct (node, pivot), the members of all buckets with that pivot.
 
     The pivot is the member with most mates over all its buckets: the closest to the middle
     of its group, so that most are linked with it.
@@ -161,61 +166,59 @@ def _first_stars(members: DataFrame) -> DataFrame:
     shared = members.join(sizes, "bucket")
     weighted = shared.join(shared.groupBy("node").agg(F.sum("mates").alias("weight")), "node")
     pivots = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
-    return members.join(pivots, "bucket").filter("node <> pivot").select("node", "pivot").distinct().withColumn("star", F.lit(True))
+    return members.join(pivots, "bucket").filter("node <> pivot").select("node", "pivot").distinct()
 
 
 def _floor(value: Column, by: int) -> Column:
     return ((value - F.pmod(value, F.lit(by))) / by).cast("long")
 
 
-def _next_stars(compared: DataFrame, turn: int, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """New pairs (node, pivot, star) after round *turn* of *compared*; with star, the pivot is one.
+def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Per member of a group (g, label, diff, n, np, linked): the elements that it may meet others in.
 
     With s the threshold and c = (1 - s) / (1 + s), two sets A and B are linked when their
     symmetric difference is at most c * (|A| + |B|). With f = |difference from P| - c * size,
     that is: their differences from the pivot P share (f_A + f_B) / 2 elements at least. A
     member is linked with P itself when f <= c * |P|. Of a pair not known to be connected
-    one member is not linked with P; take B as the one with the smaller f. Then more than
-    (f_B + max(f_B, c * |P|)) / 2 elements are shared (as many, for two unlinked members),
-    and with elements in one order for all, one of the first |difference of B| - shared + 1
-    of B is in the difference of A.
+    one member is not linked with P; take B as the one with the smaller f. Then B knows that
+    (f_B + max(f_B, c * |P|)) / 2 elements are shared at least (more, if it is linked with
+    P), and A knows (f_A + least f of the group) / 2. In one order of elements for the whole
+    group, rare ones first, both have the first shared element among their first
+    |difference| - shared + 1 ones; ``own`` marks those that hold for the smaller f.
     """
-    every = compared.withColumn("new", F.col("turn") == turn)
-    last = every.filter("star and new").select("pivot").distinct()
-    rows = every.filter("star").join(last, "pivot", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = rows.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("pivot")
-    d = F.size("added") + F.size("removed")
+    d = F.size("diff")
     f = d * (den + num) - F.col("n") * (den - num)  # times den + num, so that bounds are whole numbers
-    linked = _floor(f + F.col("np") * (den - num), 2 * (den + num)) + 1
-    least = F.when(F.col("linked"), linked).otherwise(-_floor(-f, den + num))
-    length = d - F.greatest(least, F.lit(1)) + 1
-    elements = F.posexplode(F.concat("added", "removed")).alias("at", "e")
-    rows = rows.join(apart, "pivot", "left_semi").select("pivot", "node", "label", "new", "linked", d.alias("d"), f.alias("f"), length.alias("length"), elements)
-    rows = rows.withColumn("first", F.col("at") < F.col("length"))
-    own = F.col("first")
-    live = (
-        rows.groupBy("pivot", "e")
-        .agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("new").alias("any_new"), F.count_if(own).alias("indexed"),
-            F.min(F.when(own, F.struct("d", "node")))["node"].alias("q"),
-            F.min(F.when(own, F.col("label"))).alias("lo_own"), F.max(F.when(own, F.col("label"))).alias("hi_own"),
-        )
-        .filter("lo < hi and any_new and indexed > 0")
-        .select("pivot", "e", "q", (F.col("indexed") > FEW).alias("many"), F.when(F.col("lo_own") == F.col("hi_own"), F.col("lo_own")).alias("only"))
+    rows = rows.withColumn("d", d).withColumn("f", f)
+    rows = salted(rows, rows.groupBy("g").agg(F.min("f").alias("f_least")), ["g"], "node")
+    linked = _floor(F.col("f") + F.col("np") * (den - num), 2 * (den + num)) + 1
+    shared = F.when(F.col("linked"), linked).otherwise(-_floor(-F.col("f"), den + num))
+    rows = rows.withColumn("n_own", F.col("d") - F.greatest(shared, F.lit(1)) + 1)
+    rows = rows.withColumn("n_any", F.col("d") - F.greatest(-_floor(-(F.col("f") + F.col("f_least")), 2 * (den + num)), F.lit(1)) + 1)
+    elements = rows.select("g", "node", F.explode("diff").alias("e"))
+    counts = elements.groupBy("g", "e").agg(F.count(F.lit(1)).alias("k"))
+    ordered = elements.join(counts, ["g", "e"]).groupBy("g", "node").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("order"))
+    met = rows.select("g", "node", "label", "d", "n_own", "n_any").join(ordered, ["g", "node"])
+    met = met.withColumn("order", F.slice("order", 1, F.greatest("n_any", "n_own").cast("int")))
+    return met.select("g", "node", "label", "d", "n_own", F.posexplode("order").alias("at", "x")).select("g", "node", "label", "d", F.col("x.e").alias("e"), F.col("x.k").alias("k"), (F.col("at") < F.col("n_own")).alias("own")).filter("k > 1")
+
+
+def _next_stars(stars: DataFrame, compared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """The groups (g, pivot, node) that are left after the comparisons of *stars*."""
+    now = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = now.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("g")
+    met = written(_prefixes(written(salted(now, apart, ["g"], "node").join(compared, ["node", "pivot"])), num, den))
+    own = F.col("own")
+    lists = met.groupBy("g", "e").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.min(F.when(own, F.col("label"))).alias("lo_own"), F.max(F.when(own, F.col("label"))).alias("hi_own"),
+        F.min(F.when(own, F.struct("d", "node")))["node"].alias("q"),
+        F.bit_xor(F.xxhash64("node")).alias("members"), F.count(F.lit(1)).alias("size"),
     )
-    met = written(rows.join(live, ["pivot", "e"]))
-
-    wanted = F.col("only").isNull() | (F.col("label") != F.col("only")) | own
-    stars = met.filter(F.col("many") & (F.col("node") != F.col("q")) & wanted).select("node", F.col("q").alias("pivot"), F.lit(True).alias("star"))
-    a, b = met.filter("not many").alias("a"), met.filter("not many and first").alias("b")
-    shared = F.least(F.col("a.d") - F.col("a.at"), F.col("b.d") - F.col("b.at"))  # at most, from their first one on
-    able = shared * (2 * (den + num)) >= F.col("a.f") + F.col("b.f")
-    apart = (F.col("a.label") != F.col("b.label")) & ~(F.col("a.linked") & F.col("b.linked")) & (F.col("a.f") >= F.col("b.f")) & (F.col("a.new") | F.col("b.new"))
-    direct = a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e")) & apart & able)
-    direct = direct.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot"), F.lit(False).alias("star"))
-    pairs = stars.unionByName(direct).groupBy("node", "pivot").agg(F.max("star").alias("star"))
-    known = every.select("node", "pivot", F.col("star").alias("was"))
-    return pairs.join(known, (pairs.node == known.node) & (pairs.pivot == known.pivot) & (known.was | ~pairs.star), "left_anti")
+    lists = lists.filter("lo < hi and q is not null")
+    only = F.when(F.col("lo_own") == F.col("hi_own"), F.col("lo_own"))
+    lists = lists.select("g", "e", "q", F.xxhash64("q", "members", "size").alias("next"), only.alias("only"))
+    wanted = own | F.col("only").isNull() | (F.col("label") != F.col("only"))
+    return met.join(lists, ["g", "e"]).filter(wanted & (F.col("node") != F.col("q"))).select(F.col("next").alias("g"), F.col("q").alias("pivot"), "node").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -250,18 +253,27 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, num: int, den
     wanted = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(classes.join(wanted, "node").select("node", "set"), "node")
     sets = written(shingle_sets(texts.select("node", "set", "text"), words).dropDuplicates(["node"]))
-    spark, folder, turn = docs.sparkSession, shared_folder(docs.sparkSession), 0
-    label = spark.createDataFrame([], "node long, label long")
+    label = docs.sparkSession.createDataFrame([], "node long, label long")
+    stars = stars.select(F.col("pivot").alias("g"), "pivot", "node")
     while not stars.isEmpty():
-        _compared(stars, sets, num, den).write.parquet(f"{folder}/turn={turn}")
-        compared = spark.read.schema(COMPARED).parquet(folder)
-        new = compared.filter((F.col("turn") == turn) & F.col("linked")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        label = connected(new.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        stars = written(_next_stars(compared, turn, label, num, den))
-        turn += 1
+        compared = written(_compared(stars.select("node", "pivot").distinct(), sets, num, den))
+        label = _merged(label, compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        stars = written(_next_stars(stars, compared, label, num, den))
     return label
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after new links (a, b); nodes without a row are their own label.
+
+    Links are contracted to pairs of different labels before components are sought.
+    """
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    pairs = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    found = connected(pairs)
+    moved = label.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(moved.unionByName(found.join(label, "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import local_folder
 
@@ -29,3 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list[str], spread: str, ways: int = 16, how: str = "inner") -> DataFrame:
+    """Join on *keys*, a hot key of *big* dealt out over *ways* tasks by column *spread*.
+
+    *small* has few rows per key and is copied *ways* times.
+    """
+    left = big.withColumn("_way", F.pmod(F.xxhash64(spread), F.lit(ways)))
+    right = small.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return left.join(right, [*keys, "_way"], how).drop("_way")
