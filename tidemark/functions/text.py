@@ -59,8 +59,8 @@ def _pack(pieces: Column, fits) -> Column:
 
 def _spaced(text: Column) -> Column:
     """Single spaces: one after a stop before a letter and after a comma, none before a stop."""
-    wide = F.regexp_replace(text, r"(?<=[.!?])(?=\p{L})|(?<=,)(?=\S)|\s+", " ")
-    return F.trim(F.regexp_replace(wide, r" +(?=[ .!?])", ""))
+    apart = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"([.!?])(\p{L})", "$1 $2")
+    return F.trim(F.regexp_replace(F.regexp_replace(apart, r",(\S)", ", $1"), r" +(?=[ .!?])", ""))
 
 
 def _sentences(text: Column) -> Column:
@@ -69,6 +69,15 @@ def _sentences(text: Column) -> Column:
     return F.filter(pieces, lambda piece: piece.rlike("[^.!?]"))
 
 
+def _stretches(text: Column) -> Column:
+    """Pieces that end after a run of stops, without white space around them or before their stops.
+
+    Line breaks between pieces go with that white space; a piece of stops alone stays.
+    """
+    pieces = F.transform(F.split(text, r"(?<=[.!?])(?![.!?])"), lambda piece: F.regexp_replace(piece, r"^\s+|\s+$|\s+(?=[.!?]+$)", ""))
+    return F.filter(pieces, lambda piece: piece != "")
+
+
 def clean_subtitle(text: Column, width: int = 50) -> Column:
     """Spacing and capital put right, wrapped at sentence ends near *width*.
 
@@ -95,7 +104,7 @@ def split_subtitle(text: Column, limit: int = 80) -> Column:
         words = F.filter(F.split(chunk, r"\s+"), lambda w: w != "")
         return F.when(F.length(chunk) <= limit, F.array(chunk)).otherwise(bind(words, of_words))
 
-    chunks = _pack(_sentences(F.regexp_replace(text, r"\s+(?=[.!?])", "")), joined)
+    chunks = _pack(_stretches(text), joined)
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.flatten(F.transform(chunks, shortened)))
 
 

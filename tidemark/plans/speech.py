@@ -307,7 +307,79 @@ def token_counts(spark, sf):
     )
 
 
-@query("x8_subtitle_text", "X8")
+def _recursive(*views: str) -> str:
+    return fx.with_views(*views).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# Check SQL of the subtitle queries, over a view ``line`` (video_id, seg, start, "end", text): the
+# cleaned text and its chunks, packed piece by piece with recursive CTEs.
+_CHUNKS = r"""
+, tidy AS (
+  SELECT *, row_number() OVER (ORDER BY video_id, start, seg) AS u, lead(start) OVER (PARTITION BY video_id ORDER BY start, seg) AS nxt,
+    trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])(\p{L})', '\1 \2', 'g'), ',(\S)', ', \1', 'g'), '- ') AS t FROM line
+), piece AS (
+  SELECT u, video_id, seg, start, "end", nxt, list_filter(list_transform(regexp_extract_all(upper(left(t, 1)) || substr(t, 2), '[^.!?]+[.!?]?'),
+    lambda p: CASE WHEN trim(p, ' .!?') = '' THEN '' ELSE regexp_replace(trim(p), '\s+([.!?])$', '\1') END), lambda p: p <> '') AS ps FROM tidy
+), wrap AS (
+  SELECT u, 1 AS k, coalesce(ps[1], '') AS t, strlen('') + length(coalesce(ps[1], '')) AS cur FROM piece
+  UNION ALL
+  SELECT w.u, k + 1, w.t || CASE WHEN cur + length(ps[k + 1]) + 1 <= 50 THEN ' ' ELSE chr(10) END || ps[k + 1],
+    CASE WHEN cur + length(ps[k + 1]) + 1 <= 50 THEN cur + 1 ELSE 0 END + length(ps[k + 1])
+  FROM wrap w JOIN piece p ON p.u = w.u AND k < len(ps)
+), clean AS (
+  SELECT p.u, video_id, seg, start, "end", nxt, arg_max(t, k) AS text FROM piece p JOIN wrap w ON p.u = w.u GROUP BY ALL
+), part AS (
+  SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$'),
+    lambda p: regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '\s+([.!?]+)$', '\1')), lambda p: p <> '') AS ps FROM clean
+), pack AS (
+  SELECT u, 1 AS k, [ps[1]] AS done FROM part WHERE length(text) > 80
+  UNION ALL
+  SELECT a.u, k + 1, CASE WHEN length(done[-1]) + 1 + length(ps[k + 1]) <= 80 THEN done[:-2] || [done[-1] || ' ' || ps[k + 1]] ELSE done || [ps[k + 1]] END
+  FROM pack a JOIN part p ON p.u = a.u AND k < len(ps)
+), long AS (
+  SELECT u, unnest(d) AS c, generate_subscripts(d, 1) AS n FROM (SELECT u, arg_max(done, k) AS d FROM pack GROUP BY ALL)
+), word AS (
+  SELECT *, string_split_regex(c, '\s+') AS ws FROM long WHERE length(c) > 80
+), half AS (
+  SELECT *, array_to_string(ws[:len(ws) // 2], ' ') AS l, array_to_string(ws[len(ws) // 2 + 1:], ' ') AS r FROM word
+), slow AS (
+  SELECT u, n, 1 AS k, ws, [ws[1]] AS done FROM half WHERE length(r) < 0.3 * length(l) OR length(l) > 80
+  UNION ALL
+  SELECT u, n, k + 1, ws, CASE WHEN length(done[-1]) + 1 + length(ws[k + 1]) <= 80 THEN done[:-2] || [done[-1] || ' ' || ws[k + 1]] ELSE done || [ws[k + 1]] END FROM slow WHERE k < len(ws)
+), every AS (
+  SELECT u, n, [c] AS cs FROM long WHERE length(c) <= 80
+  UNION ALL SELECT u, n, [l, r] FROM half WHERE NOT (length(r) < 0.3 * length(l) OR length(l) > 80)
+  UNION ALL SELECT u, n, arg_max(done, k) FROM slow GROUP BY ALL
+), chunked AS (
+  SELECT c.video_id, c.seg, c.start, c."end", c.nxt, c.text, coalesce(e.cs, [c.text]) AS chunks
+  FROM clean c LEFT JOIN (SELECT u, flatten(list(cs ORDER BY n)) AS cs FROM every GROUP BY ALL) e ON e.u = c.u
+)"""
+
+# Cues of ``chunked``: what is worth saying, timed by reading speed.
+_CUES = _CHUNKS + r"""
+, said AS (
+  SELECT *, regexp_extract_all(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\S+') AS ws FROM chunked WHERE length(text) >= 2
+), kept AS (
+  SELECT *, list_transform(chunks, lambda c: greatest(0.8::DOUBLE, length(c) / 15.0::DOUBLE)) AS need FROM said
+  WHERE NOT (len(ws) >= 3 AND list_max(list_transform(ws, lambda w: len(list_filter(ws, lambda x: x = w)))) / len(ws) > 0.7)
+    AND NOT regexp_full_match(lower(text), '(oh+,?\s*)+|(ah+,?\s*)+|(ha+,?\s*)+|(um+,?\s*)+|(uh+,?\s*)+')
+), timed AS (
+  SELECT *, list_sum(need) AS total, "end" - start AS own FROM kept
+), scaled AS (
+  SELECT *, CASE WHEN nxt IS NULL THEN greatest(own, total) ELSE greatest(own, least(total, nxt - start - 0.1::DOUBLE)) END / total AS scale,
+    coalesce(sum(len(chunks)) OVER (PARTITION BY video_id ORDER BY start, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM timed
+), cue AS (
+  SELECT video_id, (before + i)::BIGINT AS cue, chunks[i] AS text, need[i] AS own_need, scale,
+    start + coalesce(list_sum(need[:i - 1]), 0) * scale AS start
+  FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM scaled)
+)"""
+
+
+@query(
+    "x8_subtitle_text",
+    "X8",
+    _recursive("segment") + ", line AS (SELECT * FROM segment)" + _CHUNKS + "SELECT video_id, seg, text, array_to_string(chunks, ' | ') AS chunks FROM chunked",
+)
 def subtitle_text(spark, sf):
     """Cleaned text, its line count and its chunks."""
     s = fx.segment(spark, sf)
@@ -419,7 +491,15 @@ def rebased_chunks(spark, sf):
     return sp.rebase_chunks(s).select("video_id", "seg", "start", F.length("text").alias("chars"))
 
 
-@query("s10_subtitle_cues", "S10")
+_SRT = "printf('%02d:%02d:%02d,%03d', floor({0} / 3600)::BIGINT, (floor({0} / 60)::BIGINT % 60), (floor({0})::BIGINT % 60), least(999, floor(({0} - floor({0})) * 1000)::BIGINT))"
+
+
+@query(
+    "s10_subtitle_cues",
+    "S10",
+    _recursive("segment") + ", line AS (SELECT * FROM segment)" + _CUES
+    + f"SELECT video_id, cue, {_SRT.format('start')} AS start, {_SRT.format('(start + own_need * scale)')} AS \"end\", text FROM cue",
+)
 def subtitle_cues(spark, sf):
     """Numbered, timed subtitle cues of every conversation."""
     c = sp.subtitle_cues(fx.segment(spark, sf), K)
@@ -442,14 +522,21 @@ def highlight_lines(spark, sf):
     return r.select("video_id", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query("s11_highlight_cues", "S11 S10")
+@query(
+    "s11_highlight_cues",
+    "S11 S10",
+    _recursive("talk_chapter")
+    + """, k AS (SELECT video_id, number AS idx, start + 5 AS cs, start + 17 AS ce, 12.0 * (row_number() OVER (PARTITION BY video_id ORDER BY number) - 1) AS off FROM talk_chapter WHERE number % 2 = 1),
+    line AS (SELECT s.video_id, s.seg, off + greatest(s.start, cs) - cs AS start, off + least(s."end", ce) - cs AS "end", s.text FROM segment s JOIN k ON k.video_id = s.video_id AND s.start < ce AND s."end" > cs AND least(s."end", ce) - greatest(s.start, cs) > 0.5)"""
+    + _CUES + """SELECT video_id, cue, round(start, 6) AS start, round(start + own_need * scale, 6) AS "end", text FROM cue""",
+)
 def highlight_cues(spark, sf):
     """Subtitle cues of the cut."""
     k = fx.talk_chapter(spark, sf).filter("number % 2 = 1").select(
         "video_id", F.col("number").alias("idx"), (F.col("start") + 5).alias("start"), (F.col("start") + 17).alias("end")
     )
     r = sp.retime_to_clips(fx.segment(spark, sf), k, K)
-    return sp.subtitle_cues(r, K)
+    return sp.subtitle_cues(r, K).withColumn("start", F.round("start", 6)).withColumn("end", F.round("end", 6))
 
 
 @query(
