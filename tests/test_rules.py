@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,21 +161,65 @@ def test_yaml_json_and_dictionaries_are_the_same():
     assert rt.class_names(SPECS) == ["a", "b", "c"] and rt.signal_names(SPECS) == ["kind", "lvl"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+STREAMED = rt.parse(
+    {
+        "events": [
+            {"name": "pair", "rules": [{"source": "a", "region": "c"}], "window_secs": 1.0, "persist_secs": 1.0},
+            {"name": "gated", "rules": [{"source": "b", "region": "c"}], "signals": [{"signal": "lvl", "min": 0.4, "within_secs": 1}], "persist_secs": 2.0, "min_duration_secs": 2.0},
+            {"name": "short", "rules": [{"source": "a", "region": "c"}], "persist_secs": 1.5, "max_duration_secs": 4.0, "ignore_end_secs": 3.0},
+            {"name": "held", "signals": [{"signal": "lvl", "min": 0.3, "sustained_secs": 2}, {"signal": "kind", "any_of": ["even"], "within_secs": 1}], "ignore_start_secs": 1.0},
+            {"name": "off", "enabled": False, "rules": [{"source": "a", "region": "c"}]},
+        ]
+    }
+)
+
+
+@pytest.mark.parametrize("seed,batches", [(3, 1), (4, 5), (5, 12)])
+def test_stream_equals_batch(spark, tmp_path, seed, batches):
+    """Any cutting into micro-batches: frames split over batches, rows late within the bound, unknown confidences."""
+    from tidemark.streaming import engine as se
+    from tidemark.streaming import rules as sr
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", se.ROCKSDB)
+    rnd = random.Random(seed)
+    boxes, signals, length, rows = [], [], {}, {}
+    for v in (1, 2, 3):
+        b, s, n = random_case(seed * 10 + v)
+        b = [(v, *x[:-1], None if rnd.random() < 0.2 else x[-1]) for x in b]
+        boxes, signals, length[v], rows[v] = boxes + b, signals + [(v, *x) for x in s], n, len(b) + len(s)
+    box = spark.createDataFrame(boxes, BOX).withColumnRenamed("v", "video_id")
+    sig = spark.createDataFrame(signals, SIG).withColumnRenamed("v", "video_id")
+    ends = spark.createDataFrame([(v, float(length[v]), rows[v]) for v in length], "video_id INT, duration DOUBLE, rows LONG")
+    every = sr.box_rows(box).unionByName(sr.signal_rows(sig)).unionByName(sr.end_rows(ends)).collect()
+    late = 4.0
+    key = lambda r: -1e9 if r.kind == "end" and rnd.random() < 0.5 else r.ts + rnd.uniform(0, late * 0.9)
+    every.sort(key=key)
+    schema = sr.box_rows(box).schema
+    for i in range(batches):
+        part = every[len(every) * i // batches : len(every) * (i + 1) // batches]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = se.run_available(sr.rule_stream(raw, STREAMED, late="4 seconds"), "t").collect()
+    videos = spark.createDataFrame(list(length.items()), "video_id INT, duration INT")
+    want = rl.apply_rules(box, sig, videos, ["video_id"], STREAMED).collect()
+    as_row = lambda r: (r.video_id, r.ts, r.event, *(None if c is None else round(c, 9) for c in (r.conf, r.x, r.y, r.w, r.h)))
+    assert sorted(map(as_row, got), key=str) == sorted(map(as_row, want), key=str)
+    assert len({r.event for r in got}) >= 3
+
+
+def test_silent_video_is_closed_by_a_timer(spark, tmp_path):
     from tidemark.streaming import engine as se
+    from tidemark.streaming import rules as sr
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", se.ROCKSDB)
-    boxes, _, length = random_case(3)
-    spatial = [e for e in SPECS if e.rules and not e.signals and not e.min_duration]
-    b = spark.createDataFrame([(1, *x) for x in boxes], BOX).withColumnRenamed("v", "video_id")
-    # three files in time order, one micro-batch each
-    cut = sorted({x[0] for x in boxes})
-    for i in range(3):
-        lo, hi = cut[len(cut) * i // 3], (cut + [math.inf])[len(cut) * (i + 1) // 3]
-        b.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    raw = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = se.run_available(se.rule_stream(raw, spatial), "t").collect()
-    v = spark.createDataFrame([(1, length)], "video_id INT, duration INT")
-    want = rl.apply_rules(b, spark.createDataFrame([], SIG).withColumnRenamed("v", "video_id"), v, ["video_id"], spatial).collect()
-    key = lambda r: (r.ts, r.event, r.conf, r.x, r.w)
-    assert sorted(map(key, got)) == sorted(map(key, want)) and got
+    specs = rt.parse([{"name": "long", "rules": [{"source": "a", "region": "c"}], "min_duration_secs": 2.0, "max_duration_secs": 9.0}])
+    pair = lambda v, t: [(v, float(t), 0, "a", 0.3, 0.3, 0.1, 0.1, 0.5), (v, float(t), 1, "c", 0.0, 0.0, 1.0, 1.0, None)]
+    files = [pair(1, 0) + pair(1, 1), pair(2, 100), pair(2, 200)]
+    for i, rows in enumerate(files):
+        df = sr.box_rows(spark.createDataFrame(rows, BOX).withColumnRenamed("v", "video_id"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = se.run_available(sr.rule_stream(raw, specs, late="1 second", idle_ms=10_000), "t").collect()
+    assert sorted((r.video_id, r.ts, r.conf) for r in got) == [(1, 0.0, 0.5), (1, 1.0, 0.5)]

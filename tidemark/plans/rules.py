@@ -38,7 +38,7 @@ RULES = rt.parse(
 )
 
 
-def _inputs(spark, sf):
+def inputs(spark, sf):
     b = fx.box(spark, sf).withColumn("ts", F.col("frame").cast("double"))
     level = b.groupBy("video_id", F.col("frame").alias("sec")).agg(F.max("conf").alias("value"))
     signals = level.select("video_id", F.lit("level").alias("signal"), "sec", "value", F.lit(None).cast("string").alias("text"))
@@ -50,7 +50,7 @@ def _inputs(spark, sf):
 
 
 def _marked(spark, sf):
-    b, s, v = _inputs(spark, sf)
+    b, s, v = inputs(spark, sf)
     return rl.apply_rules(b, s, v, K, RULES)
 
 
@@ -78,7 +78,7 @@ def event_seconds(spark, sf):
 )
 def signal_only_event(spark, sf):
     """A signal-only event: sustained level near a labelled second."""
-    b, s, v = _inputs(spark, sf)
+    b, s, v = inputs(spark, sf)
     m = rl.apply_rules(b, s, v, K, [e for e in RULES if e.event == "held_level"])
     return m.select("video_id", "ts")
 

@@ -58,14 +58,20 @@ def stream_first_arrivals(spark, sf):
     return engine.run_available(d.select("event_id", "video_id"), "arrivals")
 
 
-@query("r1_stream_rule_events", "R1")
+@query("r1_stream_rule_events", "R1 A42 W11 W16")
 def stream_rule_events(spark, sf):
-    """The spatial rules as a stream over the boxes of every video."""
-    from tidemark.plans.rules import RULES
+    """All rules as a stream over the boxes and signals of every video, each closed by an end row."""
+    from tidemark.plans.rules import RULES, inputs
+    from tidemark.streaming import rules as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", engine.ROCKSDB)
     raw = spark.readStream.schema("vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").parquet(f"{sf}/embedding*.parquet")
-    b = fx.box_columns(raw).withColumn("ts", F.col("frame").cast("double"))
-    spatial = [e for e in RULES if e.rules and not e.signals]
-    s = engine.rule_stream(b.select("video_id", "ts", "idx", "label", "x", "y", "w", "h", "conf"), spatial)
-    return engine.run_available(s, "rules")
+    boxes = stream.box_rows(fx.box_columns(raw).withColumn("ts", F.col("frame").cast("double")))
+    b, signals, videos = inputs(spark, sf)
+    counts = b.select("video_id").unionByName(signals.select("video_id")).groupBy("video_id").agg(F.count("*").alias("rows"))
+    side = stream.signal_rows(signals).unionByName(stream.end_rows(videos.join(counts, "video_id")))
+    folder = engine.shared_folder(spark, "signals")
+    side.write.parquet(folder)
+    rows = boxes.unionByName(spark.readStream.schema(side.schema).parquet(folder))
+    m = engine.run_available(stream.rule_stream(rows, RULES), "rules")
+    return m.select("video_id", "ts", "event", *[F.round(c, 6).alias(c) for c in ("conf", "x", "y", "w", "h")])

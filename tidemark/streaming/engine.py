@@ -1,19 +1,14 @@
-"""The rule engine, the tracker's step and feature windows over endless input."""
+"""Sessions, feature windows, first arrivals and index growth over endless input."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.rules import VOTE_SHARE, Lingering
 from tidemark.session import local_folder
-from tidemark.sources.rules_table import Event
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -77,79 +72,6 @@ def first_arrivals(rows: DataFrame, keys: Sequence[str], *, at: str, late: str)
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([*keys])
 
 
-class RuleProcessor(StatefulProcessor):
-    """Lingering boxes and vote windows of one video, kept between batches.
-
-    The state is one JSON text per video; an event-time timer drops it when the
-    video has been silent for *idle_ms*. Frames of a batch are taken in time order,
-    and a frame older than the last one taken is ignored.
-    """
-
-    def __init__(self, specs: Sequence[Event], idle_ms: int):
-        self.specs = [s for s in specs if s.enabled and s.rules]
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("rules", "body STRING")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        body = json.loads(self.state.get()[0]) if self.state.exists() else {"last": None, "held": {}, "votes": {}}
-        batch = pd.concat(list(rows)).sort_values(["ts", "idx"])
-        engines = {s.event: Lingering(s, body["held"].get(s.event)) for s in self.specs}
-        out = []
-        for ts, frame in batch.groupby("ts", sort=True):
-            if body["last"] is not None and ts <= body["last"]:
-                continue
-            body["last"] = float(ts)
-            seen: dict[str, list] = {}
-            for r in frame.itertuples(index=False):
-                if isinstance(r.label, str):
-                    seen.setdefault(r.label, []).append(([r.x, r.y, r.w, r.h], r.conf))
-            for s in self.specs:
-                fired, conf, box = engines[s.event].frame(float(ts), seen)
-                window = [v for v in body["votes"].get(s.event, []) if round((ts - v[0]) * 1000) <= round(s.window_secs * 1000)]
-                window.append([float(ts), fired, conf, box])
-                body["votes"][s.event] = window
-                if sum(v[1] for v in window) / len(window) >= VOTE_SHARE:
-                    newest = next((v for v in reversed(window) if v[1]), None)
-                    out.append((key[0], float(ts), s.event, newest[2], *(newest[3] or [None] * 4)))
-        body["held"] = {e: g.held.tolist() for e, g in engines.items()}
-        self.state.update((json.dumps(body),))
-        mark = timerValues.getCurrentWatermarkInMs()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(mark, int((body["last"] or 0) * 1000)) + self.idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "ts", "event", "conf", "x", "y", "w", "h"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame(columns=["video_id", "ts", "event", "conf", "x", "y", "w", "h"])
-
-    def close(self) -> None:
-        pass
-
-
-def rule_stream(boxes: DataFrame, specs: Sequence[Event], *, late: str = "5 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Voted spatial events of a stream of boxes (``video_id, ts, idx, label, x, y, w, h, conf``).
-
-    Needs the RocksDB state store (:data:`ROCKSDB`).
-    """
-    key = boxes.schema["video_id"].dataType.simpleString()
-    at = F.timestamp_millis(F.rint(F.col("ts") * 1000).cast("long"))
-    return (
-        boxes.withColumn("at", at)
-        .withWatermark("at", late)
-        .groupBy("video_id")
-        .transformWithStateInPandas(
-            statefulProcessor=RuleProcessor(specs, idle_ms),
-            outputStructType=f"video_id {key}, ts DOUBLE, event STRING, conf DOUBLE, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
-
 def grow_index(stream: DataFrame, path: str, keys: Sequence[str]):
     """A writer that adds only unseen keys of each micro-batch to a stored index.
 
