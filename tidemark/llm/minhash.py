@@ -251,7 +251,9 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, num: int, den
     """(node, label) of the classes (node, set, bands) that are linked with another."""
     stars = written(_first_stars(classes.select("node", F.explode("bands").alias("bucket"))))
     wanted = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
-    texts = docs.withColumnRenamed("doc_id", "node").join(classes.join(wanted, "node").select("node", "set"), "node")
+    # written first, so that its size is known and texts move only where it is not small
+    wanted = written(classes.join(wanted, "node").select("node", "set"))
+    texts = docs.withColumnRenamed("doc_id", "node").join(wanted, "node")
     sets = written(shingle_sets(texts.select("node", "set", "text"), words).dropDuplicates(["node"]))
     label = docs.sparkSession.createDataFrame([], "node long, label long")
     stars = stars.select(F.col("pivot").alias("g"), "pivot", "node")
