@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.operators.axis import DEFAULT_CHUNK, chunk_window, drop_halo, with_halo
+from tidemark.operators.axis import DEFAULT_CHUNK, chunk_window, drop_halo, prefix_sum, with_halo
 from tidemark.session import shuffle_width
 
 # The vocal gate and the robust scale factor.
@@ -332,6 +332,28 @@ def downsample_max(curve: DataFrame, keys: Sequence[str], *, value: str, points:
     )
 
 
+def stretch_maxima(series: DataFrame, keys: Sequence[str], lengths: DataFrame, *, value: str, tick: str = "sec") -> DataFrame:
+    """(*keys*, ``_k``, ``_start``, ``_max``): the maximum of every window of the lengths asked.
+
+    *lengths* are distinct (*keys*, ``_k``, ``_n``) with ``_n`` the number of ticks of the
+    dense series, which counts from 0. A range-maximum table holds, per tick, the maxima of
+    the windows of 1, 2, 4, ... ticks that begin there, each made from two of half its size;
+    any window is covered by two of them.
+    """
+    longest = lengths.agg(F.max("_k")).first()[0] or 1
+    levels = longest.bit_length()
+    df = with_halo(series.select(*keys, tick, F.col(value).alias("_m0")), tick, 0, (1 << levels) - 1)
+    for j in range(1, levels):
+        further = F.lead(f"_m{j - 1}", 1 << (j - 1)).over(chunk_window(keys, tick))
+        df = df.withColumn(f"_m{j}", F.greatest(f"_m{j - 1}", further))
+    table = drop_halo(df).select(*keys, tick, F.array(*[f"_m{j}" for j in range(levels)]).alias("_levels"))
+    j = F.length(F.bin("_k")) - 1
+    reach = F.col("_k") - F.call_function("shiftleft", F.lit(1), j)  # how far the second part begins after the first
+    placed = table.join(lengths, list(keys)).select(*keys, "_k", "_n", F.get("_levels", j).alias("_max"), F.explode(F.array_distinct(F.array(F.col(tick), F.col(tick) - reach))).alias("_start"))
+    inside = (F.col("_start") >= 0) & (F.col("_start") <= F.col("_n") - F.col("_k"))
+    return placed.filter(inside).groupBy(*keys, "_k", "_start").agg(F.max("_max").alias("_max"))
+
+
 def rank_among_stretches(
     series: DataFrame,
     keys: Sequence[str],
@@ -341,43 +363,71 @@ def rank_among_stretches(
     length: str,
     mine: str,
     tick: str = "sec",
-    lengths: Sequence[int],
 ) -> DataFrame:
     """Midrank of a clip's maximum among all windows of the clip's own length.
 
-    *asked* has one row per clip with its whole-second *length* and its own
-    maximum *mine*; *lengths* are the distinct lengths to prepare. The series is
-    dense (0 where absent), and windows whose maximum is 0 do not count.
-    Evidence is the number of windows divided back into whole stretches.
+    *asked* has one row per clip with its whole-second *length* and its own maximum *mine*.
+    The series is dense from 0 on (0 where absent), and windows whose maximum is 0 do not
+    count; a clip longer than the series has the whole series as its only window. Evidence is
+    the number of windows divided back into whole stretches; without any, both are 0. Ranks
+    come from running sums over the distinct maxima, in parts of their range.
     """
-    n = F.count("*").over(Window.partitionBy(*keys))
-    sized = series.withColumn("_n", n)
-    slides = {f"_m{k}": (F.max(value), 0, k - 1) for k in lengths}
-    framed = bounded_frames(sized, keys, slides, tick=tick)
-    stacked = framed.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("k"),
-                        # a window must fit; the whole series is one window when shorter
-                        F.when(
-                            (F.col(tick) + k <= F.col("_n")) | (F.col(tick) == 0), F.col(f"_m{k}")
-                        ).alias("m"),
-                    )
-                    for k in lengths
-                ]
-            )
-        ).alias("_w"),
-    ).select(*keys, F.col("_w.k").alias(length), F.col("_w.m").alias("_m"))
-    freq = stacked.filter(F.col("_m") > 0).groupBy(*keys, length, "_m").agg(F.count("*").alias("_c"))
-    hits = asked.join(freq, [*keys, length])
-    ident = [c for c in asked.columns]
-    below = F.sum(F.when(F.col("_m") < F.col(mine), F.col("_c")).otherwise(0))
-    upto = F.sum(F.when(F.col("_m") <= F.col(mine), F.col("_c")).otherwise(0))
-    total = F.sum("_c")
-    return hits.groupBy(*ident).agg(
-        F.round((below + upto) / 2.0 / total * 100.0, 1).alias("percentile"),
-        F.greatest(F.lit(1), F.rint(total / F.col(length)).cast("long")).alias("stretches"),
-    )
+    n = series.groupBy(*keys).agg(F.count("*").cast("int").alias("_n"))
+    a = asked.join(n, list(keys)).withColumn("_k", F.greatest(F.lit(1), F.least(F.col(length), F.col("_n"))).cast("int"))
+    maxima = stretch_maxima(series, keys, a.select(*keys, "_k", "_n").distinct(), value=value, tick=tick)
+    k = [*keys, "_k"]
+    counted = maxima.filter(F.col("_max") > 0).groupBy(*k, "_max").agg(F.count("*").alias("_c"))
+    marks = counted.unionByName(a.select(*k, F.col(mine).cast("double").alias("_max"), F.lit(0).cast("long").alias("_c")))
+    marks = marks.groupBy(*k, "_max").agg(F.sum("_c").alias("_c"))
+    total = marks.groupBy(*k).agg(F.sum("_c").alias("_total"), F.max("_max").alias("_top"))
+    part = F.when(F.col("_top") > 0, F.floor(F.greatest(F.col("_max"), F.lit(0.0)) / F.col("_top") * 1024)).otherwise(0).cast("int")
+    placed = marks.join(total, k).withColumn("_part", part)
+    summed = prefix_sum(placed, k, ["_part", "_max"], "_c", "_upto", "_part", 1)
+    got = a.join(summed.select(*k, F.col("_max").alias(mine), "_c", "_upto", "_total"), [*k, mine])
+    some = F.col("_total") > 0
+    percentile = F.when(some, F.round((2 * F.col("_upto") - F.col("_c")) / 2.0 / F.col("_total") * 100.0, 1)).otherwise(0.0)
+    stretches = F.when(some, F.greatest(F.lit(1), F.rint(F.col("_total") / F.greatest(F.lit(1), F.col(length))).cast("long"))).otherwise(0)
+    return got.select(*asked.columns, percentile.alias("percentile"), stretches.alias("stretches"))
+
+
+def relative_size(
+    largest: DataFrame,
+    clips: DataFrame,
+    videos: DataFrame,
+    keys: Sequence[str],
+    *,
+    total: str = "duration",
+    least_together: int = 6,
+    least_stretches: int = 6,
+) -> DataFrame:
+    """How large a class is in a clip next to another class of the same second.
+
+    *largest* has one row per (*keys*, sec, label) with the ``size`` of its largest instance.
+    The reference of a class is what stands beside it most often in the video, among the
+    classes that do so inside the clip and for *least_together* seconds at least (ties: the
+    first name). Reported is the second with the greatest ratio (ties: the first), ranked
+    among all stretches of the clip's length; ``linear`` is the ratio of lengths.
+    """
+    from tidemark.operators.joins import points_in_spans
+
+    other = largest.select(*keys, "sec", F.col("label").alias("reference"), F.col("size").alias("_other"))
+    pairs = largest.join(other, [*keys, "sec"]).filter("label <> reference")
+    pair = [*keys, "label", "reference"]
+    together = pairs.groupBy(*pair).agg(F.count("*").alias("together")).filter(F.col("together") >= least_together)
+    known = pairs.join(together, pair).withColumn("ratio", F.when(F.col("_other") > 0, F.col("size") / F.col("_other")))
+    spans = clips.select(*keys, "idx", "start", "end", (F.col("end") - F.col("start")).cast("int").alias("length"))
+    seen = points_in_spans(known, spans, keys, t="sec").groupBy(*pair, "idx", "length", "together").agg(
+        F.max("ratio").alias("ratio"), F.max_by("sec", F.struct("ratio", -F.col("sec"))).alias("at")
+    )
+    best = seen.groupBy(*keys, "label", "idx").agg(F.min_by("reference", F.struct(-F.col("together"), "reference")).alias("reference"))
+    chosen = seen.join(best, [*keys, "label", "idx", "reference"]).filter("ratio is not null")
+    asked = chosen.select(*pair).distinct()
+    axis = asked.join(videos.select(*keys, total), list(keys)).select(*pair, F.explode(F.sequence(F.lit(0), F.col(total).cast("int") - 1)).alias("sec"))
+    ratios = known.join(asked, pair, "left_semi").select(*pair, "sec", "ratio")
+    series = axis.join(ratios, [*pair, "sec"], "left").select(*pair, "sec", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    typical = ratios.filter("ratio > 0").groupBy(*pair).agg(F.median("ratio").alias("median"))
+    ranked = rank_among_stretches(series, pair, chosen, value="ratio", length="length", mine="ratio")
+    return ranked.join(typical, pair, "left").select(
+        *pair, "idx", "at", "ratio", F.sqrt("ratio").alias("linear"), "percentile", "median", "together", "stretches",
+        (F.col("stretches") >= least_stretches).alias("enough"),
+    )

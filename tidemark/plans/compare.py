@@ -216,12 +216,12 @@ def clips_carrying(spark, sf):
     "J20",
     fx.with_views("span")
     + """, s AS (SELECT DISTINCT video_id, order_id, line_id, start, "end" FROM span WHERE "end" > start)
-    SELECT a.* FROM s a WHERE a.line_id < 4 AND EXISTS (SELECT 1 FROM s b WHERE b.line_id >= 6 AND b.video_id = a.video_id AND a.start < b."end" AND a."end" > b.start)""",
+    SELECT a.* FROM s a WHERE a.line_id < 5 AND EXISTS (SELECT 1 FROM s b WHERE b.line_id >= 5 AND b.video_id = a.video_id AND a.start < b."end" AND a."end" > b.start)""",
 )
 def rejected_overlap(spark, sf):
     """Spans that share time with any rejected range."""
     s = fx.span(spark, sf).filter("end > start").select("video_id", "order_id", "line_id", "start", "end").distinct()
-    return compare.overlapping_any(s.filter("line_id < 4"), s.filter("line_id >= 6"), K)
+    return compare.overlapping_any(s.filter("line_id < 5"), s.filter("line_id >= 5"), K)
 
 
 @query(

@@ -209,36 +209,55 @@ def condition_mask(spark, sf):
     return m.select("video_id", "sec")
 
 
-_LEN = (3, 5, 8)
-
-
 @query(
     "w12_rank_among_stretches",
     "W12",
     fx.with_views("curve", "clip")
-    + """, q AS (SELECT video_id, idx, CAST("end" - start AS INTEGER) AS length, start FROM clip WHERE CAST("end" - start AS INTEGER) IN (3, 5, 8)),
-    mine AS (SELECT q.video_id, q.idx, q.length, max(value) AS mine FROM q JOIN curve c ON c.video_id = q.video_id AND c.sec >= q.start AND c.sec < q.start + q.length GROUP BY ALL),
-    s AS (SELECT a.video_id, l.k, a.sec, max(b.value) AS m FROM curve a CROSS JOIN (SELECT unnest([3, 5, 8]) AS k) l
-      JOIN video v ON v.video_id = a.video_id AND a.sec + l.k <= v.duration JOIN curve b ON b.video_id = a.video_id AND b.sec BETWEEN a.sec AND a.sec + l.k - 1
-      WHERE a.video_id IN (SELECT video_id FROM mine) GROUP BY ALL)
-    SELECT m.video_id, m.idx, m.length, round((count(*) FILTER (s.m < mine) + count(*) FILTER (s.m <= mine)) / 2.0 / count(*) * 100.0, 1) AS percentile,
-      CAST(greatest(1, round_even(count(*) / any_value(m.length), 0)) AS BIGINT) AS stretches
-    FROM mine m JOIN s ON s.video_id = m.video_id AND s.k = m.length WHERE s.m > 0 GROUP BY m.video_id, m.idx, m.length""",
+    + """, q AS (SELECT c.video_id, idx, CAST("end" - start AS INTEGER) AS length, start, least(CAST("end" - start AS INTEGER), duration) AS k FROM clip c JOIN video v ON v.video_id = c.video_id),
+    mine AS (SELECT q.video_id, q.idx, q.length, q.k, max(value) AS mine FROM q JOIN curve c ON c.video_id = q.video_id AND c.sec >= q.start AND c.sec < q.start + q.length GROUP BY ALL),
+    s AS (SELECT a.video_id, l.k, a.sec, max(b.value) AS m FROM curve a JOIN (SELECT DISTINCT video_id, k FROM mine) l ON l.video_id = a.video_id
+      JOIN video v ON v.video_id = a.video_id AND a.sec + l.k <= v.duration JOIN curve b ON b.video_id = a.video_id AND b.sec BETWEEN a.sec AND a.sec + l.k - 1 GROUP BY ALL)
+    SELECT m.video_id, m.idx, m.length,
+      CASE WHEN count(*) FILTER (s.m > 0) = 0 THEN 0.0 ELSE round((count(*) FILTER (s.m > 0 AND s.m < mine) + count(*) FILTER (s.m > 0 AND s.m <= mine)) / 2.0 / count(*) FILTER (s.m > 0) * 100.0, 1) END AS percentile,
+      CASE WHEN count(*) FILTER (s.m > 0) = 0 THEN 0 ELSE CAST(greatest(1, round_even(count(*) FILTER (s.m > 0) / any_value(m.length), 0)) AS BIGINT) END AS stretches
+    FROM mine m JOIN s ON s.video_id = m.video_id AND s.k = m.k GROUP BY m.video_id, m.idx, m.length""",
 )
 def rank_among_stretches(spark, sf):
-    """A clip's maximum against all windows of its own length."""
+    """Every clip's maximum against all windows of its own length."""
     from tidemark.operators.joins import points_in_spans
 
     c = fx.curve(spark, sf)
     clips = fx.clip(spark, sf).withColumn("length", (F.col("end") - F.col("start")).cast("int"))
-    clips = clips.filter(F.col("length").isin(*_LEN))
-    asked = (
-        points_in_spans(c, clips, K, t="sec")
-        .groupBy("video_id", "idx", "length")
-        .agg(F.max("value").alias("mine"))
-    )
-    out = curves.rank_among_stretches(c, K, asked, value="value", length="length", mine="mine", lengths=_LEN)
-    return out.drop("mine")
+    asked = points_in_spans(c, clips, K, t="sec").groupBy("video_id", "idx", "length").agg(F.max("value").alias("mine"))
+    return curves.rank_among_stretches(c, K, asked, value="value", length="length", mine="mine").drop("mine")
+
+
+@query(
+    "w12_relative_size",
+    "W12 A7 X5",
+    fx.with_views("box")
+    + """, g AS (SELECT video_id, frame AS sec, label, max(w * h) AS size FROM box GROUP BY ALL), v AS (SELECT video_id, max(frame) + 1 AS duration FROM box GROUP BY ALL),
+    k AS (SELECT a.video_id, a.sec, a.label, b.label AS reference, CASE WHEN b.size > 0 THEN a.size / b.size END AS ratio, count(*) OVER (PARTITION BY a.video_id, a.label, b.label) AS together
+      FROM g a JOIN g b ON b.video_id = a.video_id AND b.sec = a.sec AND b.label <> a.label QUALIFY together >= 2),
+    w AS (SELECT *, sec // 5 AS idx FROM k),
+    b AS (SELECT video_id, label, idx, arg_min(reference, {'t': -together, 'r': reference}) AS reference FROM w GROUP BY ALL),
+    c AS (SELECT w.video_id, w.label, w.reference, w.idx, any_value(together) AS together, max(ratio) AS ratio, arg_max(sec, {'r': ratio, 's': -sec}) AS at FROM w JOIN b ON b.video_id = w.video_id AND b.label = w.label AND b.idx = w.idx AND b.reference = w.reference GROUP BY ALL),
+    s AS (SELECT c.video_id, c.label, c.reference, c.idx, c.ratio, a.o, max(k.ratio) AS m FROM c JOIN v ON v.video_id = c.video_id, LATERAL (SELECT unnest(range(0, greatest(1, v.duration - 4))) AS o) a
+      JOIN k ON k.video_id = c.video_id AND k.label = c.label AND k.reference = c.reference AND k.sec BETWEEN a.o AND a.o + 4 GROUP BY ALL),
+    r AS (SELECT video_id, label, reference, idx, (count(*) FILTER (m < ratio) + count(*) FILTER (m <= ratio)) / 2.0 / count(*) * 100.0 AS percentile, greatest(1, round_even(count(*) / 5.0, 0))::BIGINT AS stretches FROM s WHERE m > 0 GROUP BY ALL),
+    t AS (SELECT video_id, label, reference, median(ratio) FILTER (ratio > 0) AS median FROM k GROUP BY ALL)
+    SELECT c.video_id, c.label, c.reference, c.idx, c.at, round(c.ratio, 6) AS ratio, round(sqrt(c.ratio), 6) AS linear, round(coalesce(percentile, 0.0), 1) AS percentile, round(median, 6) AS median, c.together, coalesce(stretches, 0) AS stretches, coalesce(stretches, 0) >= 6 AS enough
+    FROM c LEFT JOIN r ON r.video_id = c.video_id AND r.label = c.label AND r.reference = c.reference AND r.idx = c.idx LEFT JOIN t ON t.video_id = c.video_id AND t.label = c.label AND t.reference = c.reference WHERE c.ratio IS NOT NULL""",
+)
+def relative_size(spark, sf):
+    """Each class next to its usual companion, in stretches of five frames."""
+    b = fx.box(spark, sf)
+    largest = b.groupBy("video_id", F.col("frame").alias("sec"), "label").agg(F.max(F.col("w") * F.col("h")).alias("size"))
+    videos = b.groupBy("video_id").agg((F.max("frame") + 1).alias("duration"))
+    idx = F.floor(F.col("sec") / 5).cast("int")
+    clips = largest.select("video_id", idx.alias("idx")).distinct().select("video_id", "idx", (F.col("idx") * 5.0).alias("start"), (F.col("idx") * 5.0 + 5.0).alias("end"))
+    r = curves.relative_size(largest, clips, videos, K, least_together=2)
+    return r.select("video_id", "label", "reference", "idx", "at", F.round("ratio", 6).alias("ratio"), F.round("linear", 6).alias("linear"), "percentile", F.round("median", 6).alias("median"), "together", "stretches", "enough")
 
 
 @query(

@@ -26,13 +26,16 @@ _MICROS = "epoch_us(ts)"
     "R5 W8",
     f"""WITH e AS (SELECT user_id AS video_id, {_MICROS} AS t FROM events), f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id ORDER BY t) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM e),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM f), c AS (SELECT video_id, s, count(*) AS points, min(t) AS a, max(t) AS b FROM g GROUP BY ALL)
-    SELECT video_id, points, a AS start_us, b AS end_us FROM c WHERE (b + 21600000000) // 1000 <= (SELECT max(t) // 1000 FROM e) - 3600000""",
+    SELECT video_id, points, a AS start_us, b AS end_us FROM c""",
 )
 def stream_sessions(spark, sf):
-    """Six-hour sessions closed by the watermark."""
-    s = engine.sessions(_events(spark, sf), ["video_id"], at="at", gap="6 hours", late="1 hour")
-    s = s.select("video_id", "points", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
-    return engine.run_available(s, "sessions")
+    """Six-hour sessions of all events, closed by the watermark or by the end of the input."""
+
+    def query(rows):
+        s = engine.sessions(rows, ["video_id"], at="at", gap="6 hours", late="1 hour")
+        return s.select("video_id", "points", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+
+    return engine.run_to_end(_events(spark, sf), "at", query, "sessions")
 
 
 @query(
@@ -40,13 +43,16 @@ def stream_sessions(spark, sf):
     "R4",
     f"""WITH e AS (SELECT user_id AS video_id, {_MICROS} AS t, value FROM events)
     SELECT video_id, t // 21600000000 * 21600000000 AS start_us, count(*) AS samples, min(value) AS lo, max(value) AS hi, round(sqrt(avg(value * value)), 6) AS rms FROM e
-    GROUP BY video_id, t // 21600000000 HAVING (any_value(t) // 21600000000 + 1) * 21600000 <= (SELECT max(t) // 1000 FROM e) - 3600000""",
+    GROUP BY video_id, t // 21600000000""",
 )
 def stream_features(spark, sf):
-    """Level features per six-hour window closed by the watermark."""
-    f = engine.second_features(_events(spark, sf), ["video_id"], at="at", value="value", width="6 hours", late="1 hour")
-    f = f.select("video_id", F.unix_micros("start").alias("start_us"), "samples", "lo", "hi", F.round("rms", 6).alias("rms"))
-    return engine.run_available(f, "features")
+    """Level features of every six-hour window, closed by the watermark or by the end of the input."""
+
+    def query(rows):
+        f = engine.second_features(rows, ["video_id"], at="at", value="value", width="6 hours", late="1 hour")
+        return f.select("video_id", F.unix_micros("start").alias("start_us"), "samples", "lo", "hi", F.round("rms", 6).alias("rms"))
+
+    return engine.run_to_end(_events(spark, sf), "at", query, "features")
 
 
 @query("r6_stream_first_arrivals", "R6", "SELECT event_id, user_id AS video_id FROM events")

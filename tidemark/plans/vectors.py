@@ -290,18 +290,20 @@ def merged_boxes(spark, sf):
     "x5_pair_overlap",
     "X5",
     BOX
-    + """, p AS (SELECT a.video_id, a.frame, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h AS s, b.w * b.h AS t
-      FROM box a JOIN box b ON a.video_id = b.video_id AND a.frame = b.frame AND a.idx = 0 AND b.idx = 1) SELECT video_id, frame, round(i / (s + t - i), 6) AS iou, round(s, 9) AS area FROM p""",
+    + """, p AS (SELECT a.video_id, a.frame, a.idx AS a, b.idx AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h AS s, b.w * b.h AS t,
+        a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h AS inside
+      FROM box a JOIN box b ON a.video_id = b.video_id AND a.frame = b.frame AND a.idx < b.idx) SELECT video_id, frame, a, b, round(CASE WHEN s + t - i > 0 THEN i / (s + t - i) ELSE 0.0 END, 6) AS iou, round(s, 9) AS area, inside FROM p""",
 )
 def pair_overlap(spark, sf):
-    """IoU of the first two boxes of a frame, and the first one's area."""
-    row = F.struct("x", "y", "w", "h")
-    f = fx.box(spark, sf).groupBy("video_id", "frame").agg(
-        F.max(F.when(F.col("idx") == 0, row)).alias("a"), F.max(F.when(F.col("idx") == 1, row)).alias("b")
-    )
-    return f.select(
-        "video_id", "frame", F.round(vx.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(vx.area(F.col("a")), 9).alias("area")
-    )
+    """Every two boxes of a frame: IoU, the first one's area and whether its centre is in the second."""
+    row = F.struct("idx", "x", "y", "w", "h")
+    f = fx.box(spark, sf).groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    after = F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    p = f.select("video_id", "frame", F.inline(F.flatten(after)))
+    return p.select(
+        "video_id", "frame", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.round(vx.iou(F.col("a"), F.col("b")), 6).alias("iou"),
+        F.round(vx.area(F.col("a")), 9).alias("area"), vx.centre_inside(F.col("a"), F.col("b")).alias("inside"),
+    )
 
 
 @query("r2_tracks", "R2")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +19,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything there is now, into a table in the shared folder."""
-    spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    """One run over everything there is now; state and output stay in *folder*."""
     q = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
@@ -34,7 +32,36 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything there is now, into a table in the shared folder."""
+    return _run(stream, shared_folder(stream.sparkSession, name))
+
+
+#: Event time of the row that ends an input: later than all others.
+END = "9999-01-01 00:00:00"
+
+
+def run_to_end(rows: DataFrame, at: str, query: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``query(rows)`` over everything there is now, what is still open included.
+
+    A second source takes one closing row, written when the first run is done: nothing but
+    its event time *at* is set, which moves the watermark past all windows and sessions, so
+    that a second run of the same query delivers those that the first left in its state. The
+    closing row's own window stays open and is never delivered.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark, name)
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/end")
+    ending = spark.readStream.schema(rows.schema).parquet(f"{folder}/end")
+    stream = query(rows.unionByName(ending))
+    _run(stream, folder)
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema}
+    last = spark.range(1).select(*(c.alias(n) for n, c in (nothing | {at: F.lit(END).cast(rows.schema[at].dataType)}).items()))
+    last.write.mode("append").parquet(f"{folder}/end")
+    return _run(stream, folder)
 
 
 def sessions(points: DataFrame, keys: Sequence[str], *, at: str, gap: str, late: str) -> DataFrame:
