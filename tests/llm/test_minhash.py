@@ -124,3 +124,13 @@ def test_family_of_edited_copies(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85).collect()}
     assert got == brute(rows, 3, 85)
     assert len(turns) <= 5 and sum(turns) < 30 * len(rows)  # stars only: no pairs of pairs
+
+
+def test_one_of_each(spark):
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (None, a, "x"), (None, "z y x", "x"), (None, "z y x", "x"), (None, None, "x"), (7, "", "x"), (7, " ", "x"), (9, a.upper(), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = sorted(map(tuple, minhash.one_of_each(df).collect()), key=str)
+    want = [(2, a, "x"), (5, b, "x"), (None, "z y x", "x"), (None, None, "x"), (7, "", "x"), (7, " ", "x")]
+    assert got == sorted(want, key=str)
+    assert minhash.one_of_each(df.limit(0)).collect() == []

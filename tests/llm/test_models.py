@@ -252,3 +252,12 @@ def test_pipeline_contaminated_rows_by_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == [(5, "clean"), (None, "clean"), (None, None)]
+
+
+def test_a_repeated_labelled_document_counts_once(spark):
+    texts = [(i, f"word{i} and more{i}") for i in range(40)] + [(3, "word3 and more3")] * 500
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows, y = features.labelled_sample(docs, labels, "toxic", lambda: features.WordGrams(16), 1000)
+    wanted = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    assert len(rows) == len(y) == wanted == len({r.tobytes() for r in rows})

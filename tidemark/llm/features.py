@@ -107,7 +107,8 @@ def labelled_sample(
     """Features and labels of at most *max_rows* labelled rows outside the held-out fold.
 
     Rows are taken in the order of a hash of their id, so the sample is the same on each
-    run. A document labelled twice has its higher label. Features are computed where the
+    run; rows that repeat an id and its text count once. A document labelled twice has its
+    higher label. Features are computed where the
     texts are; only they come to the driver, *max_rows* arrays at most.
     """
     key = F.col("doc_id")
@@ -125,11 +126,19 @@ def labelled_sample(
             arrays = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["o", "y", "f"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("o"), "y", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select(F.xxhash64("doc_id").alias("o"), "y", "text")
     got = rows.mapInArrow(batches, "o long, y int, f array<int>").orderBy("o", "y", "f").limit(max_rows).toArrow()
     features = [np.asarray(f.values) for f in got.column("f")]  # views of one table: nothing is copied
     return features, np.asarray(got.column("y"), float)
 
 
+def fitted(fit: Callable, rows: list[np.ndarray], *rest: object) -> object:
+    """``fit(rows, *rest)``; the sample is let go at once, so that the driver's memory is free for what follows."""
+    model = fit(rows, *rest)
+    rows.clear()
+    pa.default_memory_pool().release_unused()
+    return model
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))

@@ -108,7 +108,8 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, set (a 128-bit digest of the shingle set; null if empty), bands."""
+    """(doc_id, text, *more*) to doc_id, n_shingles, set (a 128-bit digest of the shingle set; null if empty), bands, *more*."""
+    more = docs.columns[2:]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minmax = Shingles(words), MinMax(bands)
@@ -119,10 +120,11 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(minmax(s) if len(s) else None)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set", "bands"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set", "bands", *more])
 
-    return docs.mapInArrow(batches, "doc_id long, n_shingles long, set binary, bands array<long>")
+    kinds = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in more)
+    return docs.mapInArrow(batches, f"doc_id long, n_shingles long, set binary, bands array<long>{kinds}")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -288,16 +290,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     cannot clash; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    component = F.coalesce("component", "doc_id")
+    return _components(rows, words, percent, miss).select("doc_id", "n_shingles", component.alias("component_id"), kept(F.col("doc_id"), component).alias("kept"))
+
+
+def _components(rows: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, text, *more*) to doc_id, n_shingles, set, component (null without an id in the group), *more*."""
     signed = written(signatures(rows, words, bands_for(percent / 100, miss)))
     full = signed.filter("set is not null and doc_id is not null")
     classes = written(full.groupBy("set").agg(F.min("doc_id").alias("node")))
     single = classes.groupBy("node").agg(F.min("set").alias("set"))
     banded = full.select(F.col("doc_id").alias("node"), "set", "bands").join(single, ["node", "set"]).dropDuplicates(["node"])
-    label = linked_labels(written(banded), rows, words, percent, 100)
+    label = linked_labels(written(banded), rows.select("doc_id", "text"), words, percent, 100)
     named = classes.join(label, "node", "left").select("set", F.coalesce("label", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set").join(named, "set", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept(F.col("doc_id"), component).alias("kept"))
+    return signed.drop("bands").join(named, "set", "left")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of *docs*, all columns, without all but one row of each near-duplicate group.
+
+    Rows are told apart by id and text (its MD5), so that of rows with one id only those go
+    whose own text is in a group that another row stands for. The row that stays has the
+    smallest id (rows without one last), then the smallest MD5; repeated rows of it are one.
+    Rows without words are in no group and all stay. Groups without any id are those of equal
+    shingle sets.
+    """
+    key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    found = _components(rows, words, percent, miss).filter("set is not null")
+    group = F.coalesce(F.concat(F.lit("id "), F.col("component")), F.concat(F.lit("set "), F.hex("set")))
+    found = found.select(group.alias("group"), "doc_id", "key").distinct()
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = written(salted(found, first, ["group"], "key").filter(~stays).select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")))
+    keyed = docs.withColumn("_key", key)
+    left = keyed.join(gone, (keyed["_key"] == gone["_gone"]) & keyed[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    said = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.filter(said).dropDuplicates([id_col, "_key"]).unionByName(left.filter(~said)).drop("_key")
 
 
 def kept(doc_id: Column, component: Column) -> Column:
