@@ -21,26 +21,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3; null and empty texts have the bias's score."""
+    """Documents whose toxicity score is below 0.3; null and empty texts have the bias's score.
+
+    Rows are judged one by one: null ids and repeated rows stay or go with their own text, an
+    empty table gives none, and columns beside those of ``documents`` are left behind.
+    """
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = docs.select(*COLUMNS).withColumn("_score", toxicity.score(spark, model, F.coalesce("text", F.lit(""))))
     return scored.filter(F.col("_score") < 0.3).select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more."""
+    """Documents whose quality score is 0.7 or more; null texts are scored as empty ones.
+
+    Rows are judged one by one: null ids and repeated rows stay or go with their own text, an
+    empty table gives none, and columns beside those of ``documents`` are left behind.
+    """
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     scored = docs.select(*COLUMNS).withColumn("_score", quality.score(spark, model, F.coalesce("text", F.lit(""))))
     return scored.filter(F.col("_score") >= 0.7).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, 80 of 100. Repeated rows of it are one row."""
-    groups = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    with_id = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return with_id.unionByName(left.filter("doc_id is null")).select(*COLUMNS)
+    """One document of each group: five-word shingles, 80 of 100.
+
+    Rows are told apart by id and text, also those without an id; repeated rows are one row.
+    Documents without words are in no group and stay.
+    """
+    return minhash.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +60,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as sequences of at most 2048 ids, one row per piece."""
+    """What is left as sequences of at most 2048 ids, one row per piece.
+
+    Null ids and repeated rows are packed each, null texts as the end id alone; an empty table
+    gives none.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(docs, path, public_tokenizers.PATTERN, capacity=2048, end_id=1, with_ids=False)
 
