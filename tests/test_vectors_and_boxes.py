@@ -1,12 +1,14 @@
 """Chapters, identities, trackers and box merges against plain loops."""
 
 import random
+import time
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boxes as bx
+from tidemark.operators import tracking
 from tidemark.operators import chapters as ch
 from tidemark.operators import vectors as vec
 
@@ -97,18 +99,10 @@ def iou(a, b):
     return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_tracks_equal_one_long_pass(spark, seed):
-    rnd = random.Random(seed)
-    data, f = [], 0
-    for _ in range(60):
-        f += rnd.choice([1, 1, 1, 2, 5, 9])
-        for i in range(rnd.randint(1, 3)):
-            data.append((1, f, i, rnd.choice([0.1, 0.4, 0.7]) + rnd.uniform(-0.05, 0.05), 0.3, 0.25, 0.25))
-    df = spark.createDataFrame(data, "v INT, frame INT, idx INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
-    got = {(r.frame, r.idx): r.track for r in bx.track_boxes(df, ["v"], max_lost=3).collect()}
+def one_long_pass(data, max_lost):
+    """Track of each (frame, idx), frame by frame."""
     live, made, want = {}, 0, {}
-    for frame in range(f + 1):
+    for frame in range(max(r[1] for r in data) + 1):
         hit = set()
         for _, _, i, *b in sorted(r for r in data if r[1] == frame):
             best = max(((iou(b, o), -k) for k, (o, _) in live.items() if k not in hit), default=(0, 0))
@@ -117,8 +111,50 @@ def test_tracks_equal_one_long_pass(spark, seed):
             live[k] = (b, 0)
             hit.add(k)
             want[frame, i] = k
-        live = {k: (o, n if k in hit else n + 1) for k, (o, n) in live.items() if k in hit or n < 3}
-    assert got == want
+        live = {k: (o, n if k in hit else n + 1) for k, (o, n) in live.items() if k in hit or n < max_lost}
+    return want
+
+
+TRACKED = "v INT, frame INT, idx INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE"
+
+
+@pytest.mark.parametrize("seed,steps,ties", [(1, [1, 1, 1, 2, 5, 9], False), (2, [1], False), (3, [1, 1, 2, 3], True)])
+def test_tracks_equal_one_long_pass(spark, seed, steps, ties):
+    """Stretches over eight chunks and more; also where equal overlaps make the order of tracks count."""
+    rnd = random.Random(seed)
+    data, f = [], 0
+    for _ in range(90):
+        f += rnd.choice(steps)
+        for i in range(rnd.randint(1, 4)):
+            x = rnd.choice([0.1, 0.15, 0.2]) if ties else rnd.choice([0.1, 0.4, 0.7]) + rnd.uniform(-0.05, 0.05)
+            data.append((1, f, i, x, 0.3, 0.25, 0.25))
+    df = spark.createDataFrame(data, TRACKED)
+    want = one_long_pass(data, 3)
+    for warm_up in (None, 0):
+        got = {(r.frame, r.idx): r.track for r in tracking.track_boxes(df, ["v"], max_lost=3, chunk=10, warm_up=warm_up).collect()}
+        assert got == want
+
+
+def test_tracks_of_a_stream(spark, tmp_path):
+    from tidemark.streaming import engine as se
+    from tidemark.streaming import rules as sr
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", se.ROCKSDB)
+    rnd = random.Random(8)
+    data = [(v, f, i, rnd.choice([0.1, 0.4, 0.7]) + rnd.uniform(-0.05, 0.05), 0.3, 0.25, 0.25) for v in (1, 2) for f in range(0, 40, v) for i in range(rnd.randint(1, 3))]
+    rows = [(v, float(f), i, "a", *b, 0.5) for v, f, i, *b in data]
+    box = spark.createDataFrame(rows, "video_id INT, ts DOUBLE, idx INT, label STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, conf DOUBLE")
+    ends = spark.createDataFrame([(v, 40.0, sum(r[0] == v for r in data)) for v in (1, 2)], "video_id INT, duration DOUBLE, rows LONG")
+    every = sr.box_rows(box).unionByName(sr.end_rows(ends)).collect()
+    every.sort(key=lambda r: r.ts + rnd.uniform(0, 3.5))
+    for i in range(6):
+        df = spark.createDataFrame(every[len(every) * i // 6 : len(every) * (i + 1) // 6], sr.box_rows(box).schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = se.run_available(sr.track_stream(raw, max_lost=3, late="4 seconds"), "t").collect()
+    for v in (1, 2):
+        assert {(r.frame, r.idx): r.track for r in got if r.video_id == v} == one_long_pass([r for r in data if r[0] == v], 3)
 
 
 def test_merged_boxes_equal_the_loop(spark):

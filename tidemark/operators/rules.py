@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.axis import drop_halo, run_ids, with_halo
-from tidemark.operators.boxes import overlap
 from tidemark.operators.curves import widened_runs
+from tidemark.operators.tracking import overlap
 from tidemark.sources.rules_table import Condition, Event
 
 RUN_GAP = 1.5

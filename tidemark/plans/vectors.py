@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.functions import vectors as vx
 from tidemark.operators import boxes as bx
+from tidemark.operators import tracking
 from tidemark.operators import chapters as ch
 from tidemark.operators import vectors as vec
 from tidemark.plans.registry import query
@@ -309,14 +310,32 @@ def pair_overlap(spark, sf):
 @query("r2_tracks", "R2")
 def tracks(spark, sf):
     """Track ids over the frames of each video."""
-    return bx.track_boxes(fx.box(spark, sf), K, threshold=0.3, max_lost=3)
+    return tracking.track_boxes(fx.box(spark, sf), K, threshold=0.3, max_lost=3)
 
 
-@query("w17_synchrony", "W17")
+@query("r2_stream_tracks", "R2")
+def stream_tracks(spark, sf):
+    """The same track ids from a stream of boxes, each video closed by an end row."""
+    from tidemark.streaming import engine
+    from tidemark.streaming import rules as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", engine.ROCKSDB)
+    raw = spark.readStream.schema("vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").parquet(f"{sf}/embedding*.parquet")
+    rows = stream.box_rows(fx.box_columns(raw).withColumn("ts", F.col("frame").cast("double")))
+    ends = fx.box(spark, sf).groupBy("video_id").agg((F.max("frame") + 1).alias("duration"), F.count("*").alias("rows"))
+    folder = engine.shared_folder(spark, "ends")
+    stream.end_rows(ends).write.parquet(folder)
+    rows = rows.unionByName(spark.readStream.schema(rows.schema).parquet(folder))
+    t = engine.run_available(stream.track_stream(rows, threshold=0.3, max_lost=3), "tracks")
+    return t.select("video_id", "frame", "idx", "track")
+
+
+@query("w17_synchrony", "W17 R2")
 def synchrony(spark, sf):
     """How alike the first two tracks of a video move."""
-    b = fx.box(spark, sf).filter("idx < 2").withColumn("track", F.col("idx"))
-    s = bx.synchrony(b, K, frame="frame")
+    b = fx.box(spark, sf)
+    t = tracking.track_boxes(b, K, threshold=0.3, max_lost=3)
+    s = bx.synchrony(b.join(t, ["video_id", "frame", "idx"]), K, frame="frame")
     return s.withColumn("synchrony", F.round("synchrony", 6))
 
 

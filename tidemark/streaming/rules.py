@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.rules import RUN_GAP, VOTE_SHARE, Lingering
+from tidemark.operators.tracking import Tracker
 from tidemark.sources.rules_table import Condition, Event
 
 #: One stream for all inputs of the engine; what a kind of row lacks is NULL.
@@ -224,6 +225,11 @@ class RuleProcessor(StatefulProcessor):
         self.idle_ms = idle_ms
         self.hold = reach(self.specs) + 1
 
+    columns = COLUMNS
+
+    def _engine(self, body: dict | None):
+        return VideoRules(self.specs, body)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.small = handle.getValueState("video", "body STRING")
@@ -236,7 +242,7 @@ class RuleProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         body = self._load()
         if not body.get("closed"):
-            video = VideoRules(self.specs, body.get("rules"))
+            video = self._engine(body.get("rules"))
             fresh: dict[float, list] = {}
             for batch in rows:
                 batch = batch.astype(object).where(batch.notna(), None)
@@ -248,7 +254,7 @@ class RuleProcessor(StatefulProcessor):
             body["rules"] = video.body()
         yield from self._advance(key, body, timerValues.getCurrentWatermarkInMs() - SHIFT_MS, False)
 
-    def _take(self, r, body: dict, video: VideoRules, fresh: dict) -> None:
+    def _take(self, r, body: dict, video, fresh: dict) -> None:
         if r.kind == "end":
             body["total"], body["due"] = r.duration, r.rows
             body["ending"] = True
@@ -277,9 +283,9 @@ class RuleProcessor(StatefulProcessor):
                 self._clear()
             else:
                 self._wake(mark + self.idle_ms)
-            yield pd.DataFrame(out, columns=["video_id", *COLUMNS])
+            yield pd.DataFrame(out, columns=["video_id", *self.columns])
             return
-        video = VideoRules(self.specs, body.get("rules"))
+        video = self._engine(body.get("rules"))
         quiet = video.seen * 1000 + self.hold * 1000 + self.idle_ms if video.seen > -EVER else mark + self.idle_ms
         ending = body.get("ending") and (body["due"] is None or body.get("rows", 0) >= body["due"])
         close = bool(ending or mark >= quiet)
@@ -309,7 +315,7 @@ class RuleProcessor(StatefulProcessor):
             waiting = [t for t in frames if t > video.released]
             due = (min(waiting) + self.hold) * 1000 if waiting else quiet
             self._wake(max(mark + 1, math.ceil(min(due, quiet))))
-        yield pd.DataFrame(out, columns=["video_id", *COLUMNS])
+        yield pd.DataFrame(out, columns=["video_id", *self.columns])
 
     def _wake(self, at_ms: float) -> None:
         self.handle.registerTimer(int(at_ms) + SHIFT_MS)
@@ -323,14 +329,43 @@ class RuleProcessor(StatefulProcessor):
         pass
 
 
-def rule_stream(rows: DataFrame, specs: Sequence[Event], *, late: str = "5 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Every marked time of every event of a stream of :func:`box_rows`, :func:`signal_rows` and :func:`end_rows`.
+class VideoTracks:
+    """The tracker of one video; frames are released in order and only once."""
 
-    The same rows as :func:`tidemark.operators.rules.apply_rules` gives for the whole input,
-    as long as no row comes later than *late*. A video without an end row ends a second after
-    its last row, once it has been silent for *idle_ms*. Times are 0 or more, frames at least a
-    millisecond apart. Needs the RocksDB state store.
-    """
+    def __init__(self, threshold: float, max_lost: int, body: dict | None):
+        body = body or {"released": None, "seen": None, "frame": None, "live": [], "made": 0}
+        self.released = -EVER if body["released"] is None else body["released"]
+        self.seen = -EVER if body["seen"] is None else body["seen"]
+        self.tracker = Tracker(threshold, max_lost, body["frame"], body["live"], body["made"])
+
+    def body(self) -> dict:
+        t = self.tracker
+        plain = lambda x: None if math.isinf(x) else x
+        return {"released": plain(self.released), "seen": plain(self.seen), "frame": t.frame, "live": t.live, "made": t.made}
+
+    def release(self, upto: float, frames: dict[float, list], on: dict, total: float | None, close: bool) -> list[tuple]:
+        out = []
+        for ts in sorted(t for t in frames if self.released < t <= upto):
+            boxes = sorted((r[0], r[2]) for r in frames[ts])
+            out += [(int(ts), i, k) for (i, _), k in zip(boxes, self.tracker.update(int(ts), [b for _, b in boxes]))]
+        self.released = max(self.released, upto)
+        return out
+
+
+class TrackProcessor(RuleProcessor):
+    """Frames wait for the watermark as in :class:`RuleProcessor`; then they are tracked in order."""
+
+    columns = ["frame", "idx", "track"]
+
+    def __init__(self, threshold: float, max_lost: int, idle_ms: int):
+        super().__init__([], idle_ms)
+        self.threshold, self.max_lost = threshold, max_lost
+
+    def _engine(self, body: dict | None):
+        return VideoTracks(self.threshold, self.max_lost, body)
+
+
+def _by_video(rows: DataFrame, processor: StatefulProcessor, out: str, late: str) -> DataFrame:
     key = rows.schema["video_id"].dataType.simpleString()
     # an end row has no event time: it is neither late nor does it move the watermark
     at = F.when(F.col("kind") != "end", F.timestamp_millis(F.rint(F.col("ts") * 1000).cast("long") + SHIFT_MS))
@@ -338,10 +373,26 @@ def rule_stream(rows: DataFrame, specs: Sequence[Event], *, late: str = "5 secon
         rows.withColumn("at", at)
         .withWatermark("at", late)
         .groupBy("video_id")
-        .transformWithStateInPandas(
-            statefulProcessor=RuleProcessor(specs, idle_ms),
-            outputStructType=f"video_id {key}, ts DOUBLE, event STRING, conf DOUBLE, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+        .transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"video_id {key}, {out}", outputMode="Append", timeMode="EventTime")
     )
+
+
+def track_stream(rows: DataFrame, *, threshold: float = 0.3, max_lost: int = 10, late: str = "5 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """(video_id, frame, idx, track) of a stream of :func:`box_rows`, whose times are frame numbers, and :func:`end_rows`.
+
+    The ids of :func:`tidemark.operators.tracking.track_boxes`, as long as no row comes later
+    than *late*, a frame counting as a second. The state of a video is its live tracks and
+    the frames that wait. Needs the RocksDB state store.
+    """
+    return _by_video(rows, TrackProcessor(threshold, max_lost, idle_ms), "frame INT, idx INT, track LONG", late)
+
+
+def rule_stream(rows: DataFrame, specs: Sequence[Event], *, late: str = "5 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """Every marked time of every event of a stream of :func:`box_rows`, :func:`signal_rows` and :func:`end_rows`.
+
+    The same rows as :func:`tidemark.operators.rules.apply_rules` gives for the whole input,
+    as long as no row comes later than *late*. A video without an end row ends a second after
+    its last row, once it has been silent for *idle_ms*. Times are 0 or more, frames at least a
+    millisecond apart. Needs the RocksDB state store.
+    """
+    return _by_video(rows, RuleProcessor(specs, idle_ms), "ts DOUBLE, event STRING, conf DOUBLE, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE", late)
