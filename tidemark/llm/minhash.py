@@ -128,20 +128,30 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, set, text) to (node, s), the sorted shingle hashes; rows with another set's text go."""
+    """(node, text) to (node, s), the sorted shingle hashes."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in it:
-            nodes, sets = [], []
-            for node, digest, text in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())))):
-                s = shingles(text)
-                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
-                    nodes.append(node)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+            sets = [shingles(text).view(np.int64) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    return texts.mapInArrow(batches, "node long, s array<long>")
+    return texts.select("node", "text").mapInArrow(batches, "node long, s array<long>")
+
+
+def _sift(docs: DataFrame, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of *docs* whose ``node`` may be in *wanted*: all of these, and few others.
+
+    A bit for each value of a hash of *bits* bits is broadcast, 8 MB at most however many
+    rows there are. Beyond some hundred million wanted nodes it holds little back; what
+    passes is joined afterwards in any case.
+    """
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    part, bit = F.floor(place / 32768).cast("int"), F.pmod(place, F.lit(32768))
+    maps = written(wanted.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_map")))
+    near = docs.withColumn("_part", part).join(F.broadcast(maps), "_part")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.filter(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).drop("_part", "_map")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -150,8 +160,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     A hot pivot's members are dealt over WAYS parts; its set is copied to those in use.
     """
     dealt = pairs.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(WAYS)))
-    copies = dealt.select("pivot", "way").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("_p")), "pivot")
-    both = dealt.join(sets.select("node", F.col("s").alias("_a")), "node").join(copies, ["pivot", "way"])
+    parts = dealt.select(F.col("pivot").alias("node"), "way").distinct()
+    copies = parts.join(sets, "node").select(F.col("node").alias("pivot"), "way", F.col("s").alias("_p"))  # one shuffle of sets serves both
+    both = dealt.join(sets, "node").withColumnRenamed("s", "_a").join(copies, ["pivot", "way"])
     both = both.select("node", "pivot", F.size("_a").alias("n"), F.size("_p").alias("np"), F.array_except("_a", "_p").alias("_added"), F.array_except("_p", "_a").alias("_removed"))
     inter = F.col("n") - F.size("_added")
     linked = inter * den >= (F.col("np") + F.size("_added")) * num
@@ -250,13 +261,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def linked_labels(classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(node, label) of the classes (node, set, bands) that are linked with another."""
+    """(node, label) of the classes (node, bands, key of a text) that are linked with another; *docs* have doc_id, text, key."""
     stars = written(_first_stars(classes.select("node", F.explode("bands").alias("bucket"))))
     wanted = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
-    # written first, so that its size is known and texts move only where it is not small
-    wanted = written(classes.join(wanted, "node").select("node", "set"))
-    texts = docs.withColumnRenamed("doc_id", "node").join(wanted, "node")
-    sets = written(shingle_sets(texts.select("node", "set", "text"), words).dropDuplicates(["node"]))
+    wanted = written(classes.join(wanted, "node").select("node", "key"))
+    texts = _sift(docs.withColumnRenamed("doc_id", "node"), wanted).join(wanted, ["node", "key"]).dropDuplicates(["node", "key"])
+    sets = written(shingle_sets(texts, words))
     label = docs.sparkSession.createDataFrame([], "node long, label long")
     stars = stars.select(F.col("pivot").alias("g"), "pivot", "node")
     while not stars.isEmpty():
@@ -289,19 +299,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     smallest digest) through similar ones. Other columns are not read, so their names
     cannot clash; an empty table gives none.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
     component = F.coalesce("component", "doc_id")
     return _components(rows, words, percent, miss).select("doc_id", "n_shingles", component.alias("component_id"), kept(F.col("doc_id"), component).alias("kept"))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
 def _components(rows: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
-    """(doc_id, text, *more*) to doc_id, n_shingles, set, component (null without an id in the group), *more*."""
+    """(doc_id, text, key) to doc_id, n_shingles, set, component (null without an id in the group), key."""
     signed = written(signatures(rows, words, bands_for(percent / 100, miss)))
     full = signed.filter("set is not null and doc_id is not null")
     classes = written(full.groupBy("set").agg(F.min("doc_id").alias("node")))
     single = classes.groupBy("node").agg(F.min("set").alias("set"))
-    banded = full.select(F.col("doc_id").alias("node"), "set", "bands").join(single, ["node", "set"]).dropDuplicates(["node"])
-    label = linked_labels(written(banded), rows.select("doc_id", "text"), words, percent, 100)
+    banded = full.select(F.col("doc_id").alias("node"), "set", "bands", "key").join(single, ["node", "set"]).dropDuplicates(["node", "set"])
+    label = linked_labels(written(banded.select("node", "bands", "key")), rows, words, percent, 100)
     named = classes.join(label, "node", "left").select("set", F.coalesce("label", "node").alias("component"))
     return signed.drop("bands").join(named, "set", "left")
 
@@ -315,7 +330,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, miss: float
     Rows without words are in no group and all stay. Groups without any id are those of equal
     shingle sets.
     """
-    key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+    key = text_key(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
     found = _components(rows, words, percent, miss).filter("set is not null")
     group = F.coalesce(F.concat(F.lit("id "), F.col("component")), F.concat(F.lit("set "), F.hex("set")))
