@@ -1,15 +1,15 @@
 """Chapters, identities, trackers and box merges against plain loops."""
 
 import random
-import time
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boxes as bx
-from tidemark.operators import tracking
 from tidemark.operators import chapters as ch
+from tidemark.operators import nearpairs, tracking
 from tidemark.operators import vectors as vec
 
 
@@ -181,3 +181,32 @@ def test_synchrony_of_equal_and_of_few_moves(spark):
     df = spark.createDataFrame(data, "v INT, frame INT, track INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
     got = {r.v: r.synchrony for r in bx.synchrony(df, ["v"], frame="frame").collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == 0.5
+
+
+@pytest.mark.parametrize("seed,least,block", [(1, 0.8, 7), (2, 0.5, 50), (3, 0.95, 2048)])
+def test_near_pairs_connect_what_all_pairs_connect(spark, seed, least, block):
+    rnd = random.Random(seed)
+    centres = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    data = [(f"id{rnd.randrange(60):02d}", [x + rnd.gauss(0, 0.25) for x in rnd.choice(centres)]) for _ in range(180)]
+    data += [(f"copy{i:02d}", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(40)] + [("zero", [0.0] * 6)]
+    df = spark.createDataFrame(data, "id STRING, vec ARRAY<DOUBLE>")
+    root = {i: i for i, _ in data}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    for a, v in data:
+        for b, w in data:
+            if a < b and length(v) and length(w) and sum(x * y for x, y in zip(v, w)) / length(v) / length(w) >= least and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    members = {}
+    for i in root:
+        members.setdefault(find(i), []).append(i)
+    want = {i: r for r, m in members.items() for i in m if len(m) > 1}
+    edges = nearpairs.near_edges(df, least=least, cells=5, sample=40, block=block)
+    assert {r.id: r.merged_id for r in vec.merged_ids(edges).collect()} == want
+    assert nearpairs.near_edges(df.limit(0), least=least).collect() == []

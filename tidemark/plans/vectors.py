@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.functions import vectors as vx
 from tidemark.operators import boxes as bx
-from tidemark.operators import tracking
 from tidemark.operators import chapters as ch
+from tidemark.operators import nearpairs, tracking
 from tidemark.operators import vectors as vec
 from tidemark.plans.registry import query
 
@@ -232,21 +232,27 @@ def identity_assignment(spark, sf):
 
 @query("r3_merged_identities", "R3")
 def merged_identities(spark, sf):
-    """Identities of different videos joined where they are mostly of one class."""
+    """Identities of all videos joined where faces of theirs are near each other."""
     e = fx.embedding(spark, sf)
     a = vec.assign_identities(e, K, order="sec", threshold=0.35, max_gallery=20)
-    named = a.join(e.select("video_id", "sec", "label"), ["video_id", "sec"]).select(
-        "label", F.concat_ws("-", F.format_string("%06d", "video_id"), F.format_string("%04d", "identity")).alias("id")
-    )
-    major = (
-        named.groupBy("id", "label")
-        .agg(F.count("*").alias("n"))
-        .groupBy("id")
-        .agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-    )
-    first = major.groupBy("label").agg(F.min("id").alias("keep"))
-    pairs = major.join(first, "label").select("keep", F.col("id").alias("gone"))
-    return vec.merged_ids(pairs)
+    name = F.concat_ws("-", F.format_string("%06d", "video_id"), F.format_string("%04d", "identity"))
+    faces = a.join(e.select("video_id", "sec", "vec"), ["video_id", "sec"]).select(name.alias("id"), "vec")
+    return vec.merged_ids(nearpairs.near_edges(faces, least=0.6))
+
+
+@query(
+    "r3_near_identities",
+    "R3",
+    """WITH RECURSIVE f AS (SELECT printf('%06d-%02d', vec_id // 100, (vec_id % 100) // 10) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON list_cosine_similarity(a.v, b.v) >= 0.45),
+    r AS (SELECT a AS id, b AS reached FROM p UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reached),
+    m AS (SELECT id, min(reached) AS merged_id, count(DISTINCT reached) AS n FROM r GROUP BY id)
+    SELECT id, merged_id FROM m WHERE n > 1""",
+)
+def near_identities(spark, sf):
+    """Shots of all videos joined where faces of theirs are near each other."""
+    name = F.format_string("%06d-%02d", "video_id", "shot")
+    return vec.merged_ids(nearpairs.near_edges(fx.embedding(spark, sf).select(name.alias("id"), "vec"), least=0.45))
 
 
 BOX = fx.with_views("box")
