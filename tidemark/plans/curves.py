@@ -194,12 +194,11 @@ def strongest_of_cluster(spark, sf):
 @query(
     "w11_condition_mask",
     "W11",
-    fx.with_views("curve", "tick_value")
-    + """, v AS (SELECT c.video_id, c.sec, t.value IS NOT NULL AND t.value > 20 AS flag FROM curve c LEFT JOIN tick_value t ON t.video_id = c.video_id AND t.sec = c.sec),
-    h AS (SELECT *, sec - row_number() OVER (PARTITION BY video_id ORDER BY sec) AS k FROM v WHERE flag),
-    r AS (SELECT video_id, sec, count(*) OVER (PARTITION BY video_id, k) AS n FROM h),
-    d AS (SELECT DISTINCT video_id, sec + o AS sec FROM r, (SELECT unnest(range(-3, 4)) AS o) WHERE n >= 2)
-    SELECT v.video_id, v.sec FROM v JOIN d ON d.video_id = v.video_id AND d.sec = v.sec""",
+    fx.with_views("axis", "tick_value")
+    + """, v AS (SELECT a.video_id, a.sec, coalesce(t.value > 20, FALSE) AS flag FROM axis a LEFT JOIN tick_value t ON t.video_id = a.video_id AND t.sec = a.sec),
+    h AS (SELECT *, flag AND (lag(flag, 1, FALSE) OVER o OR lead(flag, 1, FALSE) OVER o) AS held FROM v WINDOW o AS (PARTITION BY video_id ORDER BY sec)),
+    d AS (SELECT video_id, sec, bool_or(held) OVER (PARTITION BY video_id ORDER BY sec ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM h)
+    SELECT video_id, sec FROM d WHERE near""",
 )
 def condition_mask(spark, sf):
     """Held for two rows, then reaching three either way; missing never satisfies."""
@@ -364,12 +363,9 @@ def wave_bins(spark, sf):
 @query(
     "a31_downsample",
     "A31",
-    fx.with_views("curve", "video")
-    + """, e AS (SELECT video_id, b AS bucket, CAST(floor(b * duration / 48.0) AS BIGINT) AS lo, CAST(floor((b + 1) * duration / 48.0) AS BIGINT) AS hi
-      FROM video, (SELECT CAST(unnest(range(48)) AS INTEGER) AS b))
-    SELECT e.video_id, bucket, round(max(value), 4) AS value FROM e JOIN curve c ON c.video_id = e.video_id AND c.sec >= lo AND c.sec < hi
-    JOIN video v ON v.video_id = e.video_id WHERE duration > 48 GROUP BY ALL
-    UNION ALL SELECT c.video_id, c.sec, round(value, 4) FROM curve c JOIN video v ON v.video_id = c.video_id WHERE duration <= 48""",
+    fx.with_views("curve")
+    + """, n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM curve)
+    SELECT video_id, CASE WHEN n <= 48 THEN sec ELSE CAST(((sec + 1) * 48 + n - 1) // n AS INTEGER) - 1 END AS bucket, round(max(value), 4) AS value FROM n GROUP BY ALL""",
 )
 def downsample(spark, sf):
     """Max-preserving reduction of a curve to 48 points."""

@@ -237,7 +237,7 @@ def merged_identities(spark, sf):
     a = vec.assign_identities(e, K, order="sec", threshold=0.35, max_gallery=20)
     name = F.concat_ws("-", F.format_string("%06d", "video_id"), F.format_string("%04d", "identity"))
     faces = a.join(e.select("video_id", "sec", "vec"), ["video_id", "sec"]).select(name.alias("id"), "vec")
-    return vec.merged_ids(nearpairs.near_edges(faces, least=0.6))
+    return vec.merged_ids(nearpairs.near_edges(faces, least=0.4))
 
 
 @query(

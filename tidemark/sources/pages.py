@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bind
+
 # Titles that say nothing, lazy-load attributes in order of trust,
 # placeholder images, path pieces of item pages, and path pieces of navigation.
 JUNK_TITLES = ("thumb", "thumbnail", "play", "watch", "video")
@@ -74,17 +76,28 @@ def slug_title(url: Column) -> Column:
     ``_``. No name are one of fewer than three characters, a word that says nothing, a
     number, or eight and more hexadecimal digits.
     """
+
+    def before_tracking(name: Column) -> Column:
+        marked = F.concat(F.lit("-"), F.lower(F.translate(name, "_", "-")))
+        places = bind(marked, lambda m: F.transform(F.array(*(F.lit(f"-{word}-") for word in TRACKING)), lambda word: F.instr(m, word)))
+        tail = F.array_min(F.filter(places, lambda at: at > 0))
+        return bind(tail, lambda at: F.when(at.isNull(), name).otherwise(F.substring(name, F.lit(1), at - 1)))
+
+    def without_ending(name: Column) -> Column:
+        ending = F.lower(F.substring_index(name, ".", -1))
+        return F.when(F.contains(name, F.lit(".")) & ending.isin(*PAGE_ENDINGS), F.substring(name, F.lit(1), F.length(name) - F.length(ending) - 1)).otherwise(name)
+
+    def worth_keeping(name: Column) -> Column:
+        empty = F.lower(name).isin(*EMPTY_NAMES) | (F.translate(name, "0123456789", "") == "")
+        code = (F.length(name) >= 8) & (F.translate(F.lower(name), "0123456789abcdef", "") == "")
+        return F.when((F.length(name) >= 3) & ~empty & ~code, name)
+
+    # each step is evaluated once and bound to a name
     pieces = F.filter(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), lambda p: p != "")
-    last = F.element_at(pieces, F.when(F.size(pieces) > 0, -1))
-    name = F.translate(F.coalesce(F.try_url_decode(last), last), '<>:"/\\|?*', "_" * 9)
-    tail = F.array_min(F.array_compact(F.array(*[F.nullif(F.locate(f"-{word}-", F.concat(F.lit("-"), F.lower(F.translate(name, "_", "-")))), F.lit(0)) for word in TRACKING])))
-    name = F.when(tail.isNull(), name).otherwise(F.substring(name, F.lit(1), tail - 1))
-    ending = F.lower(F.substring_index(name, ".", -1))
-    name = F.when(F.contains(name, F.lit(".")) & ending.isin(*PAGE_ENDINGS), F.substring(name, F.lit(1), F.length(name) - F.length(ending) - 1)).otherwise(name)
-    name = F.trim(name, F.lit(".-_"))
-    empty = F.lower(name).isin(*EMPTY_NAMES) | (F.translate(name, "0123456789", "") == "")
-    code = (F.length(name) >= 8) & (F.translate(F.lower(name), "0123456789abcdef", "") == "")
-    return F.when((F.length(name) >= 3) & ~empty & ~code, name)
+    last = bind(pieces, lambda p: F.element_at(p, F.when(F.size(p) > 0, -1)))
+    named = bind(last, lambda p: F.translate(F.coalesce(F.try_url_decode(p), p), '<>:"/\\|?*', "_" * 9))
+    kept = bind(bind(named, before_tracking), without_ending)
+    return bind(F.trim(kept, F.lit(".-_")), worth_keeping)
 
 
 def image_url(tag: Column) -> Column:
