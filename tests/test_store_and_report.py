@@ -159,9 +159,14 @@ def test_index_grows_by_unseen_keys_only(spark, tmp_path):
 
     src, out = str(tmp_path / "in"), str(tmp_path / "index")
     for lo in (0, 5):
-        df = spark.range(lo, lo + 10).select(F.lit("v").alias("video_id"), F.col("id").alias("ts_ms"))
+        df = spark.range(lo, lo + 10).select(F.format_string("v%d", F.col("id") % 3).alias("video_id"), F.col("id").alias("ts_ms"), F.lit(lo).alias("lo"))
         df.unionByName(df).coalesce(1).write.mode("append").parquet(src)
-    raw = spark.readStream.schema("video_id STRING, ts_ms LONG").option("maxFilesPerTrigger", 1).parquet(src)
-    q = se.grow_index(raw, out, ["video_id", "ts_ms"]).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.ts_ms for r in spark.read.parquet(out).collect()) == list(range(15))
+    raw = spark.readStream.schema("video_id STRING, ts_ms LONG, lo INT").option("maxFilesPerTrigger", 1).parquet(src)
+    for run in (1, 2):  # the second run, with a checkpoint of its own, brings every batch again
+        q = se.grow_index(raw, out, ["video_id", "ts_ms"], buckets=4).option("checkpointLocation", str(tmp_path / f"c{run}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = spark.read.parquet(out).collect()
+        assert sorted(r.ts_ms for r in got) == list(range(15))
+        assert {r.ts_ms: r.lo for r in got}[7] == 0  # the first one stays
+    plan = spark.read.parquet(out).filter("_bucket = 1").select("ts_ms")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan

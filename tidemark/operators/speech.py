@@ -129,12 +129,8 @@ def keyness(counts: DataFrame, totals: DataFrame, group: Sequence[str], doc: str
     have keyness. A word's total is a window over its documents, so the counts are
     not worked out again.
     """
-    g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    docs = (
-        totals.withColumn("_grand", F.sum("doc_words").over(g))
-        .withColumn("_docs", F.count("*").over(g))
-        .filter(F.col("_docs") >= 2)
-    )
+    whole = totals.groupBy(*group).agg(F.sum("doc_words").alias("_grand"), F.count("*").alias("_docs")).filter(F.col("_docs") >= 2)
+    docs = totals.join(whole, [*group]) if group else totals.crossJoin(F.broadcast(whole))  # one row
     x = counts.withColumn("_all", F.sum("count").over(Window.partitionBy(*group, "word"))).join(docs, [*group, doc])
     here = F.col("count") / F.col("doc_words")
     there = (F.col("_all") - F.col("count") + 0.5) / (F.col("_grand") - F.col("doc_words") + 0.5)

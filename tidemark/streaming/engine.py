@@ -99,22 +99,25 @@ def first_arrivals(rows: DataFrame, keys: Sequence[str], *, at: str, late: str)
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([*keys])
 
 
-def grow_index(stream: DataFrame, path: str, keys: Sequence[str]):
+def grow_index(stream: DataFrame, path: str, keys: Sequence[str], *, bucket_by: Sequence[str] | None = None, buckets: int = 256):
     """A writer that adds only unseen keys of each micro-batch to a stored index.
 
-    A batch that is run again after a failure finds its rows already there and
-    adds nothing.
+    The index lies in *buckets* folders by a hash of *bucket_by* (the first key by default),
+    and a batch reads the keys of the buckets that it touches and no others: batches that
+    bring few videos cost what these videos' buckets hold. A batch that is run again, after a
+    failure or by hand, finds its rows already there and adds nothing.
     """
+    spark = stream.sparkSession
+    own = [*(bucket_by or keys[:1])]
+    bucket = F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int").alias("_bucket")
+    fields = stream.select("*", bucket).schema
+    spark.createDataFrame([], fields).write.mode("append").partitionBy("_bucket").parquet(path)  # so that the folder is there
 
     def add(batch: DataFrame, _batch_id: int) -> None:
-        fresh = batch.dropDuplicates([*keys])
-        try:
-            stored = batch.sparkSession.read.parquet(path).select(*keys)
-        except Exception as missing:  # first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            fresh = fresh.join(stored, [*keys], "left_anti")
-        fresh.write.mode("append").parquet(path)
+        fresh = batch.dropDuplicates([*keys]).select("*", bucket)
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # *buckets* at most
+        stored = batch.sparkSession.read.schema(fields).parquet(path).filter(F.col("_bucket").isin(touched))
+        new = fresh.join(stored.select("_bucket", *keys), ["_bucket", *keys], "left_anti").select(*fields.names)
+        new.write.mode("append").partitionBy("_bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(add)
