@@ -182,3 +182,21 @@ def test_time_tokens(spark):
     df = spark.createDataFrame([("1:00-1:30",), ("30-10",), ("5 → 9",), ("1 to 2",)], "t STRING")
     got = [r.r and tuple(r.r) for r in df.select(tf.parse_range(F.col("t")).alias("r")).collect()]
     assert got == [(60.0, 90.0), None, (5.0, 9.0), (1.0, 2.0)]
+
+
+def test_first_repetitions_equal_comparing_all(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    docs = []
+    for i in range(60):
+        said = [" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 8, 9, 12, 15]))) for _ in range(rnd.randint(0, 12))]
+        for _ in range(rnd.randint(0, 2)):
+            if said:
+                again = rnd.choice(said).split()
+                said.append(" ".join(w if rnd.random() > 0.15 else rnd.choice(words) for w in again))
+        docs.append((i, "; ".join(s.capitalize() for s in said)))
+    docs += [(900, "Same. Same. Same."), (901, None), (902, "")]
+    df = spark.createDataFrame(docs, "id INT, text STRING")
+    want = {r.id: r.at for r in df.select("id", tx.repetition_at(F.col("text")).alias("at")).collect() if r.at is not None}
+    got = {r.id: r.cut_at for r in sp.first_repetitions(df, ["id"]).collect()}
+    assert got == want and len(want) > 15

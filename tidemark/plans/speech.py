@@ -250,12 +250,20 @@ def exact_duplicates(spark, sf):
     return sp.first_of_duplicates(d, ["source"], text="text", order="doc_id").select("doc_id", "source")
 
 
-@query("x11_repetition_cut", "X11")
+@query(
+    "x11_repetition_cut",
+    "X11",
+    r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!;]) ', '\1' || chr(1), 'g'), chr(1))) AS s, unnest(range(len(string_split(regexp_replace(text, '([.?!;]) ', '\1' || chr(1), 'g'), chr(1))))) AS pos FROM documents),
+    w AS (SELECT doc_id, pos, list_sort(list_distinct(regexp_extract_all(lower(s), '\p{L}{2,}'))) AS w FROM s),
+    f AS (SELECT doc_id, w, min(pos) AS pos FROM w WHERE len(w) > 0 GROUP BY ALL),
+    x AS (SELECT w.doc_id, min(w.pos) AS pos FROM w JOIN f ON f.doc_id = w.doc_id AND f.w = w.w AND w.pos > f.pos WHERE len(w.w) >= 8 GROUP BY ALL),
+    c AS (SELECT f.* FROM f LEFT JOIN x ON x.doc_id = f.doc_id WHERE x.pos IS NULL OR f.pos < x.pos),
+    h AS (SELECT b.doc_id, min(b.pos) AS pos FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos < b.pos AND len(b.w) >= 8 WHERE len(list_intersect(a.w, b.w)) * 100 >= 80 * least(len(a.w), len(b.w)) GROUP BY ALL)
+    SELECT doc_id, CAST(min(pos) AS INTEGER) AS cut_at FROM (SELECT * FROM h UNION ALL SELECT * FROM x) GROUP BY doc_id""",
+)
 def repetition_cut(spark, sf):
     """Documents cut where they start repeating a sentence."""
-    d = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
-    at = d.select("doc_id", tx.repetition_at(F.col("text")).alias("cut_at"))
-    return at.filter("cut_at IS NOT NULL")
+    return sp.first_repetitions(fx.table(spark, sf, "documents"), ["doc_id"])
 
 
 @query(
