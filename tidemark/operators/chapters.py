@@ -30,18 +30,11 @@ MAD_TO_SIGMA = 1.4826
 
 
 def robust_stats(values: DataFrame, keys: Sequence[str], *, value: str) -> DataFrame:
-    """Median, scaled MAD and sample count per video, in one shuffle."""
-    w = Window.partitionBy(*keys)
-    return (
-        values.select(*keys, value)
-        .withColumn("_m", F.median(value).over(w))
-        .groupBy(*keys)
-        .agg(
-            F.max("_m").alias("median"),
-            (F.median(F.abs(F.col(value) - F.col("_m"))) * MAD_TO_SIGMA).alias("mad"),
-            F.count("*").alias("samples"),
-        )
-    )
+    """Median, scaled MAD and sample count per video, from running counts of distinct values."""
+    from tidemark.operators.ranks import median_and_deviation
+
+    stats = median_and_deviation(values, keys, value)
+    return stats.select(*keys, "median", (F.col("deviation") * MAD_TO_SIGMA).alias("mad"), "samples")
 
 
 def robust_threshold(z: float) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.operators.axis import DEFAULT_CHUNK, chunk_window, drop_halo, prefix_sum, with_halo
+from tidemark.operators.ranks import median_and_deviation, value_counts
 from tidemark.session import shuffle_width
 
 # The vocal gate and the robust scale factor.
@@ -148,11 +149,12 @@ def mark_density(axis: DataFrame, keys: Sequence[str], *, marks: str, window: in
 
 
 def ordinal_rank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str, tick: str = "sec") -> DataFrame:
-    """100 * rank / (n - 1), ties in time order."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(value, tick)) - 1
-    n = F.count("*").over(w)
-    return curve.withColumn(out, F.lit(100.0) * rank / F.greatest(n - 1, F.lit(1)))
+    """100 * rank / (n - 1), ties in time order; equal values are counted along the axis in chunks."""
+    ranked = value_counts(curve, keys, value)
+    placed = prefix_sum(curve.withColumn("_one", F.lit(1)), [*keys, value], [tick], "_one", "_nth", tick).drop("_one")
+    rank = F.col("_upto") - F.col("_n") + F.col("_nth") - 1
+    x = placed.join(ranked, [*keys, value])
+    return x.withColumn(out, F.lit(100.0) * rank / F.greatest(F.col("_total") - 1, F.lit(1))).select(*curve.columns, out)
 
 
 def midrank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str) -> DataFrame:
@@ -161,14 +163,9 @@ def midrank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str) -> D
     Ranking is done over distinct values with their counts, so a run of equal
     values costs one row.
     """
-    freq = curve.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(w)
-    ranks = freq.select(
-        *keys, value, F.round((upto - F.col("_n") + upto) / 2.0 / total * 100.0, 1).alias(out)
-    )
-    return curve.join(ranks, [*keys, value])
+    ranks = value_counts(curve, keys, value)
+    middle = (F.col("_upto") - F.col("_n") + F.col("_upto")) / 2.0 / F.col("_total") * 100.0
+    return curve.join(ranks.select(*keys, value, F.round(middle, 1).alias(out)), [*keys, value])
 
 
 def local_maxima(
@@ -185,18 +182,13 @@ def local_maxima(
 
     The percentiles are order statistics at index ``int(n * p)``, not interpolated.
     """
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    rn = F.row_number().over(w.orderBy(value))
+    ranked = value_counts(curve, keys, value)
 
-    def index(p: float) -> Column:
-        return F.least(n - 1, F.floor(n * F.lit(p)).cast("long")) + 1
+    def at(p: float) -> Column:
+        index = F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(p)).cast("long"))
+        return F.min(F.when(F.col("_upto") > index, F.col(value)))
 
-    ordered = curve.withColumn("_rn", rn).withColumn("_lo", index(low)).withColumn("_hi", index(high))
-    bounds = ordered.groupBy(*keys).agg(
-        F.max(F.when(F.col("_rn") == F.col("_lo"), F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("_rn") == F.col("_hi"), F.col(value))).alias("_hi"),
-    )
+    bounds = ranked.groupBy(*keys).agg(at(low).alias("_lo"), at(high).alias("_hi"))
     norm = F.least(
         F.lit(1.0),
         F.greatest(F.lit(0.0), (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))),
@@ -250,12 +242,7 @@ def robust_z_of_subset(
 ) -> DataFrame:
     """z against the median and scaled MAD of the rows where *subset* is true."""
     part = df.filter(subset).select(*keys, value)
-    w = Window.partitionBy(*keys)
-    stats = (
-        part.withColumn("_m", F.median(value).over(w))
-        .groupBy(*keys)
-        .agg(F.max("_m").alias("_m"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("_d"))
-    )
+    stats = median_and_deviation(part, keys, value).select(*keys, F.col("median").alias("_m"), F.col("deviation").alias("_d"))
     return (
         df.join(stats, list(keys), "left")
         .withColumn(
