@@ -59,6 +59,22 @@ def test_boundaries_equal_the_loop(spark, seed, target):
     assert sum(p.shots for p in parts) == len(starts)
 
 
+def test_method_follows_from_the_shots(spark):
+    rnd = random.Random(5)
+    starts = [4.0 * i for i in range(30)]
+    scenes = [(v, t) for v in (1, 2) for t in starts] + [(3, 0.0), (3, 50.0), (3, 60.0)]
+    looks = [(1, i, t, rnd.random()) for i, t in enumerate(starts)] + [(2, i, 4.0 * i, 0.5) for i in range(3)]
+    videos = spark.createDataFrame([(v, 120.0) for v in (1, 2, 3, 4)] + [(5, 0.0)], "v INT, duration DOUBLE")
+    s = spark.createDataFrame(scenes, "v INT, start DOUBLE")
+    n = spark.createDataFrame(looks, "v INT, shot INT, start DOUBLE, novelty DOUBLE")
+    got = ch.chapterize(s, n, videos, ["v"], min_gap=10.0, max_run=40.0).collect()
+    assert {(r.v, r.method) for r in got} == {(1, "visual"), (2, "shot-length"), (3, "single"), (4, "single")}
+    assert [(r.number, r.start, r.end, r.shots, r.boundary_score) for r in got if r.v == 3] == [(1, 0.0, 120.0, 3, 0.0)]
+    want = chapters_by_hand([x[3] for x in looks[:30]], starts, 120.0, 10.0, 40.0, target=None)
+    assert sorted(r.start for r in got if r.v == 1) == [0.0, *want]
+    assert sorted(r.start for r in got if r.v == 2) == [0.0, 28.0, 60.0, 88.0]  # four parts, marks at 30, 60 and 90
+
+
 def test_even_boundaries_land_on_cuts(spark):
     starts = [0.0, 7.0, 19.0, 31.0, 44.0, 58.0, 71.0, 90.0]
     shots = spark.createDataFrame([(1, s) for s in starts], "v INT, start DOUBLE")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 # Fixed value: fewer cuts a minute than this means detection failed.
 MIN_PLAUSIBLE_CUTS = 0.5
 
@@ -126,8 +128,8 @@ def pick_boundaries(
 
     *shots* has ``shot, start, novelty``. Strongest first over a robust threshold
     (or up to a target count), at least *min_gap* from the ends and each other; then
-    any run longer than *max_run* is split at its best inner cut until none is. The
-    splitting is a fold over one video's shots.
+    any run longer than *max_run* is split at its best inner cut until none is
+    (:func:`split_long_runs`).
     """
     from tidemark.operators.choose import spaced_picks
 
@@ -155,58 +157,61 @@ def pick_boundaries(
         gap=min_gap,
         limit=None if target is None else max(0, target - 1),
     )
-    chosen = picks.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("_chosen"))
-    table = x.groupBy(*keys, "_end").agg(
-        F.min("start").alias("_first"),
-        F.array_sort(F.collect_list(F.struct("start", "novelty", "_i"))).alias("_shots"),
-    )
-    state = table.join(chosen, list(keys), "left").withColumn(
-        "_chosen", F.coalesce("_chosen", F.array().cast("array<double>"))
-    )
+    cuts = picks.select(*keys, F.col("start").cast("double").alias("start"))
+    if max_run <= 0:
+        return cuts
+    ends = x.groupBy(*keys).agg(F.min("start").cast("double").alias("_lo"), F.max("_end").alias("_hi"))
+    edges = cuts.join(ends.select(*keys), [*keys]).unionByName(ends.select(*keys, F.col("_lo").alias("start")))
+    w = Window.partitionBy(*keys).orderBy("start")
+    runs = edges.join(ends.select(*keys, "_hi"), [*keys]).select(*keys, F.col("start").alias("a"), F.coalesce(F.lead("start").over(w), F.col("_hi")).alias("b"))
+    return split_long_runs(cut_lineage(cuts), runs, cut_lineage(x.filter("_i >= 1").select(*keys, "start", "novelty", "_i")), keys, min_gap=min_gap, max_run=max_run)
 
-    def split(s: Column, _round: Column) -> Column:
-        edges = F.array_sort(s["cuts"])
-        spans = F.arrays_zip(
-            F.concat(F.array(s["lo"]), edges).alias("a"), F.concat(edges, F.array(s["hi"])).alias("b")
-        )
-        long = F.filter(spans, lambda p: p["b"] - p["a"] > max_run)
-
-        def best(p: Column) -> Column:
-            inside = F.filter(
-                s["shots"],
-                lambda c: (c["_i"] >= 1)
-                & (c["start"] >= p["a"] + min_gap)
-                & (c["start"] <= p["b"] - min_gap)
-                & ~F.array_contains(s["cuts"], c["start"]),
-            )
-            ranked = F.transform(
-                inside, lambda c: F.struct(c["novelty"].alias("n"), (-c["_i"]).alias("i"), c["start"].alias("t"))
-            )
-            return F.array_max(ranked)["t"]
-
-        grown = F.array_compact(F.transform(long, best))
-        more = F.struct(
-            s["lo"].alias("lo"),
-            s["hi"].alias("hi"),
-            s["shots"].alias("shots"),
-            F.concat(s["cuts"], grown).alias("cuts"),
-            (F.size(grown) == 0).alias("done"),
-        )
-        return F.when(s["done"], s).otherwise(more)
-
-    start = F.struct(
-        F.col("_first").alias("lo"),
-        F.col("_end").alias("hi"),
-        F.col("_shots").alias("shots"),
-        F.col("_chosen").alias("cuts"),
-        F.lit(max_run <= 0).alias("done"),
-    )
-    rounds = F.sequence(F.lit(1), F.size("_shots"))  # a round that changes anything takes one more shot
-    filled = state.select(
-        *keys,
-        F.explode(F.array_sort(F.aggregate(rounds, start, split, lambda s: s["cuts"]))).alias("start"),
-    )
-    return filled
+
+def split_long_runs(cuts: DataFrame, runs: DataFrame, shots: DataFrame, keys: Sequence[str], *, min_gap: float, max_run: float) -> DataFrame:
+    """Cuts with those that divide runs (a, b) longer than *max_run*.
+
+    Divide and conquer as a list of rows: in each round every run that is too long is joined
+    with the shots inside it and divided at the most novel one (ties: the first), *min_gap*
+    from its ends at least; the halves are the next round's runs. Runs without such a shot
+    stay as they are. A round is one join for all videos, so rounds are as many as the
+    deepest division has levels.
+    """
+    from tidemark.operators.joins import points_in_spans
+
+    todo = cut_lineage(runs.filter(F.col("b") - F.col("a") > max_run))
+    while not todo.isEmpty():
+        room = todo.select(*keys, "a", "b", (F.col("a") + min_gap).alias("_from"), (F.col("b") - min_gap).alias("_to")).filter("_from <= _to")
+        inside = points_in_spans(shots, room, keys, t="start", start="_from", end="_to", closed_end=True)
+        found = cut_lineage(inside.groupBy(*keys, "a", "b").agg(F.max_by("start", F.struct("novelty", -F.col("_i"))).alias("start")))
+        cuts = cuts.unionByName(found.select(*keys, "start"))
+        halves = found.select(*keys, F.inline(F.array(F.struct(F.col("a"), F.col("start").alias("b")), F.struct(F.col("start").alias("a"), F.col("b")))))
+        todo = cut_lineage(halves.filter(F.col("b") - F.col("a") > max_run))
+    return cuts
+
+
+def chapterize(
+    scenes: DataFrame, shots: DataFrame, videos: DataFrame, keys: Sequence[str], *, total: str = "duration", min_shots: int = MIN_SHOTS, **options: float
+) -> DataFrame:
+    """Chapters of every video, with the ``method`` that its shots allow.
+
+    *scenes* has the ``start`` of every shot, *shots* (``shot, start, novelty``) those whose
+    look was sampled. With fewer than *min_shots* scenes a video is one chapter (``single``);
+    with fewer sampled shots than that it is cut near even marks (``shot-length``), else at
+    novel shots (``visual``). *options* are those of :func:`pick_boundaries`, of which the
+    even marks use *min_gap*, *max_run* and *target*.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    few = lambda name: F.coalesce(name, F.lit(0)) < min_shots
+    sized = videos.join(count(scenes, "_scenes"), [*keys], "left").join(count(shots, "_seen"), [*keys], "left")
+    method = F.when(few("_scenes"), "single").when(few("_seen"), "shot-length").otherwise("visual")
+    decided = cut_lineage(sized.filter(F.col(total) > 0).select(*keys, total, method.alias("method")))
+    of = lambda m: decided.filter(F.col("method") == m).drop("method")
+    even = {k: v for k, v in options.items() if k in ("min_gap", "max_run", "target")}
+    looks = shots.join(of("visual").select(*keys), [*keys])
+    plain = scenes.join(of("shot-length").select(*keys), [*keys]).select(*keys, "start")
+    cuts = pick_boundaries(looks, of("visual"), keys, total=total, **options).unionByName(even_boundaries(plain, of("shot-length"), keys, total=total, **even))
+    out = chapters_from_cuts(cuts, scenes, looks.select(*keys, "start", "novelty"), decided.drop("method"), keys, total=total)
+    return out.join(decided.select(*keys, "method"), [*keys])
 
 
 def even_boundaries(

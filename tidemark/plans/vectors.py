@@ -186,6 +186,14 @@ def chapters(spark, sf):
     return ch.chapters_from_cuts(cuts, n, n, v, K)
 
 
+@query("t8_chapter_methods", "T8")
+def chapter_methods(spark, sf):
+    """Chapters by the method that each video's shots allow: whole, even marks or novelty."""
+    s = _shots(spark, sf).filter(~((F.col("video_id") % 4 == 1) & (F.col("shot") > 2)))
+    n = vec.boundary_novelty(s.filter(~((F.col("video_id") % 4 == 2) & (F.col("shot") > 2))), K).drop("vec")
+    return ch.chapterize(s.select("video_id", "start"), n, _videos(spark, sf), K, min_gap=15.0, max_run=40.0)
+
+
 @query("t8_chapters_by_count", "T8")
 def chapters_by_count(spark, sf):
     """About four chapters, without splitting."""
