@@ -132,7 +132,7 @@ def known_words(texts: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         counts = np.zeros(len(ids_of) + 1, np.int64)
         types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["doc_id", "n_words", "ids", "at", "counts"]
-        for batch in it:
+        for batch in _slices(it):
             sizes, ids, places = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text or b"")
@@ -171,6 +171,13 @@ def passages(ids: np.ndarray, at: np.ndarray, starts: np.ndarray, n_words: np.nd
     return which, weight, np.maximum(square, 1e-12), first, per_doc
 
 
+def _slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of at most *rows* documents, so that a task's arrays stay small."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrays_of(batch: pa.RecordBatch):
     """Flat ids, positions, document starts and word counts of TABLE's document rows."""
     ids, at = batch.column("ids"), batch.column("at")
@@ -201,9 +208,7 @@ def sketch(table: DataFrame, random: np.ndarray, idf: np.ndarray, foreign: float
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, weights, outside = shared.value
         z = np.zeros(r.shape, np.float32)
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(it):
             ids, at, starts, n_words = arrays_of(batch)
             which, weight, square, _, _ = passages(ids, at, starts, n_words, weights, outside)
             kept = weight > 0
@@ -337,9 +342,7 @@ def search(table: DataFrame, space: Space, cosine: float, latent: float, least:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(it):
             ids, at, starts, n_words = arrays_of(batch)
             which, weight, square, first, per_doc = passages(ids, at, starts, n_words, s.idf, s.foreign)
             last = np.zeros(len(square), bool)
