@@ -170,3 +170,16 @@ def test_index_grows_by_unseen_keys_only(spark, tmp_path):
         assert {r.ts_ms: r.lo for r in got}[7] == 0  # the first one stays
     plan = spark.read.parquet(out).filter("_bucket = 1").select("ts_ms")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(_bucket" in plan
+
+
+def test_page_durations_of_large_ids(spark, tmp_path):
+    from tidemark.plans import load_all
+    from tidemark.sources import pages
+
+    rows = [(n, "https://a.example/x", "<html></html>") for n in (86093, 86100, 86102, 700_000_001, 700_000_000, 700_000_002)]
+    spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.source, r.seconds) for r in load_all()["s17_page_durations"].run(spark, str(tmp_path)).collect()}
+    want = {0: lambda n: ("meta", n + 300.0), 1: lambda n: ("structured", 3600.0 + n % 60), 2: lambda n: ("script", n + 100.0)}
+    assert got == {n: want[n % 7](n) for n, _, _ in rows}
+    page = spark.createDataFrame([(1, '<meta name="duration" content="90000">', "u")], "page_id LONG, html STRING, url STRING")
+    assert [r.seconds for r in pages.page_durations(page).collect()] == [90.0]

@@ -221,14 +221,18 @@ def iso_duration(text: Column) -> Column:
     return F.when(form.rlike("^PD?(TH?M?S?)?$"), _positive(total))
 
 
-def duration_text(text: Column) -> Column:
+#: A longer plain number is read as milliseconds, a longer script or player value is none.
+LONGEST = 86400.0
+
+
+def duration_text(text: Column, longest: float = LONGEST) -> Column:
     """Seconds from ISO-8601, plain seconds or milliseconds, H:M:S, M:S or ``1h 2m 3s``.
 
     The text's letters and colons tell which of the forms it is.
     """
     t = F.lower(F.trim(text))
     number = F.when(t.rlike("^[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
-    plain = F.when(number <= 86400, number).when(number <= 86_400_000, number / 1000)
+    plain = F.when(number <= longest, number).when(number <= longest * 1000, number / 1000)
     groups = F.split(F.regexp_extract(t, "[0-9]+(:[0-9]+){1,2}", 0), ":")
     clock = F.aggregate(F.transform(groups, lambda g: g.try_cast("double")), F.lit(0.0), lambda total, g: total * 60 + g)
     spelled = _amount(t, "h") * 3600 + _amount(t, "m(?!s)") * 60 + _amount(t, "s")
@@ -257,21 +261,21 @@ URL_PARAMETERS = ("duration", "t", "time", "length")
 AD_LENGTHS = (5.0, 6.0, 10.0, 15.0, 30.0)
 
 
-def meta_duration(html: Column) -> Column:
+def meta_duration(html: Column, longest: float = LONGEST) -> Column:
     tags = [
         F.regexp_extract(html, rf"(?is)(<meta\s[^>]*{k}\s*=\s*[\"']{v}[\"'][^>]*>)", 1) for k, v in META_PROPERTIES
     ]
-    found = [duration_text(_none(_attr(t, "content"))) for t in tags]
+    found = [duration_text(_none(_attr(t, "content")), longest) for t in tags]
     time_tag = F.regexp_extract(html, r"(?is)(<time\s[^>]*itemprop\s*=\s*[\"']duration[\"'][^>]*>)", 1)
     span = F.regexp_extract(html, r"(?is)<span\s[^>]*itemprop\s*=\s*[\"']duration[\"'][^>]*>(.*?)</span>", 1)
     return F.coalesce(
         *found,
-        duration_text(_none(_attr(time_tag, "datetime"))),
-        duration_text(_none(F.regexp_replace(span, r"<[^>]*>", " "))),
+        duration_text(_none(_attr(time_tag, "datetime")), longest),
+        duration_text(_none(F.regexp_replace(span, r"<[^>]*>", " ")), longest),
     )
 
 
-def structured_duration(html: Column) -> Column:
+def structured_duration(html: Column, longest: float = LONGEST) -> Column:
     """First usable ``duration`` or ``contentDuration`` inside a JSON-LD block, at any depth."""
     blocks = F.regexp_extract_all(
         html, F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1)
@@ -284,10 +288,10 @@ def structured_duration(html: Column) -> Column:
             ),
         )
     )
-    return F.get(F.array_compact(F.transform(values, duration_text)), F.lit(0))
+    return F.get(F.array_compact(F.transform(values, lambda v: duration_text(v, longest))), F.lit(0))
 
 
-def script_duration(html: Column) -> Column:
+def script_duration(html: Column, longest: float = LONGEST) -> Column:
     """Longest plausible script variable: over 30 s and no usual ad length, else the longest small one.
 
     Every assignment (``name = value`` or ``"name": value``) is read once; its name decides
@@ -304,28 +308,30 @@ def script_duration(html: Column) -> Column:
         known = lambda names: F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: pair["name"].endswith(n))
         return F.when(known(SCRIPT_MILLIS), number / 1000).when(known(SCRIPT_SECONDS), F.coalesce(number, iso_duration(pair["value"])))
 
-    ok = F.filter(F.transform(pairs, seconds), lambda v: v.between(1, 86400))
+    ok = F.filter(F.transform(pairs, seconds), lambda v: v.between(1, longest))
     main = F.array_max(F.filter(ok, lambda v: (v >= 30) & ~v.isin(*AD_LENGTHS)))
     return F.coalesce(main, F.array_max(F.filter(ok, lambda v: v < 30)))
 
 
-def player_duration(html: Column) -> Column:
+def player_duration(html: Column, longest: float = LONGEST) -> Column:
     setup = F.regexp_extract(html, r"(?is)(?:jwplayer\([^)]*\)|playerInstance)\.setup\(\s*\{(.+?)\}\s*\)", 1)
     inner = F.regexp_extract(setup, r"(?i)[\"']?duration[\"']?\s*[:=]\s*[\"']?(\d+(?:\.\d+)?)", 1)
     data = F.regexp_extract(html, r"(?is)<(?:video|div)\s[^>]*data-duration\s*=\s*[\"'](\d+(?:\.\d+)?)[\"']", 1)
     a, b = _none(inner).try_cast("double"), _none(data).try_cast("double")
-    return F.coalesce(F.when(a.between(1, 86400), a), F.when(b.between(1, 86400), b))
+    return F.coalesce(F.when(a.between(1, longest), a), F.when(b.between(1, longest), b))
 
 
-def url_duration(url: Column) -> Column:
+def url_duration(url: Column, longest: float = LONGEST) -> Column:
     return F.coalesce(
-        *[duration_text(_none(F.regexp_extract(url, rf"[?&]{p}=([^&#]*)", 1))) for p in URL_PARAMETERS]
+        *[duration_text(_none(F.regexp_extract(url, rf"[?&]{p}=([^&#]*)", 1)), longest) for p in URL_PARAMETERS]
     )
 
 
-def page_durations(pages: DataFrame) -> DataFrame:
+def page_durations(pages: DataFrame, *, longest: float = LONGEST) -> DataFrame:
     """First hit per page with its source; a small script value is the last resort.
 
+    Values of more than *longest* seconds are implausible; infinity admits all.
+
     The sources are worked out once each (behind a generator) and then chosen from.
     """
     found = pages.select(
@@ -333,11 +339,11 @@ def page_durations(pages: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(
-                    meta_duration(F.col("html")).alias("meta"),
-                    structured_duration(F.col("html")).alias("structured"),
-                    script_duration(F.col("html")).alias("script"),
-                    player_duration(F.col("html")).alias("player"),
-                    url_duration(F.col("url")).alias("address"),
+                    meta_duration(F.col("html"), longest).alias("meta"),
+                    structured_duration(F.col("html"), longest).alias("structured"),
+                    script_duration(F.col("html"), longest).alias("script"),
+                    player_duration(F.col("html"), longest).alias("player"),
+                    url_duration(F.col("url"), longest).alias("address"),
                 )
             )
         ),
