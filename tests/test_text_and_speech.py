@@ -200,3 +200,25 @@ def test_first_repetitions_equal_comparing_all(spark):
     want = {r.id: r.at for r in df.select("id", tx.repetition_at(F.col("text")).alias("at")).collect() if r.at is not None}
     got = {r.id: r.cut_at for r in sp.first_repetitions(df, ["id"]).collect()}
     assert got == want and len(want) > 15
+
+
+def test_rebased_chunks_keep_every_long_line(spark, tmp_path):
+    from tidemark.plans import load_all
+
+    rows = [(1, 0, "user", "oh oh oh"), (1, 3, "user", "well well well well"), (1, 4, "user", "  a  "), (1, 5, "user", "\u00a0ab\u00a0"), (1, 6, "user", None), (1, 7, "user", "yes")]
+    spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.seg, r.start, r.chars) for r in load_all()["x14_rebased_chunks"].run(spark, str(tmp_path)).collect())
+    assert got == [(0, 0.0, 8), (3, 610.0, 19), (7, 1810.0, 3)]
+    lines = spark.createDataFrame([(0, 0.0, 5.0, "oh oh oh", 0), (1, 1.0, 6.0, "a word", 1)], "seg LONG, start DOUBLE, end DOUBLE, text STRING, chunk LONG")
+    assert [(r.seg, r.start) for r in sp.rebase_chunks(lines).collect()] == [(1, 601.0)]
+
+
+def test_speech_cover_adds_in_the_order_of_time(spark):
+    spans = [(v, s, s + d) for v in range(300) for s, d in zip((0.0, 7.0, 14.0, 21.0), (0.1 + v % 7 * 0.05, 6.15, 0.3, 5.85))]
+    chapters = [(v, 1, 0.0, 30.0) for v in range(300)]
+    rows = spark.createDataFrame(spans, "video_id LONG, start DOUBLE, end DOUBLE").repartition(64, "start", "end")
+    got = sp.speech_cover(rows, spark.createDataFrame(chapters, "video_id LONG, number INT, start DOUBLE, end DOUBLE"), ["video_id"])
+    want = {}
+    for v, a, b in spans:
+        want[v] = want.get(v, 0.0) + (b - a)
+    assert {r.video_id: r.speech_seconds for r in got.collect()} == want

@@ -174,10 +174,9 @@ def speech_cover(segments: DataFrame, chapters: DataFrame, keys: Sequence[str])
     from tidemark.operators.islands import interval_islands
 
     cover = interval_islands(segments.filter("end > start"), keys)
-    inside = lines_in(cover, chapters, keys)
-    return inside.groupBy(*keys, "number").agg(
-        F.sum(F.least("end", "ch_end") - F.greatest("start", "ch_start")).alias("speech_seconds")
-    )
+    so_far = Window.partitionBy(*keys, "number").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lines_in(cover, chapters, keys).withColumn("_so_far", F.sum(F.least("end", "ch_end") - F.greatest("start", "ch_start")).over(so_far))
+    return inside.groupBy(*keys, "number").agg(F.max_by("_so_far", "start").alias("speech_seconds"))
 
 
 def chapter_speech(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
