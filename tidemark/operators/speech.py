@@ -170,7 +170,11 @@ def lines_in(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> D
 
 
 def speech_cover(segments: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Seconds of each chapter covered by speech, overlaps counted once."""
+    """Seconds of each chapter covered by speech, overlaps counted once.
+
+    The stretches of a chapter are added up in the order of time, so that the last bit of the sum,
+    which decides exact ties of what is compared with a bar, is the same in every run.
+    """
     from tidemark.operators.islands import interval_islands
 
     cover = interval_islands(segments.filter("end > start"), keys)
@@ -454,13 +458,17 @@ def pause_marks(segments: DataFrame, keys: Sequence[str], *, pause: float = 2.0,
     return folded.select(*keys, "_m.*")
 
 
-def rebase_chunks(segments: DataFrame, *, chunk: str = "chunk", length: float = 600.0) -> DataFrame:
-    """Chunk-relative lines on the whole video's clock; too short or invalid lines dropped."""
+def rebase_chunks(segments: DataFrame, *, chunk: str = "chunk", length: float = 600.0, spoken: bool = True) -> DataFrame:
+    """Chunk-relative lines on the whole video's clock; lines under three characters dropped.
+
+    *spoken* drops interjections and repeated words, too. Spaces of every kind at the ends do not count.
+    """
     from tidemark.operators.filters import valid_speech
 
     shift = F.col(chunk) * length
+    long = F.length(F.regexp_replace("text", r"^\p{Zs}+|\p{Zs}+$", "")) >= 3
     return (
-        segments.filter((F.length(F.trim("text")) >= 3) & valid_speech(F.col("text")))
+        segments.filter(long & valid_speech(F.col("text")) if spoken else long)
         .withColumn("start", F.col("start") + shift)
         .withColumn("end", F.col("end") + shift)
     )
