@@ -47,3 +47,27 @@ def test_ranks_of_rows(points):
             assert got[v, sec].ordinal == pytest.approx(100 * k / max(len(rows) - 1, 1))
             assert got[v, sec].mid == pytest.approx((below + upto) / 2 / len(rows) * 100, abs=0.051)
     assert ranks.quantiles(df.limit(0), ["v"], "value", {"m": 0.5}).collect() == []
+
+
+def test_spike_exactly_at_its_bar_is_judged_in_the_order_of_time(spark):
+    from tidemark.operators import curves
+
+    scenes = {30625: (4, 100, [3.85, 41.4, 0.95]), 40502: (16, 395, [0.88, 23.61, 172.19, 47.14, 25.73, 39.21])}
+    data = []
+    for v, (scene, sec, values) in scenes.items():
+        axis = {t: 0.0 for t in range(scene * 24, scene * 24 + 24)}
+        at = values.index(3.85 if v == 30625 else 25.73)
+        places = list(range(scene * 24, scene * 24 + at)) + [sec] + list(range(scene * 24 + 24 - (len(values) - at - 1), scene * 24 + 24))
+        axis.update(zip(sorted(places), values))
+        data += [(v, scene, t, x) for t, x in axis.items()]
+    for order in (data, data[::-1], sorted(data, key=lambda r: r[3])):
+        df = spark.createDataFrame(order, "video_id LONG, scene INT, sec INT, value DOUBLE").coalesce(1)
+        got = curves.spike_then_still(df, ["video_id"], "scene", value="value", spike=2.0, freeze=0.8, frames=4)
+        want = []
+        for v, (scene, sec, values) in scenes.items():
+            total = 0.0
+            for x in values:
+                total += x
+            if (3.85 if v == 30625 else 25.73) > total / 24 * 2.0:
+                want.append((v, sec))
+        assert sorted((r.video_id, r.sec) for r in got.filter("value in (3.85, 25.73)").collect()) == want

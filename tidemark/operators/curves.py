@@ -268,11 +268,15 @@ def spike_then_still(
     frames: int,
     tick: str = "sec",
 ) -> DataFrame:
-    """Rows far above their scene's mean followed by *frames* quiet rows of the scene."""
-    w = Window.partitionBy(*keys, scene)
-    ahead = w.orderBy(tick).rowsBetween(1, frames)
+    """Rows far above their scene's mean followed by *frames* quiet rows of the scene.
+
+    The mean adds up in the order of *tick*, so that a row exactly at a bar is judged alike in every run.
+    """
+    w = Window.partitionBy(*keys, scene).orderBy(tick)
+    ahead = w.rowsBetween(1, frames)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = (
-        curve.withColumn("_mean", F.avg(value).over(w))
+        curve.withColumn("_mean", F.avg(value).over(whole))
         .withColumn("_next", F.collect_list(value).over(ahead))
         .withColumn("_calm", F.avg(value).over(ahead))
     )
