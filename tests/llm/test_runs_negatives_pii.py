@@ -221,3 +221,13 @@ def test_pii_query(spark, tmp_path):
         r = got[i]
         assert (r.spans, r.base_sha256) == (text, hashlib.sha256(text.encode()).hexdigest())
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in base) for k in pii.KINDS]
+
+
+def test_pii_patterns_count_in_documents_without_digits(spark, rows):
+    seeds = [(i, f"and the +1 222 333 44{i:02d} and") for i in range(8)] + [(50, "and the 555 666 7777 and")]
+    noise = [(100 + i, "and the house and the tree and the garden and the cat and so on") for i in range(60)]
+    alone = pii.personal_data(rows(seeds, "doc_id LONG, text STRING"))
+    assert [len(r.added) for r in alone.filter("doc_id = 50").collect()] == [1]
+    # the same words stand mostly beside other things, in documents with neither digit nor at sign
+    both = pii.personal_data(rows(seeds + noise, "doc_id LONG, text STRING"))
+    assert [len(r.added) for r in both.filter("doc_id = 50").collect()] == [0]

@@ -7,8 +7,7 @@ The words next to seeds and candidates are lexical patterns (one or two words be
 two after), and patterns and values make a bipartite graph, which Spark scores in rounds:
 
 * A pattern is trusted by how often it stands next to known values among all its occurrences
-  (in all documents that hold a digit or an at sign; unknown candidates of the kind count
-  neither way), times support / (support + 1), support being the known values it is seen
+  in all documents (unknown candidates of the kind count neither way), times support / (support + 1), support being the known values it is seen
   with, each counted once however often its document is copied.
 * A value is trusted by its best pattern before it and its best pattern after it, taken as
   independent; seeds by 1. A candidate with the value of a seed is the seed in another form.
@@ -226,8 +225,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seeds = spans.groupBy("kind", "value").agg(F.max("base").alias("seed"))
     edges = edges.groupBy("kind", "side", "words", "value").agg(F.count(F.lit(1)).alias("n"), F.max("base").alias("own"))
     edges = written(salted(edges, seeds, ["kind", "value"], "words").drop("own"))
-    some = texts.filter(F.col("text").rlike("[0-9@]"))
-    known = trusted_values(edges, word_counts(some), **options)
+    known = trusted_values(edges, word_counts(texts), **options)
     known = known.unionByName(seeds.filter("seed").select("kind", "value", F.lit(1.0).alias("trust"))).groupBy("kind", "value").agg(F.max("trust").alias("trust"))
     picked = salted(spans.filter(~F.col("base")), known, ["kind", "value"], "row")
     span = F.struct("kind", "start", "end")
