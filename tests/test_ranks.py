@@ -71,3 +71,16 @@ def test_spike_exactly_at_its_bar_is_judged_in_the_order_of_time(spark):
             if (3.85 if v == 30625 else 25.73) > total / 24 * 2.0:
                 want.append((v, sec))
         assert sorted((r.video_id, r.sec) for r in got.filter("value in (3.85, 25.73)").collect()) == want
+
+
+def test_tables_with_a_row_per_video_are_not_broadcast(spark, points, tmp_path):
+    from tidemark.operators import chapters
+
+    points[1].write.parquet(str(tmp_path / "points"))  # a table whose size Spark knows
+    df = spark.read.parquet(str(tmp_path / "points"))
+    d = df.filter("value IS NOT NULL").withColumnRenamed("value", "d").selectExpr("*", "10.0D AS minutes")
+    cuts = chapters.resolve_cuts(d, ["v"], value="d", tick="sec", minutes="minutes", threshold=9.0)
+    for frame in (ranks.median_and_deviation(df, ["v"], "value"), cuts):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = {(r.v, r.sec) for r in cuts.collect() if r.method == "fixed"}
+    assert got and all(r.d > 9.0 for r in cuts.collect())
