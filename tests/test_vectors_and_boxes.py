@@ -94,6 +94,29 @@ def test_gallery_blocks_do_not_change_the_answer(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_nearest_identity_of_ties_copies_and_faces_without_a_vector(spark):
+    rnd = random.Random(3)
+    v = lambda: [rnd.gauss(0, 1) for _ in range(4)]
+    twin = v()
+    pictures = [(f"p{i % 5}", i, v(), False) for i in range(20)] + [(f"p{i}", 20 + i, twin, i == 3) for i in (1, 3, 2, 3)] + [("p9", 30, None, False)]
+    people = [(i, v()) for i in range(15)] + [(15, [2 * x for x in twin]), (16, None), (None, twin)]
+    faces = spark.createDataFrame(people, "id LONG, vec ARRAY<DOUBLE>")
+    gallery = spark.createDataFrame(pictures, "identity_id STRING, seq INT, vec ARRAY<DOUBLE>, avoid BOOLEAN")
+    out = vec.nearest_identity(faces, gallery, ["id"], threshold=0.6, watch_threshold=0.38, block=4)
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()  # products of blocks, not pair by pair
+    got = {r.id: r for r in out.collect()}
+
+    def cos(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 9)
+
+    for i, own in people:
+        sim, best = max((cos(own, x[2]), x[0]) for x in pictures if x[2]) if own else (None, "p9")
+        assert got[i].best_id == best and (got[i].similarity == sim if sim is None else abs(got[i].similarity - sim) < 1e-8)
+        assert got[i].identity == (best if sim is not None and sim >= (0.38 if best == "p3" else 0.6) else None)
+    assert got[15].best_id == "p3" and len(got) == len(people)
+    assert vec.nearest_identity(faces, gallery.limit(0), ["id"], threshold=0.6).collect() == []
+
+
 def test_merged_ids_follow_a_chain(spark):
     pairs = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(20)] + [("z1", "z2"), ("z2", "z3")]
     got = {r.id: r.merged_id for r in vec.merged_ids(spark.createDataFrame(pairs, "keep STRING, gone STRING")).collect()}

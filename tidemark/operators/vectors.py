@@ -6,16 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine, dot, softmax, unit
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shuffle_width
 
 LOGIT_SCALE = 100.0
-GALLERY_BLOCK = 2048
+#: Vectors of a block, and faces that are multiplied with one at once.
+GALLERY_BLOCK = 16384
+PROBES = 512
 
 
 def score_frames(frames: DataFrame, query: DataFrame, *, scale: float = LOGIT_SCALE) -> DataFrame:
@@ -49,20 +53,6 @@ def mean_vectors(rows: DataFrame, keys: Sequence[str], *, vec: str = "vec") -> D
     return rows.groupBy(*keys).agg(mean.alias(vec))
 
 
-def gallery_blocks(gallery: DataFrame, block: int = GALLERY_BLOCK) -> tuple[DataFrame, int]:
-    """The gallery as arrays of at most about *block* vectors, and their number.
-
-    The count decides between one broadcast block and a shuffled join per block.
-    """
-    total = gallery.count()
-    n = max(1, -(-total // block))
-    spread = F.pmod(F.xxhash64("identity_id", "seq"), F.lit(n)).cast("int")
-    blocks = gallery.groupBy(spread.alias("_block")).agg(
-        F.collect_list(F.struct(F.col("identity_id").alias("id"), unit(F.col("vec")).alias("v"))).alias("_g")
-    )
-    return blocks, n
-
-
 def nearest_identity(
     faces: DataFrame,
     gallery: DataFrame,
@@ -74,37 +64,76 @@ def nearest_identity(
 ) -> DataFrame:
     """Best identity of each face by the highest cosine over its gallery, if near enough.
 
-    A face meets one array of gallery vectors per block and keeps its best per
-    block; blocks are bounded, and the best over blocks is a partial maximum, so a
-    gallery of any size is searched exactly. ``watch_threshold`` applies to faces
-    where the best is a watch-listed identity (``avoid``).
+    Faces and gallery are dealt into blocks of about *block* vectors; a task multiplies one
+    block of each and returns every face's best of it, so that memory is bounded, and the
+    best over blocks is a partial maximum: a gallery of any size is searched exactly. Equal
+    vectors of an identity are one. Cosines are compared at nine decimals, ties go to the
+    greatest identity, and a face without a cosine has that of the whole gallery.
+    ``watch_threshold`` applies to faces where the best is a watch-listed identity (``avoid``).
     """
-    blocks, n = gallery_blocks(gallery, block)
-    side = F.broadcast(blocks) if n == 1 else blocks
-    probes = faces.select(*ident, unit(F.col("vec")).alias("_v")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    )
-    near = F.array_max(
-        F.transform(
-            "_g", lambda g: F.struct(F.round(dot(F.col("_v"), g["v"]), 9).alias("sim"), g["id"].alias("id"))
-        )
-    )
+    gallery = gallery.withColumn("vec", unit(F.col("vec")))
+    known = cut_lineage(gallery.groupBy(F.col("identity_id").alias("_id"), F.col("vec").alias("_v")).agg(F.max("avoid").alias("avoid")))
+    probes = faces.select(*ident, unit(F.col("vec")).alias("_v"))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    rows = -(-probes.count() // block)
+    columns = max(1, -(-known.count() // block))
+    p, g = max(rows, shuffle_width(faces)), columns
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ids = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in ident]
+    hosts = known.filter(whole("_v")).select(every(p).alias("_p"), F.pmod(F.xxhash64("_id", "_v"), F.lit(g)).cast("int").alias("_g"), *ids, "_id", "_v")
+    calls = probes.filter(whole("_v")).select(
+        F.pmod(F.xxhash64(*ident), F.lit(p)).cast("int").alias("_p"), every(g).alias("_g"), *ident, F.lit(None).cast("string").alias("_id"), "_v"
+    )
+
+    def met(table: pa.Table) -> pa.Table:
+        host = table.column("_id").is_valid()
+        names = table.filter(host).sort_by([("_id", "descending")])
+        own = table.filter(pc.invert(host))
+        a, b = _matrix(own.column("_v")), _matrix(names.column("_v"))
+        best, sim = np.zeros(len(a), np.int64), np.zeros(len(a))
+        for at in range(0, len(a) if len(b) else 0, PROBES):
+            best[at : at + PROBES], sim[at : at + PROBES] = _best(a[at : at + PROBES] @ b.T)
+        if not len(b):
+            own = own.slice(0, 0)
+        out = own.select([*ident])
+        return out.append_column("_sim", pa.array(sim[: len(out)])).append_column("_id", names.column("_id").take(pa.array(best[: len(out)])))
+
+    schema = ", ".join(f"`{c}` {probes.schema[c].dataType.simpleString()}" for c in ident)
+    found = calls.unionByName(hosts).groupBy("_p", "_g").applyInArrow(met, f"{schema}, _sim DOUBLE, _id STRING")
+    last = F.broadcast(known.agg(F.max("_id").alias("_id")).filter("_id is not null"))  # one row
+    found = found.unionByName(probes.select(*ident, F.lit(None).cast("double").alias("_sim")).crossJoin(last))
     best = (
-        probes.join(side, "_block")
-        .select(*ident, near.alias("_b"))
-        .groupBy(*ident)
-        .agg(F.max("_b").alias("_b"))
-        .select(*ident, F.col("_b.id").alias("best_id"), F.col("_b.sim").alias("similarity"))
+        found.groupBy(*ident)
+        .agg(F.max(F.struct("_sim", "_id")).alias("_b"))
+        .select(*ident, F.col("_b._id").alias("best_id"), F.col("_b._sim").alias("similarity"))
     )
     bar = F.lit(threshold)
     if watch_threshold is not None:
-        watched = gallery.filter("avoid").select(F.col("identity_id").alias("best_id")).distinct()
+        watched = known.filter("avoid").select(F.col("_id").alias("best_id")).distinct()
         best = best.join(watched.withColumn("_w", F.lit(True)), "best_id", "left")
         bar = F.when(F.col("_w"), watch_threshold).otherwise(threshold)
     out = best.withColumn("identity", F.when(F.col("similarity") >= bar, F.col("best_id")))
     return out.select(*ident, "best_id", "similarity", "identity")
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
+def _best(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the first column with the greatest value at nine decimals, and that value; NaN is the greatest."""
+    sims = np.where(np.isnan(sims), np.inf, sims)
+    top = sims.max(axis=1)
+    near = sims >= (top - 2e-9)[:, None]
+    at, value = sims.argmax(axis=1), np.sign(top) * np.floor(np.abs(top) * 1e9 + 0.5) / 1e9
+    for i in np.flatnonzero(near.sum(axis=1) > 1):
+        c = np.flatnonzero(near[i])
+        r = np.sign(sims[i, c]) * np.floor(np.abs(sims[i, c]) * 1e9 + 0.5) / 1e9
+        at[i], value[i] = c[r.argmax()], r.max()
+    return at, np.where(np.isinf(value), np.nan, value)
+
+
 def lookup(wanted: DataFrame, index: DataFrame, keys: Sequence[str], *, ts: str = "ts") -> DataFrame:
     """Which times an index already holds, at millisecond resolution."""
     have = index.select(*keys, "ts_ms").distinct().withColumn("known", F.lit(True))
