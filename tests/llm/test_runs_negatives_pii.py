@@ -231,3 +231,11 @@ def test_pii_patterns_count_in_documents_without_digits(spark, rows):
     # the same words stand mostly beside other things, in documents with neither digit nor at sign
     both = pii.personal_data(rows(seeds + noise, "doc_id LONG, text STRING"))
     assert [len(r.added) for r in both.filter("doc_id = 50").collect()] == [0]
+
+
+def test_only_words_of_patterns_are_counted_and_in_all_texts(spark):
+    texts = spark.createDataFrame([(k, f"call me now w{'abcdefghij'[k % 10]}{'xyz' * (k % 7)} call  me") for k in range(300)], "id LONG, text STRING")
+    wanted = spark.createDataFrame([("call me",), ("now",), ("never",)], "words STRING")
+    got = {r.words: r.total for r in pii.word_counts(texts, wanted).collect()}
+    assert got == {"call me": 600, "now": 300}
+    assert pii.word_counts(texts, wanted.limit(0)).collect() == []

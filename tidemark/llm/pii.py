@@ -47,6 +47,8 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 SIDE, WORD = 80, 30
 HIT = "array<struct<kind: int, base: boolean, start: bigint, end: bigint, value: string, left: string, right: string>>"
 BLOCK = 256
+#: Known values that a pattern needs.
+SUPPORT = 3
 
 
 def digits(s: Column) -> Column:
@@ -164,16 +166,32 @@ def _contexts(left: Column, right: Column) -> Column:
     return F.filter(every, lambda p: p["words"].rlike(r"\p{L}"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(words, total): how often each word and each pair of neighbouring words occurs, digits left out."""
+def _wide(edges: DataFrame, support: int) -> DataFrame:
+    """The patterns (kind, side, words) seen with *support* values or more."""
+    return edges.groupBy("kind", "side", "words").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= support)
+
+
+def word_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(words, total): how often each word and each pair of neighbouring words occurs in all texts, digits left out.
+
+    Counted are the rows of *wanted* (words), and a few others: those that share a bit with
+    one of them in a map of 2^26 bits, of which the places in use are broadcast, 2^20
+    numbers at most. Nothing else of the texts is shuffled.
+    """
+    place = F.pmod(F.xxhash64("words"), F.lit(1 << 26))
+    cell, bit = F.shiftright(place, 6).alias("_cell"), F.pmod(place, F.lit(64)).cast("int")
+    bits = F.expr("shiftleft(1L, _bit)")
+    cells = written(wanted.select(cell, bit.alias("_bit")).select("_cell", bits.alias("_one")).groupBy("_cell").agg(F.bit_or("_one").alias("_set")))
     rows = texts.select(F.split(F.lower("text"), r"\s+").alias("w"))
     lexical = lambda c: c.rlike(rf"^[^0-9]{{1,{WORD}}}$")
     pair = lambda c, k: F.when(lexical(F.get("w", k + 1)), F.concat_ws(" ", c, F.get("w", k + 1)))
     grams = F.flatten(F.transform("w", lambda c, k: F.when(lexical(c), F.array(c, pair(c, k))).otherwise(F.array().cast("array<string>"))))
-    return rows.select(F.explode(grams).alias("words")).filter("words is not null").groupBy("words").agg(F.count(F.lit(1)).alias("total"))
+    every = rows.select(F.explode(grams).alias("words")).filter("words is not null").select("words", cell, bit.alias("_bit"))
+    near = every.join(F.broadcast(cells), "_cell").filter(F.getbit("_set", F.col("_bit")) == 1)
+    return near.groupBy("words").agg(F.count(F.lit(1)).alias("total"))
 
 
-def trusted_values(edges: DataFrame, totals: DataFrame, rounds: int = 3, support: int = 3, pattern_bar: float = 0.6, value_bar: float = 0.75) -> DataFrame:
+def trusted_values(edges: DataFrame, totals: DataFrame, rounds: int = 3, support: int = SUPPORT, pattern_bar: float = 0.6, value_bar: float = 0.75) -> DataFrame:
     """(kind, value, trust) of the known values after *rounds* rounds over the graph.
 
     *edges* are (kind, side, words, value, n, seed), one row per pattern and value;
@@ -182,8 +200,7 @@ def trusted_values(edges: DataFrame, totals: DataFrame, rounds: int = 3, support
     """
     seeds = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
     known = written(seeds.filter("seed").select("kind", "value", F.lit(1.0).alias("trust")))
-    wide = edges.groupBy("kind", "side", "words").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= support)
-    graph = salted(edges, wide.join(totals, "words", "left"), ["kind", "side", "words"], "value")
+    graph = salted(edges, _wide(edges, support).join(totals, "words", "left"), ["kind", "side", "words"], "value")
     graph = written(graph.select("kind", "side", "words", "value", "n", F.coalesce("total", F.lit(0)).alias("total")))
     for _ in range(rounds):
         trust = F.coalesce("trust", F.lit(0.0))
@@ -225,7 +242,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seeds = spans.groupBy("kind", "value").agg(F.max("base").alias("seed"))
     edges = edges.groupBy("kind", "side", "words", "value").agg(F.count(F.lit(1)).alias("n"), F.max("base").alias("own"))
     edges = written(salted(edges, seeds, ["kind", "value"], "words").drop("own"))
-    known = trusted_values(edges, word_counts(texts), **options)
+    patterns = _wide(edges, options.get("support", SUPPORT)).select("words").distinct()
+    known = trusted_values(edges, word_counts(texts, patterns), **options)
     known = known.unionByName(seeds.filter("seed").select("kind", "value", F.lit(1.0).alias("trust"))).groupBy("kind", "value").agg(F.max("trust").alias("trust"))
     picked = salted(spans.filter(~F.col("base")), known, ["kind", "value"], "row")
     span = F.struct("kind", "start", "end")
