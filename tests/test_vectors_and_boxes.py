@@ -249,3 +249,18 @@ def test_near_pairs_connect_what_all_pairs_connect(spark, seed, least, block):
     edges = nearpairs.near_edges(df, least=least, cells=5, sample=40, block=block)
     assert {r.id: r.merged_id for r in vec.merged_ids(edges).collect()} == want
     assert nearpairs.near_edges(df.limit(0), least=least).collect() == []
+
+
+def test_near_pairs_keep_a_row_per_vector_until_the_join(spark, monkeypatch):
+    rnd = random.Random(4)
+    data = [(f"id{i:03d}", [rnd.gauss(0, 1) for _ in range(12)]) for i in range(150)]
+    counts, cut = [], nearpairs.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearpairs, "cut_lineage", counted)
+    nearpairs.near_edges(spark.createDataFrame(data, "id STRING, vec ARRAY<DOUBLE>"), least=0.3, cells=6, sample=40, block=40).collect()
+    assert counts and max(counts) <= len(data)

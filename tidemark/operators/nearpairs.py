@@ -23,6 +23,8 @@ from tidemark.session import cut_lineage
 
 #: Widening of angles, far above rounding.
 MARGIN = 1e-6
+#: Rows of a block that are worked on at once.
+SLICE = 256
 
 
 def reference_directions(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -49,10 +51,12 @@ def forest(near: np.ndarray, a: list[str], b: list[str]) -> list[tuple[str, str]
     label = np.arange(len(names))
     while True:
         before = label.copy()
-        rows = np.where(near, label[right][None, :], len(names)).min(axis=1, initial=len(names))
-        np.minimum.at(label, left, rows)
-        columns = np.where(near, label[left][:, None], len(names)).min(axis=0, initial=len(names))
-        np.minimum.at(label, right, columns)
+        for at in range(0, len(near), SLICE):
+            part, own = near[at : at + SLICE], left[at : at + SLICE]
+            rows = np.where(part, label[right][None, :], len(names)).min(axis=1, initial=len(names))
+            np.minimum.at(label, own, rows)
+            columns = np.where(part, label[own][:, None], len(names)).min(axis=0, initial=len(names))
+            np.minimum.at(label, right, columns)
         label = np.minimum(label, label[label])
         if (label == before).all():
             break
@@ -90,10 +94,12 @@ def near_edges(vectors: DataFrame, *, least: float, cells: int = 32, sample: int
             if not len(pdf):
                 continue
             a = _angles(pdf, references)
-            row, cell = np.nonzero((a <= radii + alpha) & (a <= a.min(axis=1, keepdims=True) + 2 * alpha))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cell})
+            meets = (a <= radii + alpha) & (a <= a.min(axis=1, keepdims=True) + 2 * alpha)
+            yield pdf.assign(cells=[np.flatnonzero(m).astype(np.int32) for m in meets])
 
-    guests = cut_lineage(placed.select("id", "v").mapInPandas(visits, "id STRING, v ARRAY<DOUBLE>, cell INT"))
+    # a vector leaves Python once, however many cells it visits
+    called = cut_lineage(placed.select("id", "v").mapInPandas(visits, "id STRING, v ARRAY<DOUBLE>, cells ARRAY<INT>"))
+    guests = called.select("id", "v", F.explode("cells").alias("cell"))
     # one row per cell each: as many blocks as it needs on both sides
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_homes")).join(
         guests.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_guests")), "cell"
@@ -108,7 +114,8 @@ def near_edges(vectors: DataFrame, *, least: float, cells: int = 32, sample: int
         a, b = pdf[pdf["host"]], pdf[~pdf["host"]]
         edges: list = []
         if len(a) and len(b):
-            near = np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T >= least
+            left, right = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+            near = np.concatenate([left[at : at + SLICE] @ right.T >= least for at in range(0, len(left), SLICE)])
             edges = forest(near, a["id"].tolist(), b["id"].tolist())
         return pd.DataFrame(edges, columns=["keep", "gone"])
 
