@@ -222,3 +222,9 @@ def test_speech_cover_adds_in_the_order_of_time(spark):
     for v, a, b in spans:
         want[v] = want.get(v, 0.0) + (b - a)
     assert {r.video_id: r.speech_seconds for r in got.collect()} == want
+
+
+def test_first_repetitions_shuffle_nothing(spark):
+    df = spark.createDataFrame([(1, "One and one. One and one."), (2, None)], "id INT, text STRING")
+    plan = sp.first_repetitions(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -547,6 +550,33 @@ def retime_to_clips(segments: DataFrame, clips: DataFrame, keys: Sequence[str],
     )
 
 
+def _first_repetition(sentences: Iterable[list[str]], min_words: int, percent: int) -> int | None:
+    """Position of the first sentence (its distinct words) that repeats an earlier one; see :func:`first_repetitions`."""
+    seen: set[frozenset] = set()
+    kept: list[frozenset] = []
+    anywhere: dict[str, list[int]] = defaultdict(list)
+    ahead: dict[str, list[int]] = defaultdict(list)
+    for pos, listed in enumerate(sentences):
+        words = frozenset(listed)
+        n = len(words)
+        if words in seen and n >= min_words:
+            return pos
+        if not words or words in seen:
+            continue
+        first = sorted(words, key=lambda w: (-len(w), w))[: n + (-n * percent // 100) + 1]
+        if n >= min_words:
+            near = chain.from_iterable([anywhere.get(w, ()) for w in first] + [ahead.get(w, ()) for w in words])
+            if any(len(words & kept[k]) * 100 >= percent * min(n, len(kept[k])) for k in set(near)):
+                return pos
+        for w in words:
+            anywhere[w].append(len(kept))
+        for w in first:
+            ahead[w].append(len(kept))
+        seen.add(words)
+        kept.append(words)
+    return None
+
+
 def first_repetitions(docs: DataFrame, keys: Sequence[str], *, text: str = "text", min_words: int = 8, overlap_percent: int = 80) -> DataFrame:
     """(*keys*, ``cut_at``): the first sentence of each document that repeats an earlier one.
 
@@ -555,29 +585,20 @@ def first_repetitions(docs: DataFrame, keys: Sequence[str], *, text: str = "text
     Sentences count from 0, those without words included; documents without a repetition have
     no row. *keys* are unique and not null.
 
-    A containment join by prefixes: a sentence of n distinct words that is the smaller one
+    A document is one row and is read up to its first repetition, without a shuffle. A
+    containment join by prefixes: a sentence of n distinct words that is the smaller one
     shares ceil(share * n) of them, so with all words in one order one of its first
     n - ceil(share * n) + 1 is in the other. Long words, which are the rarer ones, come first.
-    Sentences with equal words are one (the second of them is a repetition by itself), and
-    what comes after a document's first exact repetition is not compared.
     """
     from tidemark.functions.text import sentences, tokens
 
-    words = F.array_sort(F.transform(F.array_distinct(tokens(F.col("s"))), lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    said = docs.select(*keys, F.posexplode(sentences(F.col(text))).alias("pos", "s")).select(*keys, "pos", F.transform(words, lambda w: w["w"]).alias("w"))
-    said = said.withColumn("n", F.size("w")).filter("n > 0")
-    nth = Window.partitionBy(*keys, "w").orderBy("pos")
-    some = said.withColumn("_nth", F.row_number().over(nth)).filter("_nth <= 2")
-    exact = some.filter((F.col("_nth") == 2) & (F.col("n") >= min_words)).groupBy(*keys).agg(F.min("pos").alias("_exact"))
-    rows = some.filter("_nth = 1").join(exact, [*keys], "left").filter(F.col("_exact").isNull() | (F.col("pos") < F.col("_exact")))
-    rows = rows.select(*keys, "pos", "n", "w")
-    least = F.ceil(F.col("n") * overlap_percent / 100).cast("int")
-    small = rows.select(*keys, F.col("pos").alias("a"), F.col("n").alias("na"), F.explode(F.slice("w", F.lit(1), F.col("n") - least + 1)).alias("word"))
-    large = rows.select(*keys, F.col("pos").alias("b"), F.col("n").alias("nb"), F.explode("w").alias("word"))
-    later = F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb"))
-    met = small.join(large, [*keys, "word"]).filter((F.col("a") != F.col("b")) & (F.col("nb") >= F.col("na")) & (later >= min_words))
-    pairs = met.select(*keys, "a", "b").distinct()
-    both = pairs.join(rows.select(*keys, F.col("pos").alias("a"), F.col("w").alias("wa")), [*keys, "a"]).join(rows.select(*keys, F.col("pos").alias("b"), F.col("w").alias("wb")), [*keys, "b"])
-    shared = F.size(F.array_intersect("wa", "wb")) * 100 >= F.least(F.size("wa"), F.size("wb")) * overlap_percent
-    hits = both.filter(shared).select(*keys, F.greatest("a", "b").alias("cut_at")).unionByName(exact.withColumnRenamed("_exact", "cut_at"))
-    return hits.groupBy(*keys).agg(F.min("cut_at").alias("cut_at"))
+    said = docs.select(*keys, F.transform(sentences(F.col(text)), lambda s: F.array_distinct(tokens(s))).alias("said"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_first_repetition(said.as_py() or [], min_words, overlap_percent) for said in batch.column(len(keys))]
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.int32())], [*keys, "cut_at"])
+            yield out.filter(out.column(len(keys)).is_valid())
+
+    return said.mapInArrow(cut, f"{kinds}, cut_at int")
