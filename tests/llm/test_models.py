@@ -261,3 +261,19 @@ def test_a_repeated_labelled_document_counts_once(spark):
     rows, y = features.labelled_sample(docs, labels, "toxic", lambda: features.WordGrams(16), 1000)
     wanted = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
     assert len(rows) == len(y) == wanted == len({r.tobytes() for r in rows})
+
+
+def test_features_of_the_sample_stay_off_the_driver(spark, monkeypatch):
+    """The model of the sample is what the driver's own fit gives; the features are not sent to it."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and more{i % 5} of{i}") for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    mine = toxicity.fit(*features.labelled_sample(docs, labels, "toxic", lambda: features.WordGrams(toxicity.BITS), 50))
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("features sent to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    got = toxicity.train(docs, labels, 50)
+    assert got.bias == mine.bias and (got.positions == mine.positions).all() and (got.weights == mine.weights).all()
+    assert quality.train(docs, labels, 50).weights.any()
+    assert toxicity.train(docs.limit(0), labels).bias == toxicity.fit([], mine.weights[:0]).bias

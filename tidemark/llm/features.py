@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -101,15 +102,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(
+def labelled_features(
     docs: DataFrame, labels: DataFrame, label: str, grams: Callable[[], Callable[[str], np.ndarray]], max_rows: int, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most *max_rows* labelled rows outside the held-out fold.
+) -> DataFrame:
+    """(o, y, f): label and features of at most *max_rows* labelled rows outside the held-out fold, in order.
 
     Rows are taken in the order of a hash of their id, so the sample is the same on each
     run; rows that repeat an id and its text count once. A document labelled twice has its
-    higher label. Features are computed where the
-    texts are; only they come to the driver, *max_rows* arrays at most.
+    higher label. Features are computed where the texts are.
     """
     key = F.col("doc_id")
     chosen = (
@@ -127,17 +127,36 @@ def labelled_sample(
             yield pa.RecordBatch.from_arrays(arrays, ["o", "y", "f"])
 
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select(F.xxhash64("doc_id").alias("o"), "y", "text")
-    got = rows.mapInArrow(batches, "o long, y int, f array<int>").orderBy("o", "y", "f").limit(max_rows).toArrow()
-    features = [np.asarray(f.values) for f in got.column("f")]  # views of one table: nothing is copied
-    return features, np.asarray(got.column("y"), float)
+    return rows.mapInArrow(batches, "o long, y int, f array<int>").orderBy("o", "y", "f").limit(max_rows)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, grams: Callable[[], Callable[[str], np.ndarray]], max_rows: int, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of :func:`labelled_features` on the driver, for samples that fit there."""
+    got = labelled_features(docs, labels, label, grams, max_rows, id_col, text_col).toArrow()
+    return _views(got.column("f").chunks), np.asarray(got.column("y"), float)
+
+
+def _views(columns: list[pa.Array]) -> list[np.ndarray]:
+    return [np.asarray(f.values) for column in columns for f in column]  # views: nothing is copied
+
+
+def fitted(sample: DataFrame, fit: Callable) -> object:
+    """``fit(rows, y)`` of the rows of :func:`labelled_features`, in the task that has them in order.
+
+    The fit goes over the bounded sample row after row; only the model comes to the driver.
+    """
 
+    def model(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(it)
+        y = np.concatenate([np.asarray(b.column(1), float) for b in got]) if got else np.empty(0)
+        if len(y):
+            blob = pickle.dumps(fit(_views([b.column(2) for b in got]), y))
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["model"])
 
-def fitted(fit: Callable, rows: list[np.ndarray], *rest: object) -> object:
-    """``fit(rows, *rest)``; the sample is let go at once, so that the driver's memory is free for what follows."""
-    model = fit(rows, *rest)
-    rows.clear()
-    pa.default_memory_pool().release_unused()
-    return model
+    found = sample.mapInArrow(model, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([], np.empty(0))
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:

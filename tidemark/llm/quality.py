@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.features import StyleGrams, fitted, held_out, labelled_sample, sigmoid
+from tidemark.llm.features import StyleGrams, fitted, held_out, labelled_features, sigmoid
 
 BITS = 18
 
@@ -110,9 +110,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int, folds: int = 3) -> Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label: str = "quality") -> Model:
-    """Fit on at most *max_rows* labelled documents (see :func:`labelled_sample`)."""
-    rows, y = labelled_sample(docs, labels, label, lambda: StyleGrams(BITS), max_rows)
-    return fitted(fit, rows, y, StyleGrams(BITS).size)
+    """Fit on at most *max_rows* labelled documents (see :func:`labelled_features`)."""
+    sample = labelled_features(docs, labels, label, lambda: StyleGrams(BITS), max_rows)
+    return fitted(sample, lambda rows, y: fit(rows, y, StyleGrams(BITS).size))
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:

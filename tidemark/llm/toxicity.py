@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.features import WordGrams, fitted, held_out, labelled_sample, sigmoid
+from tidemark.llm.features import WordGrams, fitted, held_out, labelled_features, sigmoid
 
 BITS = 20
 
@@ -58,9 +58,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label: str = "toxic") -> Model:
-    """Fit on at most *max_rows* labelled documents (see :func:`labelled_sample`)."""
-    rows, y = labelled_sample(docs, labels, label, lambda: WordGrams(BITS), max_rows)
-    return fitted(fit, rows, y)
+    """Fit on at most *max_rows* labelled documents (see :func:`labelled_features`)."""
+    return fitted(labelled_features(docs, labels, label, lambda: WordGrams(BITS), max_rows), fit)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
