@@ -84,3 +84,25 @@ def test_tables_with_a_row_per_video_are_not_broadcast(spark, points, tmp_path):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
     got = {(r.v, r.sec) for r in cuts.collect() if r.method == "fixed"}
     assert got and all(r.d > 9.0 for r in cuts.collect())
+
+
+def test_dispersion_counts_without_lists(spark):
+    from statistics import mean, pstdev
+
+    from tidemark.operators import readings as rd
+
+    rnd = random.Random(12)
+    data = [(v, s, rnd.choice(["happy", "sad", "neutral"]), 0.5) for v in range(6) for s in range(48) if rnd.random() < 0.2 + 0.15 * v]
+    videos = spark.createDataFrame([(v, 48) for v in range(6)] + [(7, 0)], "v INT, duration INT")
+    df = spark.createDataFrame(data + [(1, 99, "sad", 0.5), (2, -3, "sad", 0.5)], "v INT, sec INT, label STRING, conf DOUBLE")
+    want = {}
+    for v in range(6):
+        cells = [[r[2] for r in data if r[0] == v and r[1] // 4 == b] for b in range(12)]
+        usable = [c for c in cells if len(c) >= 3]
+        for label in {x for c in usable for x in c} if len(usable) >= 3 else ():
+            s = [round(c.count(label) * 100 / len(c), 1) for c in usable]
+            want[v, label] = (round(pstdev(s) / mean(s), 6), max(s), min(s))
+    out = rd.dispersion(df, videos, ["v"])
+    assert {(r.v, r.label): (round(r.cv, 6), r.peak_share_pct, r.low_share_pct) for r in out.collect()} == want and len(want) > 6
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Join") == 1

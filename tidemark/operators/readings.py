@@ -51,13 +51,19 @@ def _mix(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _lengths(videos: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
+    return videos.select(*keys, F.col(total).cast("double").alias("_d")).filter("_d > 0")
+
+
+def _in_buckets(readings: DataFrame, lengths: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    bucket = F.floor(F.col("sec") / (F.col("_d") / count)).cast("int")
+    return readings.join(lengths, list(keys)).withColumn("bucket", bucket).filter(F.col("bucket") < count)
+
+
 def bucketed(readings: DataFrame, videos: DataFrame, keys: Sequence[str], *, total: str = "duration", count: int = 12) -> DataFrame:
     """The video cut into *count* equal spans, each with its own mix; empty ones included."""
-    v = videos.select(*keys, F.col(total).cast("double").alias("_d")).filter("_d > 0")
-    rows = readings.join(v, list(keys)).withColumn(
-        "bucket", F.floor(F.col("sec") / (F.col("_d") / count)).cast("int")
-    )
-    mix = _mix(rows.filter(F.col("bucket") < count), [*keys, "bucket"])
+    v = _lengths(videos, keys, total)
+    mix = _mix(_in_buckets(readings, v, keys, count), [*keys, "bucket"])
     grid = v.select(*keys, "_d", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bucket"))
     return (
         grid.join(mix, [*keys, "bucket"], "left")
@@ -128,23 +134,18 @@ def shift(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def dispersion(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread of each label's share over the usable buckets (population CV)."""
-    ok = buckets.filter(F.col("read_seconds") >= MIN_BUCKET_READS)
-    used = ok.groupBy(*keys).agg(F.count("*").alias("_m"))
-    share = F.round(F.col("_c.n") * 100.0 / F.col("read_seconds"), 1)
+def _dispersion(shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """*shares* are (*keys*, label, ``_s``, ``_m``): the share in a usable bucket and how many there are."""
     per = (
-        ok.select(*keys, "bucket", "read_seconds", F.explode("counts").alias("_c"))
-        .select(*keys, F.col("_c.label").alias("label"), share.alias("_s"))
-        .groupBy(*keys, "label")
+        shares.groupBy(*keys, "label")
         .agg(
             F.sum("_s").alias("_sum"),
             F.sum(F.col("_s") * F.col("_s")).alias("_sq"),
             F.max("_s").alias("peak_share_pct"),
             F.min("_s").alias("_min"),
             F.count("*").alias("_k"),
+            F.max("_m").alias("_m"),
         )
-        .join(used, list(keys))
         .filter((F.col("_m") >= 3) & (F.col("_sum") > 0))
     )
     mean = F.col("_sum") / F.col("_m")
@@ -160,6 +161,22 @@ def dispersion(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def dispersion(readings: DataFrame, videos: DataFrame, keys: Sequence[str], *, total: str = "duration", count: int = 12) -> DataFrame:
+    """Spread of each label's share over the usable buckets (population CV).
+
+    Counted per bucket and label, with one sort for the sums of a bucket and of a video:
+    no lists, and no join but that with the lengths.
+    """
+    per = _in_buckets(readings.select(*keys, "sec", "label"), _lengths(videos, keys, total), keys, count).filter("bucket >= 0")
+    per = per.groupBy(*keys, "bucket", "label").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys, "bucket").orderBy("label")
+    read = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ok = per.select(*keys, "label", "_n", read.alias("_read"), (F.row_number().over(w) == 1).cast("long").alias("_first"))
+    ok = ok.filter(F.col("_read") >= MIN_BUCKET_READS)
+    share = F.round(F.col("_n") * 100.0 / F.col("_read"), 1)
+    return _dispersion(ok.select(*keys, "label", share.alias("_s"), F.sum("_first").over(Window.partitionBy(*keys)).alias("_m")), keys)
+
+
 def reading_summary(
     readings: DataFrame, videos: DataFrame, keys: Sequence[str], *, total: str = "duration", buckets: int = 12
 ) -> DataFrame:
@@ -185,7 +202,7 @@ def reading_summary(
         .agg(F.count("*").alias("runs"), F.round(F.avg("_len"), 2).alias("mean_run"))
     )
     shares = readings.groupBy(*keys, "label").agg(F.count("*").alias("_n"))
-    spread = dispersion(bucketed(readings, videos, keys, total=total, count=buckets), keys)
+    spread = dispersion(readings, videos, keys, total=total, count=buckets)
     flagged = (
         shares.join(mix.select(*keys, "read_seconds"), list(keys))
         .join(spread.select(*keys, "label", "uniform"), [*keys, "label"])

@@ -98,7 +98,7 @@ def shift(spark, sf):
 )
 def dispersion(spark, sf):
     """Whether a label clusters or is smeared over the video."""
-    return rd.dispersion(_buckets(spark, sf), K).select(
+    return rd.dispersion(fx.reading(spark, sf), fx.video(spark, sf), K).select(
         "video_id", "label", R("cv"), "uniform", "peak_share_pct", "low_share_pct", R("mean_share_pct")
     )
 
