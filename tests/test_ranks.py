@@ -106,3 +106,13 @@ def test_dispersion_counts_without_lists(spark):
     assert {(r.v, r.label): (round(r.cv, 6), r.peak_share_pct, r.low_share_pct) for r in out.collect()} == want and len(want) > 6
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and plan.count("Join") == 1
+
+
+def test_mean_run_rounds_as_its_sql(spark):
+    """39 runs of five seconds and one of four: 4.975, which as a double lies below the tie."""
+    from tidemark.operators import readings as rd
+
+    data = [(1, s, "happy" if s // 5 % 2 else "sad", 0.5) for s in range(199)]
+    df = spark.createDataFrame(data, "v INT, sec INT, label STRING, conf DOUBLE")
+    row = rd.reading_summary(df, spark.createDataFrame([(1, 200)], "v INT, duration INT"), ["v"]).first()
+    assert (row.runs, row.mean_run) == (40, 4.97)

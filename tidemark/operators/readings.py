@@ -199,7 +199,7 @@ def reading_summary(
         ran.groupBy(*keys, "_run")
         .agg((F.max("sec") - F.min("sec") + 1).alias("_len"))
         .groupBy(*keys)
-        .agg(F.count("*").alias("runs"), F.round(F.avg("_len"), 2).alias("mean_run"))
+        .agg(F.count("*").alias("runs"), (F.floor(F.avg("_len") * 100 + 0.5) / 100).alias("mean_run"))
     )
     shares = readings.groupBy(*keys, "label").agg(F.count("*").alias("_n"))
     spread = dispersion(readings, videos, keys, total=total, count=buckets)
