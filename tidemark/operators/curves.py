@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.operators.axis import DEFAULT_CHUNK, chunk_window, drop_halo, prefix_sum, with_halo
+from tidemark.operators.axis import DEFAULT_CHUNK, chunk_of, chunk_window, drop_halo, prefix_sum, with_halo
 from tidemark.operators.ranks import median_and_deviation, value_counts
 from tidemark.session import shuffle_width
 
@@ -148,13 +148,31 @@ def mark_density(axis: DataFrame, keys: Sequence[str], *, marks: str, window: in
     return bounded_frames(axis, keys, {"density": (F.sum(marks), -half, window - half - 1)})
 
 
-def ordinal_rank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str, tick: str = "sec") -> DataFrame:
-    """100 * rank / (n - 1), ties in time order; equal values are counted along the axis in chunks."""
-    ranked = value_counts(curve, keys, value)
-    placed = prefix_sum(curve.withColumn("_one", F.lit(1)), [*keys, value], [tick], "_one", "_nth", tick).drop("_one")
-    rank = F.col("_upto") - F.col("_n") + F.col("_nth") - 1
-    x = placed.join(ranked, [*keys, value])
-    return x.withColumn(out, F.lit(100.0) * rank / F.greatest(F.col("_total") - 1, F.lit(1))).select(*curve.columns, out)
+def ordinal_rank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str, tick: str = "sec", middle: str | None = None) -> DataFrame:
+    """100 * rank / (n - 1), ties in time order; equal values are counted along the axis in chunks.
+
+    *middle* names a second column for the percentile of :func:`midrank`, from the same counts.
+    Rows are shuffled once: the counts of earlier chunks are read from the same shuffle.
+    """
+    ranked = value_counts(curve, keys, value, write=True)
+    k = [*keys, value]
+    placed = curve.withColumn("_chunk", F.coalesce(chunk_of(tick), F.lit(0).cast("long")))
+    inner = Window.partitionBy(*k, "_chunk").orderBy(tick)
+    whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = placed.withColumn("_nth", F.row_number().over(inner)).withColumn("_all", F.count(F.lit(1)).over(whole))
+    outer = Window.partitionBy(*k).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_all").over(outer), F.lit(0))
+    heads = local.filter("_nth = 1").select(*k, "_chunk", before.alias("_before"))
+    x = local.join(heads.join(ranked, k), [*k, "_chunk"])
+    rank = F.col("_upto") - F.col("_n") + F.col("_before") + F.col("_nth") - 1
+    made = [(F.lit(100.0) * rank / F.greatest(F.col("_total") - 1, F.lit(1))).alias(out)]
+    if middle is not None:
+        made.append(_middle_percentile().alias(middle))
+    return x.select(*curve.columns, *made)
+
+
+def _middle_percentile() -> Column:
+    return F.round((F.col("_upto") - F.col("_n") + F.col("_upto")) / 2.0 / F.col("_total") * 100.0, 1)
 
 
 def midrank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str) -> DataFrame:
@@ -164,8 +182,7 @@ def midrank(curve: DataFrame, keys: Sequence[str], *, value: str, out: str) -> D
     values costs one row.
     """
     ranks = value_counts(curve, keys, value)
-    middle = (F.col("_upto") - F.col("_n") + F.col("_upto")) / 2.0 / F.col("_total") * 100.0
-    return curve.join(ranks.select(*keys, value, F.round(middle, 1).alias(out)), [*keys, value])
+    return curve.join(ranks.select(*keys, value, _middle_percentile().alias(out)), [*keys, value])
 
 
 def local_maxima(
@@ -182,7 +199,7 @@ def local_maxima(
 
     The percentiles are order statistics at index ``int(n * p)``, not interpolated.
     """
-    ranked = value_counts(curve, keys, value)
+    ranked = value_counts(curve, keys, value, write=True)
 
     def at(p: float) -> Column:
         index = F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(p)).cast("long"))
