@@ -2,6 +2,7 @@
 
 import io
 import math
+import statistics
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -60,3 +61,25 @@ def test_rank_and_midrank_read_the_counts_once(spark):
             below, upto = sum(y < x for y, _ in mine) if v == "b" else int(x) * 3000, sum(y <= x for y, _ in mine) if v == "b" else (int(x) + 1) * 3000
             assert math.isclose(got[v, s][0], 100.0 * at / (n - 1))
             assert math.isclose(got[v, s][1], round((below + upto) / 2 / n * 100, 1), abs_tol=1e-9)
+
+
+def test_medians_of_frames_half_full_of_one_value(spark):
+    """Frames with exactly half, or a value more, of equal values; missing values; many groups in a batch."""
+    rows = []
+    for v in range(60):
+        for s in range(40):
+            x = 0.0 if (s * 7 + v) % 4 < 2 else float((s * 13 + v * 5) % 11)
+            rows.append((v, s, None if v == 7 and s % 3 else x))
+    df = spark.createDataFrame(rows, "v int, sec int, x double")
+    got = {(r.v, r.sec): r for r in curves.rolling_baseline(df, ["v"], value="x", half=3, chunk=8).collect()}
+    assert len(got) == len(rows)
+    for v, s, _ in rows:
+        frame = [x for k, t, x in rows if k == v and abs(t - s) <= 3 and x is not None]
+        middle = statistics.median(frame)
+        assert got[v, s].baseline == middle
+        assert math.isclose(got[v, s].spread, 1.4826 * statistics.median([abs(x - middle) for x in frame]))
+
+
+def test_rolling_medians_do_not_go_through_pandas_groups(spark):
+    df = spark.createDataFrame([(1, 0, 1.0)], "v int, sec int, x double")
+    assert "FlatMapGroupsInPandas" not in _plan(curves.rolling_baseline(df, ["v"], value="x"))

@@ -6,10 +6,10 @@ chunks with a halo (:mod:`tidemark.operators.axis`).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -62,39 +62,91 @@ def rolling_baseline(
     """Rolling median and scaled MAD over ``2*half+1`` rows, and the z of each row.
 
     The frame is truncated at the ends. Spark places each chunk of the axis with its
-    halo in a group of at most ``chunk + 2 * half`` rows; inside it all frames are
-    sorted at once in numpy. The same thing as a native array expression over a
-    collected frame took about eight times as long.
+    halo in a group of at most ``chunk + 2 * half`` rows and orders it; the groups of a
+    task stream through numpy, many at once. A value that fills more than half of a
+    frame is its median and the deviation is 0: that is seen from counts. The other
+    frames are sorted, some thousands at once.
     """
     halo = with_halo(curve, tick, half, half, chunk)
     # A curve already placed by video would not be moved again, and all chunks of a
     # hot video would stay in one task.
     halo = halo.repartition(shuffle_width(curve), *keys, "_chunk")
-    schema = StructType([*halo.schema.fields, StructField("baseline", DoubleType()), StructField("spread", DoubleType())])
+    placed = halo.withColumn("_at", F.row_number().over(chunk_window(keys, tick)))
+    kept = curve.columns
+    schema = StructType([*curve.schema.fields, StructField("baseline", DoubleType()), StructField("spread", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            first = rows.column("_at").to_numpy(zero_copy_only=False) == 1
+            values = rows.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            base, spread = _medians(values, np.flatnonzero(first), half)
+            own = rows.column("_own")
+            out = rows.select(kept).append_column("baseline", pa.array(base, from_pandas=True))
+            out = out.append_column("spread", pa.array(MAD_TO_SIGMA * spread, from_pandas=True)).filter(own)
+            yield from out.combine_chunks().to_batches()
+
+    return placed.mapInArrow(run, schema).withColumn(
+        "z", (F.col(value) - F.col("baseline")) / F.greatest("spread", F.lit(min_spread))
+    )
+
 
-    def medians(frames: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut anew where a group begins (``_at`` is 1), so that none holds a part of a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_at").to_numpy(zero_copy_only=False) == 1)
+        if len(starts) == 0:
+            held.append(batch)
+            continue
+        cut = int(starts[-1])
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _medians(values: np.ndarray, starts: np.ndarray, half: int, slice_rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Median and median absolute deviation of the rows within *half* of each row of its group; NaN is no value."""
+    size = len(values)
+    row = np.arange(size)
+    group = np.searchsorted(starts, row, side="right") - 1
+    low = np.maximum(row - half, starts[group])
+    high = np.minimum(row + half + 1, np.append(starts[1:], size)[group])
+
+    def counted(flags: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(flags)])
+        return upto[high] - upto[low]
+
+    known = ~np.isnan(values)
+    n = counted(known)
+    base, spread = np.full(size, np.nan), np.full(size, np.nan)
+    rest = n > 0
+    if known.any():
+        distinct, times = np.unique(values[known], return_counts=True)
+        common = distinct[np.argmax(times)]
+        filled = 2 * counted(values == common) > n
+        base[filled], spread[filled] = common, 0.0
+        rest &= ~filled
+
+    def middle(frames: np.ndarray, m: np.ndarray) -> np.ndarray:
         # missing places sort to the end of a frame
         ordered = np.sort(frames, axis=1)
-        row = np.arange(len(n))
-        return (ordered[row, (n - 1) // 2] + ordered[row, n // 2]) / 2.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(tick)
-        gap = np.full(half, np.nan)
-        padded = np.concatenate([gap, pdf[value].to_numpy(dtype=float), gap])
-        frames = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
-        n = (~np.isnan(frames)).sum(axis=1)
-        base = medians(frames, n)
-        pdf["baseline"] = base
-        pdf["spread"] = MAD_TO_SIGMA * medians(np.abs(frames - base[:, None]), n)
-        return pdf[pdf["_own"]]
-
-    return (
-        halo.groupBy(*keys, "_chunk")
-        .applyInPandas(run, schema)
-        .withColumn("z", (F.col(value) - F.col("baseline")) / F.greatest("spread", F.lit(min_spread)))
-        .drop("_own", "_chunk")
-    )
+        at = np.arange(len(m))
+        return (ordered[at, (m - 1) // 2] + ordered[at, m // 2]) / 2.0
+
+    padded = np.concatenate([np.full(half, np.nan), values, np.full(half, np.nan)])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
+    todo = np.flatnonzero(rest)
+    offset = np.arange(-half, half + 1)
+    for at in range(0, len(todo), slice_rows):
+        some = todo[at : at + slice_rows]
+        place = some[:, None] + offset
+        inside = (place >= low[some, None]) & (place < high[some, None])
+        part = np.where(inside, frames[some], np.nan)
+        base[some] = middle(part, n[some])
+        spread[some] = middle(np.abs(part - base[some, None]), n[some])
+    return base, spread
 
 
 def bounded_frames(
