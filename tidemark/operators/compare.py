@@ -424,15 +424,22 @@ def clips_carrying(marks: DataFrame, clips: DataFrame, keys: Sequence[str]) -> D
 def overlapping_any(spans: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spans sharing time with some range (strict overlap).
 
-    The ranges are united first, so a span meets each stretch of them once.
+    The ranges are united first. Of the stretches that begin before a span's end the last
+    one reaches furthest, so a span looks up that one's end, carried along the axis: no
+    pairs are formed, and a long span or stretch is still one row.
     """
+    from tidemark.operators.axis import fill_forward
     from tidemark.operators.islands import interval_islands
-    from tidemark.operators.joins import overlap_pairs
 
     cover = interval_islands(ranges.filter("end > start"), keys).select(
-        *keys, F.col("start").alias("r_start"), F.col("end").alias("r_end")
-    )
-    return overlap_pairs(spans, cover, keys).select(*spans.columns).distinct()
+        *keys, F.col("start").alias("_t"), F.col("end").alias("_reach"), F.lit(1).alias("_kind")
+    )
+    asked = spans.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).dropna(subset=list(keys))
+    # a stretch that begins where a span ends comes after it
+    asked = asked.withColumn("_t", F.col("end")).withColumn("_kind", F.lit(0))
+    both = asked.unionByName(cover, allowMissingColumns=True)
+    carried = fill_forward(both, keys, ["_t", "_kind"], "_reach", "_upto", "_t")
+    return carried.filter((F.col("_kind") == 0) & (F.col("_upto") > F.col("start"))).select(*spans.columns).distinct()
 
 
 def arrivals(marks: DataFrame, clips: DataFrame, keys: Sequence[str], composed: Sequence[str]) -> DataFrame:
