@@ -83,3 +83,17 @@ def test_medians_of_frames_half_full_of_one_value(spark):
 def test_rolling_medians_do_not_go_through_pandas_groups(spark):
     df = spark.createDataFrame([(1, 0, 1.0)], "v int, sec int, x double")
     assert "FlatMapGroupsInPandas" not in _plan(curves.rolling_baseline(df, ["v"], value="x"))
+
+
+def test_windows_of_asked_lengths_are_joined_by_chunk(spark):
+    """Maxima of windows over chunk edges; the wide table of maxima is not dealt out anew by key alone."""
+    values = [float((s * 37) % 101) if s % 5 == 0 else 0.0 for s in range(9000)]
+    series = spark.createDataFrame([(1, s, x) for s, x in enumerate(values)], "v long, sec int, x double")
+    lengths = spark.createDataFrame([(1, 3, 9000), (1, 12, 9000), (1, 8999, 9000)], "v long, _k int, _n int")
+    made = curves.stretch_maxima(series, ["v"], lengths, value="x")
+    got = {(r["_k"], r["_start"]): r["_max"] for r in made.collect()}
+    assert len(got) == 8998 + 8989 + 2
+    for k, step in ((3, 1), (12, 1), (8999, 1)):
+        for s in range(0, 9000 - k + 1, step):
+            assert got[k, s] == max(values[s : s + k])
+    assert "_chunk" in next(line for line in _plan(made).splitlines() if "Join" in line)

@@ -406,10 +406,12 @@ def stretch_maxima(series: DataFrame, keys: Sequence[str], lengths: DataFrame, *
     for j in range(1, levels):
         further = F.lead(f"_m{j - 1}", 1 << (j - 1)).over(chunk_window(keys, tick))
         df = df.withColumn(f"_m{j}", F.greatest(f"_m{j - 1}", further))
-    table = drop_halo(df).select(*keys, tick, F.array(*[f"_m{j}" for j in range(levels)]).alias("_levels"))
+    table = df.filter("_own").select(*keys, "_chunk", tick, F.array(*[f"_m{j}" for j in range(levels)]).alias("_levels"))
+    # joined by chunk, where the table lies: its rows are the many and wide ones
+    asked = lengths.select(*keys, "_k", "_n", F.explode(F.sequence(F.lit(0).cast("long"), chunk_of(F.col("_n") - 1))).alias("_chunk"))
     j = F.length(F.bin("_k")) - 1
     reach = F.col("_k") - F.call_function("shiftleft", F.lit(1), j)  # how far the second part begins after the first
-    placed = table.join(lengths, list(keys)).select(*keys, "_k", "_n", F.get("_levels", j).alias("_max"), F.explode(F.array_distinct(F.array(F.col(tick), F.col(tick) - reach))).alias("_start"))
+    placed = table.join(asked, [*keys, "_chunk"]).select(*keys, "_k", "_n", F.get("_levels", j).alias("_max"), F.explode(F.array_distinct(F.array(F.col(tick), F.col(tick) - reach))).alias("_start"))
     inside = (F.col("_start") >= 0) & (F.col("_start") <= F.col("_n") - F.col("_k"))
     return placed.filter(inside).groupBy(*keys, "_k", "_start").agg(F.max("_max").alias("_max"))
 
