@@ -176,3 +176,27 @@ def test_checkpoint_folder_is_the_sessions(spark, tmp_path):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_interval_union_keeps_customers_without_dates_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import load_all
+
+    day = "DATE'1995-01-01'"
+    orders = [(1, 10, 0), (2, 10, None), (3, 20, None), (4, 20, None), (5, None, 7), (6, 30, 4000), (7, 30, None)]
+    lines = [(1, 1, 5), (1, 2, 9), (2, 1, None), (3, 1, None), (3, 2, None), (4, 1, None), (5, 1, None), (6, 1, 4300), (7, 1, 4310), (7, None, 4400), (6, -3, 4500)]
+    o = spark.createDataFrame(orders, "o_orderkey LONG, o_custkey LONG, d INT")
+    li = spark.createDataFrame(lines, "l_orderkey LONG, l_linenumber INT, d INT")
+    o.selectExpr("o_orderkey", "o_custkey", f"cast(date_add({day}, d) as timestamp_ntz) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    li.selectExpr(
+        "l_orderkey", "l_linenumber", "1L as l_partkey", f"cast(date_add({day}, d) as timestamp_ntz) as l_shipdate", "1.0D as l_quantity"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = load_all()["u1_interval_union"]
+    got = q.run(spark, str(tmp_path)).select("video_id", "start", "end").collect()
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(q.sql).fetchall()
+    assert (20, None, None) in want
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -241,10 +241,10 @@ def event_groups(spark, sf):
     SELECT video_id, min(start) AS start, max("end") AS "end" FROM g GROUP BY video_id, island""",
 )
 def interval_union(spark, sf):
-    """Automatic (even lines) and manual (odd lines) ranges as one minimal cover."""
+    """Automatic (even lines) and manual (all other lines) ranges as one minimal cover."""
     s = fx.span(spark, sf)
-    auto, manual = s.filter("line_id % 2 = 0"), s.filter("line_id % 2 = 1")
-    return islands.interval_islands(auto.unionByName(manual), ["video_id"], chunk=3650)
+    auto, manual = s.filter("line_id % 2 <=> 0"), s.filter("NOT line_id % 2 <=> 0")
+    return islands.interval_islands(auto.unionByName(manual), ["video_id"], chunk=3650, keep_untimed=True)
 
 
 @query(
