@@ -2,6 +2,8 @@
 
 import random
 import statistics
+
+import numpy as np
 import time
 
 import pytest
@@ -264,3 +266,49 @@ def test_near_pairs_keep_a_row_per_vector_until_the_join(spark, monkeypatch):
     monkeypatch.setattr(nearpairs, "cut_lineage", counted)
     nearpairs.near_edges(spark.createDataFrame(data, "id STRING, vec ARRAY<DOUBLE>"), least=0.3, cells=6, sample=40, block=40).collect()
     assert counts and max(counts) <= len(data)
+
+
+def rows_shuffled(spark):
+    """Rows written to shuffles by all stages of the session so far."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_near_pairs_of_one_group_are_not_sent_block_by_block(spark):
+    rnd = random.Random(6)
+    data = [(f"id{i:04d}", [1.0 + rnd.gauss(0, 0.5) for _ in range(8)]) for i in range(1500)]
+    before = rows_shuffled(spark)
+    edges = nearpairs.near_edges(spark.createDataFrame(data, "id STRING, vec ARRAY<DOUBLE>"), least=0.5, cells=4, sample=40, block=50)
+    merged = {r.id: r.merged_id for r in vec.merged_ids(edges).collect()}
+    assert len(merged) == 1500 and set(merged.values()) == {"id0000"}
+    sent = sum(n for k, n in rows_shuffled(spark).items() if k not in before)
+    # all blocks meeting all: 2 * 1500 * 1500 / 50 rows
+    assert 0 < sent < 60_000
+
+
+def test_near_pairs_beside_a_vector_that_is_not_finite(spark):
+    rnd = random.Random(8)
+    data = [(f"id{i:03d}", [1.0 + rnd.gauss(0, 0.1) for _ in range(4)]) for i in range(30)]
+    data += [("nan", [float("nan"), 1.0, 1.0, 1.0]), ("inf", [float("inf"), 1.0, 1.0, 1.0]), ("none", None)]
+    edges = nearpairs.near_edges(spark.createDataFrame(data, "id STRING, vec ARRAY<DOUBLE>"), least=0.5, cells=3, sample=40, block=5)
+    merged = {r.id: r.merged_id for r in vec.merged_ids(edges).collect()}
+    assert merged == {f"id{i:03d}": "id000" for i in range(30)}
+
+
+def test_forest_joins_what_is_near_in_dense_and_sparse_slices(monkeypatch):
+    monkeypatch.setattr(nearpairs, "COSINES", 90)
+    rng = np.random.default_rng(3)
+    for spread, least in ((0.2, 0.9), (0.6, 0.9), (3.0, 0.95)):
+        v = rng.normal(size=(6, 5))[rng.integers(6, size=70)] + rng.normal(size=(70, 5)) * spread
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        ids = np.array([f"v{rng.integers(50):02d}" for _ in range(70)], dtype=object)
+        left, right = v[:40], v[30:]
+        near = {(a, b) for i, a in enumerate(ids[:40]) for k, b in enumerate(ids[30:]) if left[i] @ right[k] >= least}
+        label = {i: i for i in ids}
+        for _ in range(70):
+            for a, b in near:
+                label[a] = label[b] = min(label[a], label[b])
+        got = nearpairs.forest(left, right, ids[:40], ids[30:], least)
+        assert sorted(got) == sorted((r, i) for i, r in label.items() if r != i)
