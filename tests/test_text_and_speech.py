@@ -1,5 +1,6 @@
 """Subtitles, repetition, joins of lines and pattern facts against plain loops."""
 
+import math
 import random
 import re
 
@@ -228,3 +229,49 @@ def test_first_repetitions_shuffle_nothing(spark):
     df = spark.createDataFrame([(1, "One and one. One and one."), (2, None)], "id INT, text STRING")
     plan = sp.first_repetitions(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_line_weights_and_marks_by_loop(spark):
+    rnd = random.Random(9)
+    said = lambda: " ".join(rnd.choice("oak elm ash fir yew bay fig nut".split()[: rnd.randrange(2, 9)]) for _ in range(rnd.randrange(0, 14)))
+    data = [(v, c, i, i * 10.0, said()) for v in (1, 2) for c in (1, 2, 3) for i in range(5)]
+    data += [(1, 1, 0, 0.0, "fir fir oak"), (3, 1, 0, 0.0, "oak elm"), (4, 1, 0, 0.0, None), (4, 2, 0, 0.0, "")]
+    lines = spark.createDataFrame(data, "video_id INT, number INT, seg INT, start DOUBLE, text STRING")
+    k = ["video_id", "number"]
+    totals = sp.doc_totals(lines, k)
+    got = sp.line_weights(lines, totals, ["video_id"], "number", ["seg", "start"], least=1.1).cache()
+    keyed = {(r.video_id, r.number, r.word): r for r in sp.keyness(sp.word_counts(lines, k), totals, ["video_id"], "number").collect()}
+    want = {}
+    for v, c, i, _, text in data:
+        for word in (text or "").split():
+            want.setdefault((v, c, i), {}).setdefault(word, []).append(word)
+    rows = {(r.video_id, r.number, r.seg): r for r in got.collect()}
+    assert set(rows) == set(want)
+    for (v, c, i), words in want.items():
+        gain = {w: max(0.0, math.log(max(keyed[v, c, w].keyness, 1e-9))) if (v, c, w) in keyed else 0.0 for w in words}
+        n = sum(map(len, words.values()))
+        r = rows[v, c, i]
+        assert r.words == n and abs(r.distinct_weight - sum(gain.values())) < 1e-9
+        assert abs(r.weight - sum(gain[w] * len(x) for w, x in words.items()) / n**0.5) < 1e-9
+    marked = {(r.video_id, r.number, r.word): (r["count"], r.keyness, r.doc_words) for r in sp.marked_words(got, ["video_id"], "number").collect()}
+    assert marked == {key: (r["count"], r.keyness, r.doc_words) for key, r in keyed.items() if r["count"] >= 2 and r.keyness >= 1.1} != {}
+
+
+def test_words_of_lines_are_shuffled_once(spark, tmp_path):
+    from tidemark.plans import load_all
+
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnop"
+    talk = [(v, t, "user", " ".join("".join(rnd.choices(letters, k=6)) for _ in range(25))) for v in range(60) for t in range(8)]
+    spark.createDataFrame(talk, "conv_id LONG, turn LONG, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+
+    def sent():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = sent()
+    assert load_all()["t14_unmeasured_claims"].run(spark, str(tmp_path)).count()
+    # each line is heard in one or two chapters
+    assert sum(n for k, n in sent().items() if k not in before) < 2.5 * 25 * len(talk)

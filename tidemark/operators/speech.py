@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import first_keyword, tokens
@@ -132,12 +132,20 @@ def keyness(counts: DataFrame, totals: DataFrame, group: Sequence[str], doc: str
     have keyness. A word's total is a window over its documents, so the counts are
     not worked out again.
     """
-    whole = totals.groupBy(*group).agg(F.sum("doc_words").alias("_grand"), F.count("*").alias("_docs")).filter(F.col("_docs") >= 2)
-    docs = totals.join(whole, [*group]) if group else totals.crossJoin(F.broadcast(whole))  # one row
-    x = counts.withColumn("_all", F.sum("count").over(Window.partitionBy(*group, "word"))).join(docs, [*group, doc])
+    x = counts.withColumn("_all", F.sum("count").over(Window.partitionBy(*group, "word"))).join(_whole(totals, group), [*group, doc])
+    return x.withColumn("keyness", _ratio()).drop("_all", "_grand")
+
+
+def _whole(totals: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The documents of groups with at least two, each with its group's words (``_grand``)."""
+    whole = totals.groupBy(*group).agg(F.sum("doc_words").alias("_grand"), F.count("*").alias("_docs")).filter(F.col("_docs") >= 2).drop("_docs")
+    return totals.join(whole, [*group]) if group else totals.crossJoin(F.broadcast(whole))  # one row
+
+
+def _ratio() -> Column:
     here = F.col("count") / F.col("doc_words")
     there = (F.col("_all") - F.col("count") + 0.5) / (F.col("_grand") - F.col("doc_words") + 0.5)
-    return x.withColumn("keyness", here / there).drop("_all", "_grand", "_docs")
+    return here / there
 
 
 def distinctive_words(keyed: DataFrame, group: Sequence[str], doc: str, *, digits: int = 1, top: int = TOP_WORDS) -> DataFrame:
@@ -246,24 +254,53 @@ def speech_changes(speech: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def line_weights(lines: DataFrame, keyed: DataFrame, line_key: Sequence[str], doc_key: Sequence[str]) -> DataFrame:
-    """Per line: summed positive log keyness over the root of its length, and over distinct words."""
-    words = lines.select(*line_key, F.explode(tokens(F.col("text"))).alias("word"))
-    counted = words.groupBy(*line_key, "word").agg(F.count("*").alias("_k"))
-    k = keyed.select(*doc_key, "word", "keyness")
-    gain = F.greatest(F.lit(0.0), F.log(F.greatest("keyness", F.lit(1e-9))))
+def line_weights(
+    lines: DataFrame, totals: DataFrame, group: Sequence[str], doc: str, line: Sequence[str], *, least_count: int = MIN_WORD_COUNT, least: float = MIN_KEYNESS
+) -> DataFrame:
+    """Per line: summed positive log keyness over the root of its length, and over distinct words.
+
+    A line is told by *group*, *doc* and *line*; *totals* is :func:`doc_totals`. ``marked`` are the
+    words (``word, count, keyness, doc_words``) of a document with *least_count* and a keyness of
+    *least*, each at one line that has it, so that :func:`marked_words` has all rows of
+    :func:`keyness` that :func:`distinctive_words` looks at by default.
+
+    The totals are put beside the lines; a line's words then travel once, by group and word,
+    where counts, keyness and marks are worked out, and only sums go on.
+    """
+    ident = [*group, doc, *line]
+    beside = lines.select(*ident, "text").join(_whole(totals, group), [*group, doc], "left").withColumn("_s", F.sort_array(tokens(F.col("text"))))
+    # places where a word begins in the sorted list: a row per word of a line, not per token
+    begins = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = F.transform("_at", lambda i, n: F.struct(F.get("_s", i).alias("word"), (F.coalesce(F.get("_at", n + 1), F.size("_s")) - i).alias("n")))
+    words = beside.filter(F.size("_s") > 0).withColumn("_at", begins).withColumn("_w", F.explode(runs))
+    sizes = ["doc_words", "_grand"]
+    dealt = words.select(*ident, *sizes, F.col("_w.word").alias("word"), F.col("_w.n").alias("_n")).repartition(*group, "word")
+    counted = dealt.groupBy(*ident, *sizes, "word").agg(F.sum("_n").alias("_k"))
+    whole = Window.unboundedPreceding, Window.unboundedFollowing
+    per = Window.partitionBy(*group, "word")
+    mine = Window.partitionBy(*group, "word", doc)
+    # sorted once, the longest order first
+    x = counted.withColumn("_first", F.row_number().over(mine.orderBy(*line))).withColumn("count", F.sum("_k").over(mine))
+    x = x.withColumn("_all", F.sum("_k").over(per.orderBy(doc).rangeBetween(*whole))).withColumn("keyness", _ratio())
+    gain = F.coalesce(F.greatest(F.lit(0.0), F.log(F.greatest("keyness", F.lit(1e-9)))), F.lit(0.0))
+    mark = (F.col("_first") == 1) & (F.col("count") >= least_count) & (F.col("keyness") >= least)
     return (
-        counted.join(k, [*doc_key, "word"], "left")
-        .withColumn("_g", F.coalesce(gain, F.lit(0.0)))
-        .groupBy(*line_key)
+        x.withColumn("_g", gain)
+        .groupBy(*ident)
         .agg(
             (F.sum(F.col("_g") * F.col("_k")) / F.sqrt(F.sum("_k"))).alias("weight"),
             F.sum("_g").alias("distinct_weight"),
             F.sum("_k").alias("words"),
+            F.collect_list(F.when(mark, F.struct("word", "count", "keyness", "doc_words"))).alias("marked"),
         )
     )
 
 
+def marked_words(weighted: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
+    """The marked words of :func:`line_weights`, a row per document and word as of :func:`keyness`."""
+    return weighted.select(*group, doc, F.explode("marked").alias("_m")).select(*group, doc, "_m.*")
+
+
 def spaced_quotes(
     weighted: DataFrame, keys: Sequence[str], *, min_gap: float = MIN_QUOTE_GAP, limit: int = QUOTES_PER_CHAPTER
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.operators import compare, curves, scoring
 from tidemark.operators import explain as ex
 from tidemark.operators import readings as rd
 from tidemark.operators.joins import points_in_spans
-from tidemark.operators.speech import distinctive_words, vocabulary_gaps
+from tidemark.operators.speech import distinctive_words, marked_words, vocabulary_gaps
 from tidemark.plans import speech
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
@@ -189,12 +189,15 @@ def diagnosis(spark, sf):
     counts = fx.reading(spark, sf).groupBy("video_id", "label").agg(F.count("*").alias("n"))
     rejected = kept.filter("idx >= 4").select("video_id", "start", "end")
     first = kept.filter("idx = 1")
-    _, keyed = speech._talk(spark, sf)
+    # a row a line, read for its marked words and for its claims: written once
+    slim, weighted = speech._weights(spark, sf)
+    weighted = cut_lineage(weighted)
+    keyed = marked_words(weighted, K, "number")
     gaps = vocabulary_gaps(distinctive_words(keyed, K, "number", digits=6), K, speech.CLASSES, "number")
     checks = first.select("video_id", F.lit("two_kinds").alias("rule"), F.when(F.col("n_signals") > 3, "fired").otherwise("never_fired").alias("state"))
     facts = ex.video_facts(
         fx.video(spark, sf), kept, near, totals, tags, activity, counts, rejected,
-        gaps, speech.unmeasured_claims(spark, sf), checks, K,
+        gaps, speech._claims(slim, weighted), checks, K,
     )
     settings = {
         "weights": {"scene": 1.0, "motion_event": 0.0, "motion_peak": 3.0, "audio": 1.5, "keyword": 2.5, "object": 1.0, "action": 6.0, "face": 2.0},
